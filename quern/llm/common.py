@@ -50,5 +50,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def literal_array(values: list[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.expr("cast(array() as array<bigint>)")
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Bound what one Arrow batch to a Python worker holds, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
