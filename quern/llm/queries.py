@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, minhash, quality_rules, secrets, sharding, substrings, url_filters
+from quern.llm import bpe, decontaminate, line_dedup, minhash, quality_rules, secrets, sharding, substrings, url_filters
 from quern.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.rule_table(spark))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = secrets.spelled(("assign", "access", "hex"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
     "op5_url_filters": op5_url_filters,
+    "op6_line_dedup": op6_line_dedup,
     "op7_secret_scans": op7_secret_scans,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
@@ -99,5 +105,21 @@ r(verdict, rule, rhost, rpath) AS (VALUES ('allow', 'org/', 'org', '/'), ('block
 f AS (SELECT k, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
       FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY k)
 SELECT page_id, host, path, f.rule AS rule, coalesce(f.verdict, 'allow') AS verdict FROM h LEFT JOIN f ON h.k = f.k
+""",
+    # Two lines are one edit apart if taking out one character of the longer one, or of both at the same place, makes them equal.
+    "op6_line_dedup": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+c AS (SELECT line, min((doc_id, pos)) AS ord, length(line) AS n FROM l WHERE length(line) >= {line_dedup.MIN_CHARS} AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+v AS (SELECT line, ord, n, unnest(range(1, n + 1)) AS p FROM c),
+s AS (SELECT ord, n, p, hash(left(line, p - 1), substr(line, p + 1)) AS sub, hash(left(line, p - 1) || substr(line, p + 1)) AS del FROM v),
+m AS (SELECT n, p, sub, min(ord) AS ord FROM s GROUP BY n, p, sub),
+near AS (SELECT s.ord FROM s JOIN m ON s.n = m.n AND s.p = m.p AND s.sub = m.sub WHERE m.ord < s.ord
+         UNION SELECT greatest(s.ord, c.ord) FROM s JOIN c ON s.del = hash(c.line) AND c.n = s.n - 1),
+w AS (SELECT l.doc_id, l.pos, l.line, regexp_matches(l.line, '[^\x20\x09-\x0D]') AS worded,
+             near.ord IS NOT NULL AS near, (c.ord IS NOT NULL AND (near.ord IS NOT NULL OR c.ord <> (l.doc_id, l.pos))) AS gone
+      FROM l LEFT JOIN c ON l.line = c.line LEFT JOIN near ON c.ord = near.ord)
+SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (near) AS n_near,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM w GROUP BY doc_id
 """,
 }
