@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,9 +35,11 @@ from quern.llm.common import bounded_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
 LEXICON_WORDS = 20_000
 SUMMARY_WORDS = 20_000
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
 MEMO_LENGTH = 64
 HEAP_LENGTH = 48
+MASK = (1 << 20) - 1
+NEVER = 1 << 62
 
 #: A space before anything but white space always starts a new piece.
 _CUT = re.compile(r" (?=\S)")
@@ -49,6 +52,30 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Memo:
+    """A bounded cache in two generations: what is still used outlives a change."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def aged(self, key: str) -> bytes | None:
+        return self.old.get(key)
+
+    def get(self, key: str) -> bytes | None:
+        out = self.new.get(key)
+        if out is None and (out := self.old.get(key)) is not None:
+            self.put(key, out)
+        return out
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= MEMO_LENGTH:
+            if len(self.new) >= MEMO_WORDS:
+                self.old = dict(self.new)
+                self.new.clear()
+            self.new[key] = value
+
+
 class Tokenizer:
     """Reads a byte-level BPE file of the tokenizers library."""
 
@@ -65,10 +92,10 @@ class Tokenizer:
         self.tokens = [b""] * (max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])]) + 1)
         for t, i in vocab.items():
             self.tokens[i] = t
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = map(as_bytes, merge.split(" ") if isinstance(merge, str) else merge)
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.pairs[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
         self.added: dict[str, int] = {}
         for a in spec["added_tokens"]:
             if a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]:
@@ -78,22 +105,26 @@ class Tokenizer:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
         self.lexicon = lexicon.opened(lexicon_data) if lexicon_data else None
-        self.memo: dict[str, bytes] = {}
+        self.words, self.parts = Memo(), Memo()
 
     def merged(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost first."""
-        ids, pairs = [self.byte_id[b] for b in piece], self.pairs
+        ids, get = [self.byte_id[b] for b in piece], self.pairs.get
         if len(ids) > HEAP_LENGTH:
             return self._merged_long(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                found = pairs.get((ids[i], ids[i + 1]))
-                if found and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
+        # A pair's value orders by rank and holds the merged id.
+        found = [get(a << 20 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while found:
+            best = min(found)
+            if best == NEVER:
                 break
-            ids[at : at + 2] = [best[1]]
+            at = found.index(best)
+            ids[at : at + 2] = [best & MASK]
+            del found[at]
+            if at:
+                found[at - 1] = get(ids[at - 1] << 20 | ids[at], NEVER)
+            if at < len(found):
+                found[at] = get(ids[at] << 20 | ids[at + 1], NEVER)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -101,17 +132,17 @@ class Tokenizer:
         left, right, heap = list(range(-1, n - 1)), list(range(1, n + 1)), []
 
         def offer(i: int) -> None:
-            if i >= 0 and right[i] < n and (found := pairs.get((ids[i], ids[right[i]]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[right[i]], found[1]))
+            if i >= 0 and right[i] < n and (found := pairs.get(ids[i] << 20 | ids[right[i]])) is not None:
+                heapq.heappush(heap, (found, i, ids[i], ids[right[i]]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            found, i, a, b = heapq.heappop(heap)
             j = right[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = found & MASK, -1
             right[i] = right[j]
             if right[i] < n:
                 left[right[i]] = i
@@ -119,21 +150,23 @@ class Tokenizer:
             offer(i)
         return [x for x in ids if x >= 0]
 
-    def piece_ids(self, piece: str) -> list[int]:
-        data = piece.encode()
-        found = self.lexicon.get(data) if self.lexicon else None
-        return self.merged(data) if found is None else found
+    def piece_ids(self, piece: str) -> bytes:
+        """From the memo, the lexicon or the merges, in this order."""
+        out = self.words.get(piece)
+        if out is None:
+            data = piece.encode()
+            found = self.lexicon.get(data) if self.lexicon else None
+            out = array("I", self.merged(data) if found is None else found).tobytes()
+            self.words.put(piece, out)
+        return out
 
     def _part(self, part: str) -> bytes:
         """Ids of a stretch between cuts, as little-endian 32-bit integers."""
-        ids: list[int] = []
-        for piece in self.pieces(part):
-            ids += self.piece_ids(piece)
-        out = np.asarray(ids, "<u4").tobytes()
-        if len(part) <= MEMO_LENGTH:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[part] = out
+        out = self.parts.aged(part)
+        if out is None:
+            found = self.pieces(part)
+            out = self.piece_ids(found[0]) if len(found) == 1 else b"".join([self.piece_ids(p) for p in found])
+        self.parts.put(part, out)
         return out
 
     def _plain(self, text: str) -> bytes:
@@ -141,7 +174,7 @@ class Tokenizer:
             return b""
         parts = _CUT.split(text)
         parts[1:] = [" " + p for p in parts[1:]]
-        get, own = self.memo.get, self._part
+        get, own = self.parts.new.get, self._part
         return b"".join([get(p) or own(p) for p in parts])
 
     def encode(self, text: str) -> bytes:
@@ -167,23 +200,17 @@ def tokenizer(path: str, data: bytes | None) -> Tokenizer:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
-    """Pieces by falling frequency, ``limit`` at most."""
+    """What stands between spaces, by falling frequency; ``limit`` at most."""
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        pieces = regex.compile(PATTERN).findall
         for batch in batches:
-            chunks: Counter = Counter()
             for t in batch.column(0).to_pylist():
                 if t:
-                    chunks.update(_CUT.split(t))
-            for chunk, n in chunks.items():
-                if len(chunk) <= MEMO_LENGTH:
-                    for p in pieces(" " + chunk):
-                        counts[p] += n
-            if len(counts) > 4 * SUMMARY_WORDS:
-                least = sorted(counts.values(), reverse=True)[SUMMARY_WORDS]
-                counts = Counter({w: n - least for w, n in counts.items() if n > least})
+                    counts.update(t.split(" "))
+                if len(counts) > 8 * SUMMARY_WORDS:
+                    least = sorted(counts.values(), reverse=True)[SUMMARY_WORDS]
+                    counts = Counter({w: n - least for w, n in counts.items() if n > least})
         top = counts.most_common(SUMMARY_WORDS)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
@@ -196,7 +223,8 @@ def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WOR
 def compiled(docs: DataFrame, path: str, text: str = "text", limit: int = LEXICON_WORDS) -> bytes:
     """The transducer of the corpus's frequent words."""
     plain = Tokenizer(path)
-    return lexicon.build({w.encode(): plain.merged(w.encode()) for w in frequent_words(docs, text, limit)})
+    pieces = {p for w in frequent_words(docs, text, limit) if len(w) <= MEMO_LENGTH for p in plain.pieces(" " + w)}
+    return lexicon.build({p.encode(): plain.merged(p.encode()) for p in pieces})
 
 
 OUTPUTS = {"n_tokens": pa.int64(), "ids": pa.binary(), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
