@@ -123,4 +123,7 @@ def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: tupl
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return _measured(docs, text, rules).filter("__q.kept").drop("__q")
+    # The row number changes nothing but keeps Spark from moving the filter below the steps that it names,
+    # where every measure would be spelled out and computed many times over.
+    d = _measured(docs, text, rules).withColumn("__n", F.monotonically_increasing_id())
+    return d.filter("__q.kept AND __n >= 0").drop("__q", "__n")
