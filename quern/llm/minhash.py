@@ -6,8 +6,9 @@ share a band fall into one bucket. No bucket is expanded into all its pairs:
 
 1. its most popular member (the one that meets most others over all its
    buckets) is paired with each other member;
-2. what is not yet connected to that member's component is compared, sketch
-   against sketch in blocks, and each such member's best estimates go on;
+2. what is not yet connected to that member's component is compared, finer
+   sketch against finer sketch in blocks, and each such member's best estimates
+   go on;
 3. the same again with every estimate above the floor, for pairs whose ends
    are still in different components.
 
@@ -44,47 +45,55 @@ BANDS, ROWS = 32, 5
 #: Members of one block when a bucket is compared, and estimates sent on for each in the first comparison.
 BLOCK = 512
 BEST = 8
+#: Coordinates of the finer sketches, a byte each, and how many are compared first.
+FINE, COARSE = 1024, 128
 
 
 def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n_shingles, class, sketch, bands) for each row; class is a 128-bit digest of the set, null for an empty one."""
+    """(id, n_shingles, class, bands) for each row; class is a 128-bit digest of the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = shingles.Sketcher(bands * rows)
         for batch in batches:
-            sizes, classes, sketches, keys = [], [], [], []
+            sizes, classes, keys = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingles.shingle_set(t, n)
                 sizes.append(len(s))
                 if not len(s):
-                    classes.append(None), sketches.append(None), keys.append(None)
+                    classes.append(None), keys.append(None)
                     continue
                 k = sketcher(s)
                 classes.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sketches.append((k & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
                 keys.append(shingles.bands(k, rows).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "class", "sketch", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "n_shingles", "class", "bands"],
             )
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(
-        run, "id bigint, n_shingles bigint, class binary, sketch binary, bands array<bigint>"
+        run, "id bigint, n_shingles bigint, class binary, bands array<bigint>"
     )
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, n: int) -> DataFrame:
-    """(id, class, set) of the wanted (id, class)."""
+    """(id, size, fine, set) of the wanted (id, class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = shingles.Sketcher(FINE, seed=2)
         for batch in batches:
-            found = [shingles.shingle_set(t, n).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["id", "class", "set"])
+            found = [shingles.shingle_set(t, n) for t in batch.column(1).to_pylist()]
+            columns = (
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()),
+                pa.array([len(s) for s in found], pa.int32()),
+                pa.array([(sketcher(s) & np.uint64(0xFF)).astype(np.uint8).tobytes() if len(s) else None for s in found], pa.binary()),
+                pa.array([s.tobytes() for s in found], pa.binary()),
+            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "class", "size", "fine", "set"])
 
     rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t")).join(wanted.select("id"), "id", "left_semi")
-    made = rows.mapInArrow(run, "id bigint, class binary, set binary").join(wanted, ["id", "class"], "left_semi")
-    return made.dropDuplicates(["id"]).select("id", "set")
+    made = rows.mapInArrow(run, "id bigint, class binary, size int, fine binary, set binary").join(wanted, ["id", "class"], "left_semi")
+    return made.dropDuplicates(["id"]).select("id", "size", "fine", "set")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -105,8 +114,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint")
 
 
-def _block_pairs(members: DataFrame, sketches: DataFrame, floor: float, best: int | None) -> DataFrame:
-    """Pairs (a, b) of one bucket, in different components and with an estimate of at least ``floor``.
+def _floor(percent: int, coordinates: int) -> float:
+    """Share of agreeing bytes, five standard deviations below what the threshold gives."""
+    p = percent / 100
+    return p + (1 - p) / 256 - 5 * (p * (1 - p) / coordinates) ** 0.5
+
+
+def _block_pairs(members: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket, in different components and similar by their sizes and finer sketches.
 
     ``members`` is (key, id, c, minor): only minor members, those outside the
     component of the bucket's most popular member, need to be compared, with
@@ -117,21 +132,30 @@ def _block_pairs(members: DataFrame, sketches: DataFrame, floor: float, best: in
     dealt = members.join(count, "key").withColumn("h", F.xxhash64("id"))
     all_side = dealt.select("key", "id", "c", F.lit(False).alias("asks"), F.pmod("h", "nb").cast("int").alias("j"), F.explode(F.expr("sequence(0, mb - 1)")).alias("i"))
     ask_side = dealt.filter("minor").select("key", "id", "c", F.lit(True).alias("asks"), F.pmod("h", "mb").cast("int").alias("i"), F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))
-    rows = all_side.unionByName(ask_side).join(sketches, "id").select("key", "i", "j", "id", "c", "asks", "sketch")
+    rows = all_side.unionByName(ask_side).join(sets.select("id", "size", "fine"), "id").select("key", "i", "j", "id", "c", "asks", "size", "fine")
+    floor, first = _floor(percent, FINE), _floor(percent, COARSE)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        asks, rest = group[group.asks], group[~group.asks]
+        asks, rest = group[group.asks], group[~group.asks].sort_values(["size", "id"])
         out: list[tuple[int, int]] = []
         if len(asks) and len(rest):
-            s = np.stack([np.frombuffer(x, np.uint16) for x in rest.sketch])
-            ids, cs = rest.id.to_numpy(), rest.c.to_numpy()
-            for x, c, k in zip(asks.id, asks.c, asks.sketch, strict=True):
-                e = (s == np.frombuffer(k, np.uint16)).mean(axis=1)
-                at = np.flatnonzero((e >= floor) & (cs != c))
+            s = np.frombuffer(b"".join(rest.fine), np.uint8).reshape(len(rest), FINE)
+            head = np.ascontiguousarray(s[:, :COARSE])
+            ids, cs, sizes = rest.id.to_numpy(), rest.c.to_numpy(), rest["size"].to_numpy()
+            for x, c, n, k in zip(asks.id, asks.c, asks["size"], asks.fine, strict=True):
+                # Sets of too different sizes can't be similar enough.
+                lo, hi = np.searchsorted(sizes, -(-n * percent // 100)), np.searchsorted(sizes, n * 100 // percent, "right")
+                at = lo + np.flatnonzero(cs[lo:hi] != c)
+                own = np.frombuffer(k, np.uint8)
+                at = at[np.count_nonzero(head[at] == own[:COARSE], axis=1) >= first * COARSE]
+                if not len(at):
+                    continue
+                e = np.count_nonzero(s[at] == own, axis=1)
+                at, e = at[e >= floor * FINE], e[e >= floor * FINE]
                 if best is not None and len(at) > best:
-                    at = at[np.argsort(-e[at], kind="stable")[:best]]
-                out += [(min(x, y), max(x, y)) for y in ids[at]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                    at = at[np.argsort(-e, kind="stable")[:best]]
+                out += [(min(x, y), max(x, y)) for y in ids[at].tolist()]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
@@ -142,7 +166,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SH
     named = all_rows.filter("class IS NOT NULL AND id IS NOT NULL")
     reps = materialize(named.groupBy("class").agg(F.min("id").alias("rep")))
     chosen = named.join(reps, (named["class"] == reps["class"]) & (named["id"] == reps["rep"]), "left_semi").dropDuplicates(["id", "class"])
-    chosen = materialize(chosen.select("id", "class", "sketch", "bands"))
+    chosen = materialize(chosen.select("id", "class", "bands"))
 
     keys = chosen.select("id", F.explode("bands").alias("key")).distinct()
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -157,8 +181,6 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SH
     sets = materialize(_sets(docs, wanted, id, text, n))
     links = materialize(_verified(pairs, sets, percent))
 
-    sketches = chosen.select("id", "sketch").dropDuplicates(["id"])
-    floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
     for best in (BEST, None):
         found = components(links)
         members = met.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
@@ -166,7 +188,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SH
         members = members.join(major, "key").select("key", "id", "c", (F.col("c") != F.col("major")).alias("minor"))
         open_keys = members.filter("minor").select("key").distinct()
         members = materialize(members.join(open_keys, "key", "left_semi"))
-        more = _verified(_block_pairs(members, sketches, floor, best), sets, percent)
+        more = _verified(_block_pairs(members, sets, percent, best), sets, percent)
         links = materialize(links.union(more).distinct())
     found = components(links)
     ends = reps.join(found, reps["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component"))
