@@ -1,0 +1,10 @@
+"""Queries by operator, over the fixture tables."""
+
+
+def load():
+    """The registry with all plans in it."""
+    import importlib
+
+    for name in ("scalars",):
+        importlib.import_module(f"quern.plans.{name}")
+    return importlib.import_module("quern.plans.registry")
