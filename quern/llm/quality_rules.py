@@ -41,16 +41,17 @@ class Rule:
     min_words: int = 1
 
 
-#: Metrics are SQL over the measured columns; every one is a ratio with a guarded divisor.
+#: Metrics are SQL over the measured columns; every one is a ratio whose divisor is never 0,
+#: as Spark may compute it for rows that need it not.
 RULES = (
-    Rule("mean_word_length", "word_chars / n_words", low=2.0, high=14.0),
-    Rule("symbols_per_word", "n_symbols / n_words", high=0.1),
-    Rule("stop_words_per_word", "n_stop_words / n_words", low=0.02, min_words=50),
-    Rule("words_with_letter", "n_alpha_words / n_words", low=0.7),
+    Rule("mean_word_length", "word_chars / greatest(n_words, 1)", low=2.0, high=14.0),
+    Rule("symbols_per_word", "n_symbols / greatest(n_words, 1)", high=0.1),
+    Rule("stop_words_per_word", "n_stop_words / greatest(n_words, 1)", low=0.02, min_words=50),
+    Rule("words_with_letter", "n_alpha_words / greatest(n_words, 1)", low=0.7),
     Rule("duplicate_lines", "n_dup_lines / greatest(n_lines, 1)", high=0.5),
     Rule("ellipsis_lines", "n_ellipsis_lines / greatest(n_lines, 1)", high=0.3),
     Rule("bullet_lines", "n_bullet_lines / greatest(n_lines, 1)", high=0.9),
-    Rule("shouted_words", "n_shouts / n_words", high=0.1),
+    Rule("shouted_words", "n_shouts / greatest(n_words, 1)", high=0.1),
 )
 BASE_MIN_WORDS = 10
 BASE_MAX_REPEAT_PERCENT = 20
