@@ -28,6 +28,8 @@ STOP_WORDS = (
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Columns of intermediate steps.
+STEPS = ("__t", "__w", "__l", "__h", "__s", "__m")
 
 
 @dataclass(frozen=True)
@@ -103,8 +105,10 @@ def _measured(df: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     for n in sorted(measures, key=len, reverse=True):
         failed = _named(failed, n)
         verdict = _named(verdict, n)
-    d = d.withColumn("__q", F.struct("__m.*", F.expr(failed).alias("base_failed"), F.expr(verdict).alias("kept")))
-    return d.drop("__t", "__w", "__l", "__h", "__s", "__m")
+    # A generator of one row: Spark doesn't move a filter on its output below the steps that it names,
+    # where every measure would be spelled out and computed many times over.
+    verdicts = F.struct("__m.*", F.expr(failed).alias("base_failed"), F.expr(verdict).alias("kept"))
+    return d.select(*[c for c in d.columns if c not in STEPS], F.explode(F.array(verdicts)).alias("__q"))
 
 
 def _named(sql: str, name: str) -> str:
@@ -124,7 +128,4 @@ def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: tupl
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    # The row number changes nothing but keeps Spark from moving the filter below the steps that it names,
-    # where every measure would be spelled out and computed many times over.
-    d = _measured(docs, text, rules).withColumn("__n", F.monotonically_increasing_id())
-    return d.filter("__q.kept AND __n >= 0").drop("__q", "__n")
+    return _measured(docs, text, rules).filter("__q.kept").drop("__q")
