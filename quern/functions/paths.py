@@ -101,3 +101,14 @@ def glob_pattern(glob: str) -> str:
     import fnmatch
 
     return fnmatch.translate(glob)
+
+
+def stays_inside(path: Column) -> Column:
+    """Whether a relative path, resolved, never leaves its root."""
+    steps = F.transform(F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".")), lambda p: F.when(p == "..", -1).otherwise(1))
+    low = F.aggregate(steps, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a, x: F.struct((a.d + x).alias("d"), F.least(a.low, a.d + x).alias("low")), lambda a: a.low)
+    return ~path.startswith("/") & (low >= 0)
+
+
+def is_store_name(name: Column) -> Column:
+    return name.rlike(r"^[A-Za-z_][A-Za-z0-9_\-]*$")

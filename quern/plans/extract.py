@@ -177,6 +177,19 @@ def fitted_blocks(spark, sf_dir):
     return I.fitted_blocks(s, 2400)
 
 
+@query("EXT-25", "SELECT doc_id FROM documents")
+def embedding_batches(spark, sf_dir):
+    """Batches within a padded budget, each task over its own rows; results don't depend on them."""
+    import pandas as pd
+
+    def run(frames):
+        for b in frames:
+            out = [(int(i), k) for k, ids in enumerate(I.batches_by_budget(zip(b.doc_id, b.n_chars, strict=True), 65_536, 64)) for i in ids]
+            yield pd.DataFrame(out, columns=["doc_id", "batch"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").mapInPandas(run, "doc_id bigint, batch bigint").select("doc_id")
+
+
 @query("EXT-26", _expected([("def f(v0, v1=1):\n    return helper(v0) + v1",)], "renamed"))
 def renamed_functions(spark, sf_dir):
     rename = F.udf(X.renamed_function, "string")

@@ -410,3 +410,14 @@ def clipped_content(spark, sf_dir):
 def display_names(spark, sf_dir):
     k = F.col("doc_id") % 4
     return view(spark, sf_dir, "files").select("doc_id", text.first_filled(F.when(k == 0, F.lit("")), F.when(k == 1, F.col("lang")), F.col("file_path")).alias("name"))
+
+
+@query("FN-18", "SELECT doc_id, doc_id % 4 IN (1, 3) AS inside FROM documents")
+def path_guards(spark, sf_dir):
+    made = F.element_at(F.array(F.lit("../x"), F.lit("a/../b"), F.lit("a/../../c"), F.lit("a/./b/../c")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", paths.stays_inside(made).alias("inside"))
+
+
+@query("FN-19", r"SELECT page_id, regexp_matches(regexp_extract(url, '://([^/]*)', 1), '^[A-Za-z_][A-Za-z0-9_\-]*$') AS ok FROM pages")
+def name_guards(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", paths.is_store_name(F.regexp_extract("url", "://([^/]*)", 1)).alias("ok"))
