@@ -47,6 +47,8 @@ BLOCK = 512
 BEST = 8
 #: Coordinates of the finer sketches, a byte each, and how many are compared first.
 FINE, COARSE = 1024, 128
+#: Members compared in one call, about.
+SLOT_ROWS = 2048
 
 
 def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -120,7 +122,7 @@ def _floor(percent: int, coordinates: int) -> float:
     return p + (1 - p) / 256 - 5 * (p * (1 - p) / coordinates) ** 0.5
 
 
-def _block_pairs(members: DataFrame, sets: DataFrame, percent: int, best: int | None) -> DataFrame:
+def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Pairs (a, b) of one bucket, in different components and similar by their sizes and finer sketches.
 
     ``members`` is (key, id, c, minor): only minor members, those outside the
@@ -130,34 +132,50 @@ def _block_pairs(members: DataFrame, sets: DataFrame, percent: int, best: int |
     count = members.groupBy("key").agg(F.sum(F.col("minor").cast("int")).alias("m"), F.count("*").alias("n"))
     count = count.filter("m > 0").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
     dealt = members.join(count, "key").withColumn("h", F.xxhash64("id"))
-    all_side = dealt.select("key", "id", "c", F.lit(False).alias("asks"), F.pmod("h", "nb").cast("int").alias("j"), F.explode(F.expr("sequence(0, mb - 1)")).alias("i"))
-    ask_side = dealt.filter("minor").select("key", "id", "c", F.lit(True).alias("asks"), F.pmod("h", "mb").cast("int").alias("i"), F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))
-    rows = all_side.unionByName(ask_side).join(sets.select("id", "size", "fine"), "id").select("key", "i", "j", "id", "c", "asks", "size", "fine")
+    all_side = dealt.select("key", "id", "c", "minor", F.lit(False).alias("asks"), F.pmod("h", "nb").cast("int").alias("j"), F.explode(F.expr("sequence(0, mb - 1)")).alias("i"))
+    ask_side = dealt.filter("minor").select("key", "id", "c", "minor", F.lit(True).alias("asks"), F.pmod("h", "mb").cast("int").alias("i"), F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))
+    # Each pair counts in the first bucket that its ends share, so the bands come along.
+    rows = all_side.unionByName(ask_side).join(sets.select("id", "size", "fine"), "id").join(bands, "id")
+    # Most buckets are small: many are compared in one call.
+    slots = max(1, members.count() // SLOT_ROWS)
+    rows = rows.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(slots)).alias("slot"), "key", "i", "j", "id", "c", "asks", "minor", "size", "fine", "bands")
     floor, first = _floor(percent, FINE), _floor(percent, COARSE)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        asks, rest = group[group.asks], group[~group.asks].sort_values(["size", "id"])
+        group = group.sort_values(["key", "i", "j", "asks", "size", "id"])
+        key, i, j = (group[k].to_numpy() for k in ("key", "i", "j"))
+        ids, cs, asks, minor, sizes = (group[k].to_numpy() for k in ("id", "c", "asks", "minor", "size"))
+        fine = np.frombuffer(b"".join(group.fine), np.uint8).reshape(len(group), FINE)
+        head = np.ascontiguousarray(fine[:, :COARSE])
+        every = np.stack(group.bands.to_numpy())
+        turns = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         out: list[tuple[int, int]] = []
-        if len(asks) and len(rest):
-            s = np.frombuffer(b"".join(rest.fine), np.uint8).reshape(len(rest), FINE)
-            head = np.ascontiguousarray(s[:, :COARSE])
-            ids, cs, sizes = rest.id.to_numpy(), rest.c.to_numpy(), rest["size"].to_numpy()
-            for x, c, n, k in zip(asks.id, asks.c, asks["size"], asks.fine, strict=True):
+        for start, end in zip([0, *turns], [*turns, len(key)], strict=True):
+            middle = start + int(np.searchsorted(asks[start:end], True))  # those asked first, then those that ask
+            if middle in (start, end):
+                continue
+            for x in range(middle, end):
                 # Sets of too different sizes can't be similar enough.
-                lo, hi = np.searchsorted(sizes, -(-n * percent // 100)), np.searchsorted(sizes, n * 100 // percent, "right")
-                at = lo + np.flatnonzero(cs[lo:hi] != c)
-                own = np.frombuffer(k, np.uint8)
-                at = at[np.count_nonzero(head[at] == own[:COARSE], axis=1) >= first * COARSE]
+                n = int(sizes[x])
+                lo = start + int(np.searchsorted(sizes[start:middle], -(-n * percent // 100)))
+                hi = start + int(np.searchsorted(sizes[start:middle], n * 100 // percent, "right"))
+                at = lo + np.flatnonzero(cs[lo:hi] != cs[x])
+                if best is None:  # two that both ask are compared from one side
+                    at = at[~(minor[at] & (ids[at] < ids[x]))]
+                at = at[np.count_nonzero(head[at] == head[x], axis=1) >= first * COARSE]
                 if not len(at):
                     continue
-                e = np.count_nonzero(s[at] == own, axis=1)
+                e = np.count_nonzero(fine[at] == fine[x], axis=1)
                 at, e = at[e >= floor * FINE], e[e >= floor * FINE]
+                shared = every[at] == every[x]
+                own = every[x][np.argmax(shared, axis=1)] == key[x]
+                at, e = at[own], e[own]
                 if best is not None and len(at) > best:
                     at = at[np.argsort(-e, kind="stable")[:best]]
-                out += [(min(x, y), max(x, y)) for y in ids[at].tolist()]
+                out += [(min(ids[x], y), max(ids[x], y)) for y in ids[at].tolist()]
         return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy("slot").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -188,7 +206,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SH
         members = members.join(major, "key").select("key", "id", "c", (F.col("c") != F.col("major")).alias("minor"))
         open_keys = members.filter("minor").select("key").distinct()
         members = materialize(members.join(open_keys, "key", "left_semi"))
-        more = _verified(_block_pairs(members, sets, percent, best), sets, percent)
+        more = _verified(_block_pairs(members, sets, chosen.select("id", "bands").dropDuplicates(["id"]), percent, best), sets, percent)
         links = materialize(links.union(more).distinct())
     found = components(links)
     ends = reps.join(found, reps["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component"))
