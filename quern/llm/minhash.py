@@ -46,7 +46,7 @@ BANDS, ROWS = 32, 5
 BLOCK = 512
 BEST = 8
 #: Coordinates of the finer sketches, a byte each, and how many are compared first.
-FINE, COARSE = 1024, 128
+FINE, COARSE = 2048, 128
 #: Members compared in one call, about.
 SLOT_ROWS = 2048
 
