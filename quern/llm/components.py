@@ -16,26 +16,28 @@ from quern.llm.common import materialize
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every end of ``links`` (a, b); component is the least id reachable."""
-    edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), narrow=True)
     labels = None
     while not edges.isEmpty():
         ends = edges.select("a", "b").union(edges.select("b", "a"))
         up = ends.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("p"))
-        up = materialize(up)
-        while True:
-            above = up.select(F.col("u").alias("p"), F.col("p").alias("g"))
-            jumped = materialize(up.join(above, "p").select("u", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")))
-            up = jumped.select("u", "p")
-            if jumped.filter("moved").isEmpty():
-                break
+        up = materialize(up, narrow=True)
+        moved = True
+        while moved:  # two jumps a table
+            for _ in range(2):
+                up = up.join(up.select(F.col("u").alias("p"), F.col("p").alias("g")), "p").select("u", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved"))
+                moved = up
+                up = up.select("u", "p")
+            jumped = materialize(moved, narrow=True)
+            up, moved = jumped.select("u", "p"), not jumped.filter("moved").isEmpty()
         if labels is None:
             labels = up.select(F.col("u").alias("id"), F.col("p").alias("component"))
         else:
             root = up.select(F.col("u").alias("component"), F.col("p").alias("q"))
-            labels = materialize(labels.join(root, "component", "left").select("id", F.coalesce("q", "component").alias("component")))
+            labels = materialize(labels.join(root, "component", "left").select("id", F.coalesce("q", "component").alias("component")), narrow=True)
         left, right = (up.select(F.col("u").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
         edges = edges.join(left, "a").join(right, "b").filter("pa <> pb")
-        edges = materialize(edges.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        edges = materialize(edges.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), narrow=True)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels

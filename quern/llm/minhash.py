@@ -197,18 +197,19 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SH
     pairs = met.join(hubs, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     wanted = chosen.select("id", "class").join(met.select("id").distinct(), "id", "left_semi")
     sets = materialize(_sets(docs, wanted, id, text, n))
-    links = materialize(_verified(pairs, sets, percent))
+    links = materialize(_verified(pairs, sets, percent), narrow=True)
+    found = components(links)
 
     for best in (BEST, None):
-        found = components(links)
         members = met.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         major = hubs.join(found.withColumnRenamed("id", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("major"))
         members = members.join(major, "key").select("key", "id", "c", (F.col("c") != F.col("major")).alias("minor"))
         open_keys = members.filter("minor").select("key").distinct()
         members = materialize(members.join(open_keys, "key", "left_semi"))
-        more = _verified(_block_pairs(members, sets, chosen.select("id", "bands").dropDuplicates(["id"]), percent, best), sets, percent)
-        links = materialize(links.union(more).distinct())
-    found = components(links)
+        more = materialize(_verified(_block_pairs(members, sets, chosen.select("id", "bands").dropDuplicates(["id"]), percent, best), sets, percent), narrow=True)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
     ends = reps.join(found, reps["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component"))
     return all_rows.select("id", "n_shingles", "class"), materialize(ends)
 
