@@ -68,7 +68,7 @@ def pagerank(edges: DataFrame, iterations: int = 100, tolerance: float | None =
 
 
 def dependents(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(seed, v, depth): all that consume a seed, directly or not; the seed itself only if it is on a cycle... never as its own dependent."""
+    """(seed, v, depth): all that consume a seed, directly or not, but for the seed itself."""
     edges = written(edges.select("consumer", "provider").distinct())
     seen = written(seeds.select(F.col("v").alias("seed"), "v", F.lit(0).alias("depth")))
     front, depth = seen, 0

@@ -131,7 +131,7 @@ def test_discovery(spark, tmp_path):
 
 
 def test_guards():
-    assert guards.store_name("code_kosha") == "code_kosha"
+    assert guards.store_name("main_store") == "main_store"
     assert guards.inside("/r", "a/../b") == "/r/b"
     for bad in ("../x", "/etc/passwd", "a/../../x"):
         with pytest.raises(ValueError, match="outside"):
