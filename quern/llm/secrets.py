@@ -35,7 +35,8 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 SHAPES = {"assign": (ASSIGN, 2, 8), "access": (ACCESS, 0, 16), "hex": (HEX, 0, 32)}
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}"
+#: A long token with its base64 padding, if any; a '=' that more of a token follows is none.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 #: Encodings by their alphabet, what a token of it must match, and the chance that two characters of structured text of that form agree.
 ENCODINGS = {
     "hex": ("0123456789abcdef", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", 0.12),
@@ -124,7 +125,7 @@ def _scanned(docs: DataFrame, id: str, text: str) -> DataFrame:
     for name, (pattern, group, least) in SHAPES.items():
         df = _find(df, name, pattern, group, least)
     df = _find(df, "token", CANDIDATE, 0, 20)
-    scored = f"transform(token, s -> struct(s.start AS start, s.end AS end, {_scored('substring(__t, cast(s.start + 1 AS int), cast(s.end - s.start AS int))')} AS v))"
+    scored = f"transform(token, s -> struct(s.start AS start, s.end AS end, {_scored("rtrim('=', substring(__t, cast(s.start + 1 AS int), cast(s.end - s.start AS int)))")} AS v))"
     df = df.withColumn("tokens", F.expr(f"CASE WHEN size(token) > 0 THEN filter({scored}, x -> x.v IS NOT NULL) END"))
     return df.select("__id", "assign", "access", "hex", "tokens")
 

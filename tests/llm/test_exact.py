@@ -189,6 +189,21 @@ def test_random_tokens_are_told_from_names(spark):
     assert not hit - set(range(60))
 
 
+def test_random_tokens_after_signs_and_quotes(spark):
+    rng = random.Random(8)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = ["AWS_ACCOUNT_ACCESS_VALUE={}", "https://host.example/x?sig={}&v=1", "key:{}", "key = '{}'", 'value="{}"', "x=={}==", "pad={}="]
+    ends = {"x=={}==": "==", "pad={}=": "="}
+    keys = {i: "".join(rng.choices(chars, k=60)) for i in range(20 * len(forms))}
+    rows = {i: forms[i % len(forms)].format(k) for i, k in keys.items()}
+    d = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    found = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.random] for r in secrets.scan(d).collect()}
+    for form in range(len(forms)):
+        hits = [i for i in keys if i % len(forms) == form and keys[i] + ends.get(forms[form], "") in found[i]]
+        assert len(hits) >= 17
+    assert not any("VALUE" in x for v in found.values() for x in v)
+
+
 def test_op8_windows(spark):
     rows = {i: shingles.words(t or "") for i, t in texts(spark).items()}
     seen = collections.Counter(tuple(w[k : k + 35]) for w in rows.values() for k in range(len(w) - 34))
