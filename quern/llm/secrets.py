@@ -37,13 +37,22 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: A long token with its base64 padding, if any; a '=' that more of a token follows is none.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
-#: Encodings by their alphabet, what a token of it must match, and the chance that two characters of structured text of that form agree.
+#: Encodings by their alphabet, what a token of it must match, and the chance that two characters of structured text of that form agree. The first that fits counts; the last four take what the others leave.
 ENCODINGS = {
     "hex": ("0123456789abcdef", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", 0.12),
+    "hex_upper": ("0123456789ABCDEF", r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", 0.12),
     "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", 0.065),
     "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", r"^(?=.*[0-9])(?=.*[g-z])[0-9a-z]+$", 0.065),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$", 0.05),
+    "base36_upper": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", 0.065),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", 0.05),
+    "lower": ("abcdefghijklmnopqrstuvwxyz", r"^[a-z]{2,}$", 0.065),
+    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^[A-Z]{2,}$", 0.065),
+    "letters": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", r"^[A-Za-z]{2,}$", 0.05),
+    "decimal": ("0123456789", r"^[0-9]{2,}$", 0.12),
 }
+#: Tokens cut up by signs that their encoding has not (UUIDs, serial numbers) are tested without the signs, apart from whole ones.
+SIGNS, CUT = "+/_-", "_cut"
+FAMILIES = [e + cut for cut in ("", CUT) for e in ENCODINGS]
 #: No test may be this many standard deviations off.
 Z = 3.3
 FDR = 0.01
@@ -90,11 +99,13 @@ def _find(df: DataFrame, name: str, pattern: str, group: int, least: int) -> Dat
 
 
 def _scored(token: str) -> str:
-    """SQL of a struct (enc, bin, random) for one token; null where no encoding fits."""
+    """SQL of a struct (enc, bin, random) for one token; null where less than two characters are left without signs."""
+    base64 = _quoted(ENCODINGS["base64"][1])
+    whole = f"translate({token}, '-_', '+/')"
     out = "CASE"
     for name, (alphabet, shape, agree) in ENCODINGS.items():
         k = len(alphabet)
-        t = f"translate({token}, '-_', '+/')" if name == "base64" else token
+        t = "w.v"
         counts = f"transform(split('{alphabet}', ''), a -> length(t.v) - length(replace(t.v, a, '')))"
         places = f"transform(split(t.v, ''), c -> cast(instr('{alphabet}', c) AS double))"
         chi = f"(({k} / s.n) * s.o - s.n - {k - 1}) / {math.sqrt(2 * (k - 1))}"
@@ -115,9 +126,12 @@ def _scored(token: str) -> str:
         z = f"((u.c + 0.5 - {expected}) / sqrt(1.5 * {expected}))"
         # Minus the decimal logarithm of the normal tail, by its usual logistic approximation.
         tail = f"(ln(1 + exp(least(700D, -(1.5976 * greatest({z}, -14D) + 0.07056 * pow(greatest({z}, -14D), 3))))) / {math.log(10)})"
-        level3 = f"transform({level2}, u -> named_struct('enc', '{name}', 'bin', cast(least({BINS}, floor({tail} / {BIN_WIDTH})) AS int), 'random', abs(u.chi) < {Z} AND abs({zr}) < {Z} AND abs({zs}) < {Z}))"
-        out += f" WHEN {token} rlike {_quoted(shape)} THEN element_at({level3}, 1)"
-    return out + " END"
+        level3 = f"transform({level2}, u -> named_struct('enc', concat('{name}', w.cut), 'bin', cast(least({BINS}, floor({tail} / {BIN_WIDTH})) AS int), 'random', abs(u.chi) < {Z} AND abs({zr}) < {Z} AND abs({zs}) < {Z}))"
+        out += f" WHEN w.v rlike {_quoted(shape)} THEN element_at({level3}, 1)"
+    bare = f"translate({token}, '{SIGNS}', '')"
+    keep = f"({whole} rlike {base64})"
+    named = f"CASE WHEN {keep} THEN named_struct('v', {whole}, 'cut', '') ELSE named_struct('v', {bare}, 'cut', CASE WHEN {token} = {bare} THEN '' ELSE '{CUT}' END) END"
+    return f"element_at(transform(array({named}), w -> {out} END), 1)"
 
 
 def _scanned(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -135,7 +149,7 @@ def _thresholds(scanned: DataFrame) -> dict[str, int]:
     tokens = scanned.filter("size(tokens) > 0").select(F.explode("tokens.v").alias("v"))
     counts = tokens.groupBy("v.enc", "v.bin").agg(F.count("*").alias("n")).collect()
     out = {}
-    for enc in ENCODINGS:
+    for enc in FAMILIES:
         own = {r.bin: r.n for r in counts if r.enc == enc}
         total, seen, out[enc] = sum(own.values()), 0, BINS + 1
         for b in sorted(own, reverse=True):

@@ -204,6 +204,19 @@ def test_random_tokens_after_signs_and_quotes(spark):
     assert not any("VALUE" in x for v in found.values() for x in v)
 
 
+def test_random_tokens_of_every_encoding(spark):
+    rng = random.Random(9)
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = [(digits + "ABCDEF", 64), (digits + low.upper(), 64), (low, 96), (low.upper(), 96), (low + low.upper(), 64), (digits, 160)]
+    keys = ["".join(rng.choices(a, k=n)) for a, n in kinds for _ in range(30)]
+    keys += ["-".join("".join(rng.choices(digits + "ABCDEFGHJKLMNPQRSTUVWXYZ", k=8)) for _ in range(8)) for _ in range(30)]
+    names = ["-" * 40, "a" + "-" * 30, "a" * 5000, "how-to-set-up-a-development-environment-for-the-first-time", "MAXIMUM_NUMBER_OF_CONNECTIONS_FOR_EVERY_ACCOUNT", "internationalizationconfiguration", "0" * 60]
+    d = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(keys + names)], "doc_id bigint, text string")
+    hit = {r.doc_id for r in secrets.scan(d).filter("size(random) > 0").collect()}
+    assert all(len(hit & set(range(30 * k, 30 * k + 30))) >= 25 for k in range(len(kinds) + 1))
+    assert not hit - set(range(len(keys)))
+
+
 def test_op8_windows(spark):
     rows = {i: shingles.words(t or "") for i, t in texts(spark).items()}
     seen = collections.Counter(tuple(w[k : k + 35]) for w in rows.values() for k in range(len(w) - 34))
