@@ -122,6 +122,21 @@ def _floor(percent: int, coordinates: int) -> float:
     return p + (1 - p) / 256 - 5 * (p * (1 - p) / coordinates) ** 0.5
 
 
+def _dealt(members: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
+    """The rows of all blocks of ``_block_pairs``, with the slot that compares them."""
+    count = members.groupBy("key").agg(F.sum(F.col("minor").cast("int")).alias("m"), F.count("*").alias("n"))
+    count = count.filter("m > 0").select("key", "m", "n", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+    dealt = members.join(count.select("key", "mb", "nb"), "key").withColumn("h", F.xxhash64("id"))
+    all_side = dealt.select("key", "id", "c", "minor", F.lit(False).alias("asks"), F.pmod("h", "nb").cast("int").alias("j"), F.explode(F.expr("sequence(0, mb - 1)")).alias("i"))
+    ask_side = dealt.filter("minor").select("key", "id", "c", "minor", F.lit(True).alias("asks"), F.pmod("h", "mb").cast("int").alias("i"), F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))
+    # Each pair counts in the first bucket that its ends share, so the bands come along.
+    rows = all_side.unionByName(ask_side).join(sets.select("id", "size", "fine"), "id").join(bands, "id")
+    # Most buckets are small: many are compared in one call. Rows are counted with their copies, of which a large bucket has many.
+    copies = count.agg(F.sum(F.col("n") * F.col("mb") + F.col("m") * F.col("nb"))).first()[0] or 0
+    slots = max(1, copies // SLOT_ROWS)
+    return rows.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(slots)).alias("slot"), "key", "i", "j", "id", "c", "asks", "minor", "size", "fine", "bands")
+
+
 def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Pairs (a, b) of one bucket, in different components and similar by their sizes and finer sketches.
 
@@ -129,16 +144,7 @@ def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent:
     component of the bucket's most popular member, need to be compared, with
     each other and with the rest. Both sides are dealt into blocks.
     """
-    count = members.groupBy("key").agg(F.sum(F.col("minor").cast("int")).alias("m"), F.count("*").alias("n"))
-    count = count.filter("m > 0").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    dealt = members.join(count, "key").withColumn("h", F.xxhash64("id"))
-    all_side = dealt.select("key", "id", "c", "minor", F.lit(False).alias("asks"), F.pmod("h", "nb").cast("int").alias("j"), F.explode(F.expr("sequence(0, mb - 1)")).alias("i"))
-    ask_side = dealt.filter("minor").select("key", "id", "c", "minor", F.lit(True).alias("asks"), F.pmod("h", "mb").cast("int").alias("i"), F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))
-    # Each pair counts in the first bucket that its ends share, so the bands come along.
-    rows = all_side.unionByName(ask_side).join(sets.select("id", "size", "fine"), "id").join(bands, "id")
-    # Most buckets are small: many are compared in one call.
-    slots = max(1, members.count() // SLOT_ROWS)
-    rows = rows.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(slots)).alias("slot"), "key", "i", "j", "id", "c", "asks", "minor", "size", "fine", "bands")
+    rows = _dealt(members, sets, bands)
     floor, first = _floor(percent, FINE), _floor(percent, COARSE)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:

@@ -77,6 +77,17 @@ def test_op2_chains_and_families(spark):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_slots_of_a_large_bucket_are_bounded(spark):
+    """Each member comes once for every block it meets; no task may get them all."""
+    ids = spark.range(4000)
+    members = ids.select(F.lit(5).cast("bigint").alias("key"), "id", F.col("id").alias("c"), (F.col("id") > 0).alias("minor"))
+    sets = ids.select("id", F.lit(9).alias("size"), F.lit("x").cast("binary").alias("fine"))
+    bands = ids.select("id", F.array(F.lit(5).cast("bigint")).alias("bands"))
+    sizes = [r["count"] for r in minhash._dealt(members, sets, bands).groupBy("slot").count().collect()]
+    assert sum(sizes) == 4000 * 8 + 3999 * 8
+    assert max(sizes) <= 5 * minhash.SLOT_ROWS
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(3)
     s = shingles.Sketcher(160)
