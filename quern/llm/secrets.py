@@ -113,7 +113,7 @@ def _scored(token: str) -> str:
         runs = f"(1 + size(filter(sequence(1, cast(s.n AS int) - 1), i -> (s.x[i] > {k / 2}) <> (s.x[i - 1] > {k / 2}))))"
         mean = "(aggregate(s.x, 0D, (a, v) -> a + v) / s.n)"
         # Nested one-element transforms name intermediate values, so that none is computed twice.
-        level1 = f"transform(array(named_struct('v', {t})), t -> named_struct('n', cast(length(t.v) AS double), 'o', aggregate({counts}, 0D, (a, c) -> a + c * c), 'x', {places}))"
+        level1 = f"transform(array(named_struct('v', {t})), t -> named_struct('n', cast(length(t.v) AS double), 'o', aggregate({counts}, 0D, (a, c) -> a + cast(c AS double) * c), 'x', {places}))"
         level2 = (
             f"transform({level1}, s -> named_struct('n', s.n, 'c', (s.o - s.n) / 2, 'chi', {chi}, 'n1', cast({high} AS double), 'r', {runs}, 'x', s.x, 'm', {mean}))"
         )
