@@ -10,34 +10,39 @@ than ``min_chars``, stay.
    few places that its length allows. Segments are indexed and probed under a
    hash of (length, number, characters).
 3. A key with at most ``PAIRS_UP_TO`` lines yields its pairs. A hotter one is
-   never expanded into pairs: its lines are dealt anew by what their characters
-   leave when up to ``edits`` of them are taken out (an order-free hash, so as
-   many keys as a line has different characters, not positions). Lines within
-   the budget still meet; others hardly do.
+   never expanded into pairs: its lines agree in the segment, so that what is
+   left of them must be within the budget, and is split and probed in the same
+   way under the key. This ends when keys are small, or lines agree in all but
+   a few characters at one place.
 4. Pairs are verified with a banded bit-parallel edit automaton, after common
    ends are cut off by bisection.
 
-The documents are partitioned by id once, for fetching the lines to verify and
-for removing lines. Row widths are fixed in all other exchanges.
+Places of hot lines are joined with one row a line, which adaptive execution
+splits. Row widths are fixed in all exchanges but those that fetch the lines to
+verify and remove lines, which go by id and text.
 
 Defined results: a null or empty text has no lines and stays as it is; rows
 equal in id and text count as one document and both keep its first lines; rows
 that repeat an id with another text are judged by their own text; a null id
-comes first. An empty table gives an empty result. Other columns are ignored by
-``dedup`` and returned untouched by ``deduplicate``.
+comes first. Ids are of any type that has an order. An empty table gives an
+empty result. Other columns, whatever their names, are ignored by ``dedup`` and
+returned untouched by ``deduplicate``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.llm.common import WORD, materialize
+from quern.llm.common import WORD, materialize, scratch
 
 EDITS = 1
 MIN_CHARS = 20
 PAIRS_UP_TO = 64
-NO_ID = -(1 << 63)
+#: A document is left to near-duplicate detection if lines of this share of it come from one earlier document, whose length is within this ratio of its own.
+COPIED, LIKE_SIZE = 0.05, 0.8
+_NULL_FIRST = -(1 << 63) - 1
 
 
 def segments(length: str, edits: int) -> list[tuple[str, str]]:
@@ -47,8 +52,8 @@ def segments(length: str, edits: int) -> list[tuple[str, str]]:
     return [(cut[i], f"({cut[i + 1]} - {cut[i]})") for i in range(n)]
 
 
-def _keys(edits: int) -> list[tuple[str, bool]]:
-    """SQL of each segment key of (line, n), and whether it is an index entry of the line itself.
+def _keys(edits: int, line: str = "line", under: str = "") -> list[tuple[str, bool, int, str, str, bool]]:
+    """Of each segment key of (line, n): its SQL, whether it is an index entry of the line itself, d, the SQL of where it starts and of its size, and whether it ends both lines.
 
     A line of n characters probes the index of lines of n - d characters at the
     places where a segment may have moved: k before it to the left and the rest
@@ -59,9 +64,9 @@ def _keys(edits: int) -> list[tuple[str, bool]]:
         for i, (offset, size) in enumerate(segments(f"n - {d}", edits)):
             low, high = max(-i, d - (edits - i)), min(i, d + (edits - i))
             for shift in range(low, high + 1):
-                key = f"xxhash64({i}, n - {d}, substring(line, {offset} + {1 + shift}, {size}))"
+                key = f"xxhash64({under}{i}, n - {d}, substring({line}, {offset} + {1 + shift}, {size}))"
                 inside = f"{offset} + {shift} >= 0 AND {offset} + {shift} + {size} <= n AND n - {d} > {edits}"
-                out.append((f"CASE WHEN {inside} THEN {key} END", d == 0 and shift == 0))
+                out.append((f"CASE WHEN {inside} THEN {key} END", d == 0 and shift == 0, d, f"({offset} + {shift})", size, i in (0, edits)))
     return out
 
 
@@ -109,102 +114,149 @@ def within(a: str, b: str, edits: int) -> Column:
 
 def _rows(docs: DataFrame, id: str, text: str) -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(body).alias("t"), body.alias("text"))
+    return docs.select(F.col(id).alias("id"), F.xxhash64(body).alias("t"), body.alias("text"))
 
 
-def _removed(rows: DataFrame, edits: int, min_chars: int, pairs_up_to: int) -> DataFrame:
-    """(id, gone): for each id, the (t, pos, near) to remove."""
+def _order(rows: DataFrame) -> Column:
+    """What lines are ordered by; for whole numbers packed into one of fixed width, so that equal lines are summed by hash before the exchange."""
+    if isinstance(rows.schema["id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        number = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(str(_NULL_FIRST)).cast("decimal(20,0)"))
+        return (number * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")).cast("decimal(32,0)")
+    return F.struct("id", "pos")
+
+
+def _on_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joined by id and text hash; null ids are equal, and dealt by their texts."""
+    right = right.withColumnsRenamed({"id": "_id", "t": "_t"})
+    return left.join(right, left["id"].eqNullSafe(right["_id"]) & (left["t"] == right["_t"]), how).drop("_id", "_t")
+
+
+def _live(entries: DataFrame) -> DataFrame:
+    """The entries of keys under which an index entry meets another, with the number ``c`` of all under the key."""
+    counts = materialize(entries.groupBy("key").agg(F.count("*").alias("c"), F.sum("own").alias("o")).filter("c > 1 AND o > 0").select("key", "c"), narrow=True)
+    return materialize(entries.join(counts, "key"))
+
+
+def _entries(keys: list, own: str, keyed) -> Column:
+    return F.array(*[F.struct(keyed(k).alias("key"), F.expr(f"{own} * {int(mine)}").alias("own"), F.lit(k).alias("k")) for k, (_, mine, *_) in enumerate(keys)])
+
+
+def _candidates(live: DataFrame, texts: DataFrame, edits: int, pairs_up_to: int) -> DataFrame:
+    """(key, own, h, g): keys small enough for all their pairs, which hold all pairs within the budget."""
+    keys = _keys(edits)
+    pick = lambda part: "CASE k " + " ".join(f"WHEN {k} THEN {x[part]}" for k, x in enumerate(keys)) + " END"
+    # A segment at an end of both lines leaves one stretch; others leave two, told apart by a sign that no line has.
+    mark = f"CASE WHEN k IN ({', '.join(str(k) for k, x in enumerate(keys) if x[5])}) THEN '' ELSE '\\n' END"
+    enough = edits if edits == 1 else 4 * (edits + 1)
+    small, level = [], live
+    while True:
+        small.append(level.filter(F.col("c") <= pairs_up_to).select("key", "own", "h", "g"))
+        hot = level.filter(F.col("c") > pairs_up_to)
+        if hot.isEmpty():
+            break
+        if "rest" not in hot.columns:
+            hot = hot.join(texts.select("h", "g", F.col("line").alias("rest")), ["h", "g"])
+        hot = hot.withColumn("n", F.length("rest")).withColumn("at", F.expr(pick(3))).withColumn("size", F.expr(pick(4))).withColumn("d", F.expr(pick(2)))
+        hot = hot.select("key", "own", "h", "g", "d", F.expr(f"concat(left(rest, at), {mark}, substring(rest, at + size + 1))").alias("rest")).withColumn("n", F.length("rest"))
+        hot = materialize(hot)
+        small.append(hot.filter(f"n - d <= {enough}").select("key", "own", "h", "g"))
+        again = _keys(edits, "rest", "key, ")
+        made = _entries(again, "own", lambda k, again=again: F.expr(f"CASE WHEN d = {again[k][2]} THEN {again[k][0]} END"))
+        entries = hot.filter(f"n - d > {enough}").select("h", "g", "rest", F.inline(made)).filter("key IS NOT NULL")
+        level = _live(entries)
+    out = small[0]
+    for more in small[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _removed(rows: DataFrame, edits: int, min_chars: int, pairs_up_to: int, sources: bool = False) -> DataFrame:
+    """(id, t, gone): for each document, the (pos, near) to remove; with ``sources`` grouped by the earlier document, as (id, t, src, src_t, src_chars, gone)."""
     keys = _keys(edits)
-    lines = rows.select("id", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("n", F.length("line"))
+    lines = rows.select("id", "t", F.length("text").alias("chars"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("n", F.length("line"))
     lines = lines.filter((F.col("n") >= min_chars) & F.col("line").rlike(WORD))
-    lines = lines.select("id", "t", "pos", F.xxhash64("line").alias("h"), F.hash(F.lit(7), F.col("line")).alias("g"), *[F.expr(k).alias(f"k{i}") for i, (k, _) in enumerate(keys)])
+    extra = ["chars", "n"] if sources else []
+    lines = lines.select("id", "t", "pos", *extra, F.xxhash64("line").alias("h"), F.hash(F.lit(7), F.col("line")).alias("g"), *[F.expr(k[0]).alias(f"k{i}") for i, k in enumerate(keys)])
     lines = materialize(lines)
-    # Fixed-width buffers only, so that equal lines are summed by hash before and after the exchange.
-    order = F.col("id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")
-    placed = lines.withColumn("ord", order.cast("decimal(32,0)"))
-    distinct = placed.groupBy("h", "g").agg(
-        F.min("ord").alias("ord"), F.min_by("id", "ord").alias("id"), F.min_by("t", "ord").alias("t"), F.min_by("pos", "ord").alias("pos"), F.count("*").alias("cnt"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))]
+    placed = lines.withColumn("ord", _order(rows))
+    firsts = ["id", "t", "pos", *extra[:1]]
+    distinct = materialize(
+        placed.groupBy("h", "g").agg(F.min("ord").alias("ord"), F.count("*").alias("cnt"), *[F.min_by(c, "ord").alias(c) for c in firsts], *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     )
-    distinct = materialize(distinct)
 
-    entry = F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(int(own)).alias("own")) for i, (_, own) in enumerate(keys)])
-    entries = distinct.select("h", "g", F.inline(entry)).filter("key IS NOT NULL")
-    counts = entries.groupBy("key").agg(F.count("*").alias("c"), F.sum("own").alias("o")).filter("c > 1 AND o > 0").select("key", "c")
-    live = materialize(entries.join(counts, "key"))
+    entries = distinct.select("h", "g", F.inline(_entries(keys, "1", lambda k: F.col(f"k{k}")))).filter("key IS NOT NULL")
+    live = _live(entries)
 
     # The text of every line that shares a key, from the document where it comes first.
     wanted = distinct.select("h", "g", "ord", "id", "t", "pos").join(live.select("h", "g").distinct(), ["h", "g"], "left_semi")
-    wanted = materialize(wanted.groupBy("id").agg(F.collect_list(F.struct("h", "g", "ord", "t", "pos")).alias("want")))
-    fetched = rows.join(wanted, "id").select(
-        F.expr("inline(transform(array(split(text, '\\n')), ls -> transform(filter(want, s -> s.t = t), s -> named_struct('h', s.h, 'g', s.g, 'ord', s.ord, 'line', ls[s.pos])))[0])")
-    )
-    texts = fetched.dropDuplicates(["h", "g"]).select("h", "g", "ord", "line")
+    wanted = materialize(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "g", "ord", "pos")).alias("want")))
+    fetched = _on_row(rows, wanted).select(F.expr("inline(transform(array(split(text, '\\n')), ls -> transform(want, s -> named_struct('h', s.h, 'g', s.g, 'ord', s.ord, 'line', ls[s.pos])))[0])"))
+    texts = materialize(fetched.dropDuplicates(["h", "g"]).select("h", "g", "ord", "line"))
 
-    few = live.filter(F.col("c") <= pairs_up_to).select("key", "own", "h", "g")
-    hot = live.filter(F.col("c") > pairs_up_to).select("key", "own", "h", "g").join(texts, ["h", "g"])
-    few = few.unionByName(_redealt(hot, edits))
+    few = _candidates(live, texts, edits, pairs_up_to)
     left = few.filter("own = 1").select("key", F.col("h").alias("h1"), F.col("g").alias("g1"))
     right = few.select("key", "own", F.col("h").alias("h2"), F.col("g").alias("g2"))
     pairs = left.join(right, "key").filter("(h1 <> h2 OR g1 <> g2) AND (own = 0 OR h1 < h2 OR (h1 = h2 AND g1 < g2))").select("h1", "g1", "h2", "g2").distinct()
     one = texts.select(F.col("h").alias("h1"), F.col("g").alias("g1"), F.col("ord").alias("o1"), F.col("line").alias("l1"))
     two = texts.select(F.col("h").alias("h2"), F.col("g").alias("g2"), F.col("ord").alias("o2"), F.col("line").alias("l2"))
     near = pairs.join(one, ["h1", "g1"]).join(two, ["h2", "g2"]).filter("o1 <> o2").filter(within("l1", "l2", edits))
-    later = near.select(F.expr("CASE WHEN o1 < o2 THEN h2 ELSE h1 END").alias("h"), F.expr("CASE WHEN o1 < o2 THEN g2 ELSE g1 END").alias("g")).distinct()
-
-    marked = distinct.select("h", "g", "ord", "cnt").join(later.withColumn("near", F.lit(True)), ["h", "g"], "left").filter("cnt > 1 OR near")
-    gone = placed.select("h", "g", "ord", "id", "t", "pos").join(marked.select("h", "g", F.col("ord").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), ["h", "g"])
-    gone = gone.filter("near OR ord <> first")
-    return gone.groupBy("id").agg(F.collect_list(F.struct("t", "pos", "near")).alias("gone"))
-
-
-def _redealt(hot: DataFrame, edits: int) -> DataFrame:
-    """(key, own, h, g) of hot keys, refined: the least that two lines within the budget still share.
-
-    Taking a characters out of one line and b out of the other leaves the same
-    characters for some a, b <= edits that differ by their lengths' difference.
-    A line's characters are summed by exclusive or; the key says how many were
-    taken from the index entry, and a probe whose line is d longer takes d more.
-    """
-    d = hot.withColumn("hs", F.expr("transform(split(line, ''), c -> xxhash64(c))"))
-    d = d.withColumn("x0", F.expr("array(aggregate(hs, 0L, (a, v) -> a ^ v))")).withColumn("u", F.array_distinct("hs")).drop("hs", "line", "ord")
-    for k in range(1, edits + 1):
-        d = d.withColumn(f"x{k}", F.expr(f"array_distinct(flatten(transform(x{k - 1}, v -> transform(u, c -> v ^ c))))"))
-    # The taken counts of both sides need not be told apart beyond this: any pair of them may meet.
-    union = F.array_distinct(F.flatten(F.array(*[F.col(f"x{k}") for k in range(edits + 1)])))
-    d = d.select("key", "own", "h", "g", F.explode(union).alias("v"))
-    return d.select(F.xxhash64("key", "v").alias("key"), "own", "h", "g")
+    turned = near.select(F.expr("CASE WHEN o1 < o2 THEN struct(h2 AS h, g2 AS g, h1 AS eh, g1 AS eg, o1 AS eo) ELSE struct(h1 AS h, g1 AS g, h2 AS eh, g2 AS eg, o2 AS eo) END").alias("x")).select("x.*")
+    later = turned.groupBy("h", "g").agg(F.min(F.struct("eo", "eh", "eg")).alias("e")).select("h", "g", "e.eh", "e.eg")
+
+    facts = distinct.select("h", "g", "ord", "cnt", *[F.col(c).alias(f"src_{c}") for c in firsts])
+    marked = facts.join(later, ["h", "g"], "left").withColumn("near", F.col("eh").isNotNull()).filter("cnt > 1 OR near")
+    if sources:  # of a near line: the document of the earliest one that it is near to
+        other = distinct.select(F.col("h").alias("eh"), F.col("g").alias("eg"), *[F.col(c).alias(f"near_{c}") for c in firsts])
+        hit = marked.filter("near").join(other, ["eh", "eg"])
+        hit = hit.select("h", "g", "ord", "near", *[F.col(f"near_{c}").alias(f"src_{c}") for c in firsts])
+        marked = marked.filter("NOT near").select("h", "g", "ord", "near", *[f"src_{c}" for c in firsts]).unionByName(hit)
+    # Written, so that adaptive execution can split the join where a line is hot.
+    marked = materialize(marked.withColumnRenamed("ord", "first").drop("cnt", "eh", "eg", "src_pos", *([] if sources else ["src_id", "src_t"])))
+    gone = placed.join(marked, ["h", "g"]).filter("near OR ord <> first")
+    if not sources:
+        return materialize(gone.groupBy("id", "t").agg(F.collect_set(F.struct("pos", "near")).alias("gone")), lasting=True)
+    by = ["id", "t", "chars", "src_id", "src_t", "src_chars"]
+    return gone.groupBy(*by).agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
+
+
+def _left(gone: str) -> str:
+    """SQL of ``text`` without the lines at the positions of the array ``gone``."""
+    return f"transform(array(split(text, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), {gone}), i -> ls[i]), '\\n'))[0]"
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, pairs_up_to: int = PAIRS_UP_TO) -> DataFrame:
     """(id, n_lines, n_removed, n_near, text): the text without the lines that came before."""
     rows = _rows(docs, id, text)
-    out = rows.join(_removed(rows, edits, min_chars, pairs_up_to), "id", "left")
-    return _without(out).select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id), "n_lines", "n_removed", "n_near", F.col("text").alias(text))
-
-
-def _without(joined: DataFrame) -> DataFrame:
-    """Replaces ``text`` by what is left of it, given ``gone``."""
-    out = joined.withColumn("__own", F.expr("filter(gone, x -> x.t = t)"))
-    out = out.withColumn("n_removed", F.expr("coalesce(cast(size(array_distinct(transform(__own, x -> x.pos))) AS bigint), 0L)"))
-    out = out.withColumn("n_near", F.expr("coalesce(cast(size(array_distinct(transform(filter(__own, x -> x.near), x -> x.pos))) AS bigint), 0L)"))
-    out = out.withColumn("n_lines", F.expr(f"cast(size(filter(split(text, '\\n'), l -> l rlike '{WORD.replace(chr(92), chr(92) * 2)}')) AS bigint)"))
-    left = "transform(array(split(text, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), transform(__own, x -> x.pos)), i -> ls[i]), '\\n'))[0]"
-    return out.withColumn("text", F.expr(f"CASE WHEN n_removed = 0 THEN text ELSE {left} END"))
-
-
-def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars", min_kept: float = 0.3, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with their lines removed; ``chars``, if there is such a column, is their new length.
-
-    A document that keeps less than ``min_kept`` of its characters is what is
-    left of a copy, and goes. One that loses nothing stays, however short.
+    with scratch(docs.sparkSession):
+        gone = _removed(rows, edits, min_chars, pairs_up_to)
+    out = _on_row(rows, gone, "left")
+    word = WORD.replace("\\", "\\\\")
+    lines = F.expr(f"cast(size(filter(split(text, '\\n'), l -> l rlike '{word}')) AS bigint)")
+    count = lambda x: F.expr(f"coalesce(cast(size({x}) AS bigint), 0L)")
+    kept = F.expr(f"CASE WHEN size(gone) > 0 THEN {_left('gone.pos')} ELSE text END")
+    return out.select(F.col("id").alias(id), lines.alias("n_lines"), count("gone").alias("n_removed"), count("filter(gone, x -> x.near)").alias("n_near"), kept.alias(text))
+
+
+def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", chars: str | None = "n_chars", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with their lines removed; ``chars``, if there is such a column, is their new length. Every row stays.
+
+    A document that shares lines of ``COPIED`` of its characters or more with one
+    earlier document of like size is a whole copy or near copy by all signs. It
+    keeps its text, since near-duplicate detection must judge it by all of it:
+    without the lines that it shares, a near copy would be near nothing.
     """
-    gone = _removed(_rows(docs, id, text), edits, min_chars, PAIRS_UP_TO).withColumnsRenamed({"id": "__id", "gone": "__gone"})
+    rows = _rows(docs, id, text)
+    with scratch(docs.sparkSession):
+        parts = materialize(_removed(rows, edits, min_chars, PAIRS_UP_TO, sources=True))
+        shared = F.expr("aggregate(gone, 0L, (a, x) -> a + x.n)")
+        alike = F.col("src_chars").between(F.col("chars") * LIKE_SIZE, F.col("chars") / LIKE_SIZE) & ~(F.col("id").eqNullSafe(F.col("src_id")) & (F.col("t") == F.col("src_t")))
+        parts = parts.withColumn("copy", alike & (shared >= COPIED * F.col("chars")))
+        gone = parts.groupBy("id", "t").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("gone.pos")).alias("gone")).filter("NOT copy").select("id", "t", "gone")
+        gone = materialize(gone, lasting=True)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    d = docs.withColumn("__id", F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID))).withColumn("__t", F.xxhash64(body))
-    d = d.join(gone, "__id", "left").withColumn("__own", F.expr("transform(filter(__gone, x -> x.t = __t), x -> x.pos)"))
-    left = f"transform(array(split(`{text}`, '\\n')), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), __own), i -> ls[i]), '\\n'))[0]"
-    d = d.withColumn("__left", F.expr(f"CASE WHEN size(__own) > 0 THEN {left} ELSE `{text}` END"))
-    d = d.filter(F.expr(f"NOT coalesce(size(__own) > 0 AND length(__left) < {min_kept} * length(`{text}`), false)"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id).alias("id"), F.xxhash64(body).alias("t"), F.col(text).alias("text"))
+    d = _on_row(whole, gone, "left").withColumn("left", F.expr(f"CASE WHEN size(gone) > 0 THEN {_left('gone')} ELSE text END"))
+    fields = {text: F.col("left").cast(docs.schema[text].dataType)}
     if chars in docs.columns:
-        d = d.withColumn(chars, F.expr(f"CASE WHEN size(__own) > 0 THEN cast(length(__left) AS {docs.schema[chars].dataType.simpleString()}) ELSE `{chars}` END"))
-    return d.withColumn(text, F.col("__left")).select(*docs.columns)
+        fields[chars] = F.when(F.size("gone") > 0, F.length("left").cast(docs.schema[chars].dataType)).otherwise(F.col(f"row.`{chars}`"))
+    return d.select(*[fields.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
