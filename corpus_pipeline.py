@@ -4,9 +4,12 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. Between stages the rows are written as
 Parquet in the shared folder and read again.
 
-The near-duplicate stage takes five-word shingles at a similarity of 0.8. No
-stage caps, samples or cuts anything. SQL cannot express the merges of the last
-stage, so there is no oracle; the tests compare with a brute-force version.
+The near-duplicate stage takes the two-word shingles of ``op2_minhash``, at a
+similarity of 0.8. Whole copies and near copies are its business: the line stage
+leaves their texts whole (see ``line_dedup.deduplicate``) and drops no document.
+No stage caps, samples or cuts anything. SQL cannot express the merges of the
+last stage, so there is no oracle; the tests compare all rows with a brute-force
+version.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that came before; what is left of copies goes."""
+    """Documents without the lines that came before; whole copies keep theirs for the next stage."""
     return line_dedup.deduplicate(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, n=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
