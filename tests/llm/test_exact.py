@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -276,31 +277,50 @@ def test_myers_is_the_edit_distance():
         assert decontaminate.Myers(p).best(t)[0] == min(prev)
 
 
-def test_op10_law(spark):
-    got = queries.op10_sharding(spark, SF).collect()
-    size, slots = collections.Counter(), collections.defaultdict(list)
+def shard_law(got, rows, tolerance):
+    """By brute force: sizes, checksums, slots, near equal bytes, and equal texts together where they fit."""
+    want = collections.Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    size, slots, texts = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
     for r in got:
         size[r.shard] += r.size
         slots[r.shard].append(r.slot)
+        texts[r.size, r.text_crc32].add(r.shard)
     assert set(size) <= set(range(16))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(size.values()) / 16
+    assert max(abs(size[s] - mean) for s in range(16)) <= tolerance * mean
+    total = collections.Counter()
+    for (_, n, crc), k in want.items():
+        total[n, crc] += n * k
+    assert all(len(texts[x]) <= 2 for x, b in total.items() if b <= mean / 64)
+    apart = sum(len(texts[x]) > 1 for x, b in total.items() if b <= mean / 64)
+    assert apart <= 0.02 * len(total) + 1
+
+
+def test_op10_law(spark):
+    got = queries.op10_sharding(spark, SF.replace("sf0.001", "sf0.01")).collect()
+    d = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    shard_law(got, d.select("doc_id", "text").collect(), 0.1)
+    assert all(r.law == "bytes" and r.grown_shard is None for r in got)
 
 
-def test_hot_text_is_subdivided(spark):
-    rows = [(i, "hot text " * 40) for i in range(3000)] + [(10_000 + i, f"cold {i} " * (i % 60)) for i in range(4000)]
+@pytest.mark.parametrize("hot", ["one id", "null ids", "ids of their own", "empty texts", "only one row"])
+def test_hot_rows_are_dealt_out(spark, hot):
+    cold = [] if hot == "only one row" else [(10_000 + i, f"cold {i} " * (i % 60)) for i in range(4000)]
+    text = "" if hot == "empty texts" else "hot text " * 40
+    rows = [(i if hot in ("ids of their own", "empty texts") else None if hot == "null ids" else 5, text) for i in range(3000)] + cold
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    size = collections.Counter()
-    for r in sharding.assign(d).collect():
-        size[r.shard] += r.size
-    mean = sum(size.values()) / 16
-    assert len(size) == 16
-    assert max(abs(s - mean) for s in size.values()) < 0.05 * mean
+    shard_law(sharding.assign(d).collect(), rows, 0.05)
 
 
 def test_shards_on_disk(spark, tmp_path):
-    d = spark.read.parquet(f"{SF}/documents.parquet")
-    sharding.write_shards(d, str(tmp_path / "out"), shards=4)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == d.count()
+    d = spark.read.parquet(f"{SF}/documents.parquet").withColumn("shard", F.lit(77)).withColumn("_id", F.lit("own"))
+    d = d.unionByName(spark.createDataFrame([(None, None, None, None, None, 77, "own"), (1, "again", None, None, None, 77, "own")] * 50, d.schema))
+    name = sharding.write_shards(d, str(tmp_path / "out"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert name == "shard_"
+    assert collections.Counter(map(tuple, back.drop(name).select(*d.columns).collect())) == collections.Counter(map(tuple, d.collect()))
 
 
 def test_op1_held_out(spark):
