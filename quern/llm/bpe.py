@@ -1,15 +1,24 @@
 """Byte-level BPE encoding and decoding with a transducer lexicon.
 
-One pass over all texts sums up the words (a Misra-Gries summary in each task,
-so its memory is bounded; every word above its share is in it). The most
-frequent ones, ``LEXICON_WORDS`` at most, are encoded once and compiled into a
-minimal acyclic transducer, which executors map into memory. A second pass
-encodes: words of the lexicon are looked up, all others are merged exactly by
-rank. The result does not depend on the lexicon.
+One pass over all texts sums up the words of at most ``WORD_LENGTH`` characters
+(a Misra-Gries summary in each task, so its memory is bounded; every word above
+its share is in it). The most frequent ones, ``LEXICON_WORDS`` at most, are
+encoded once and compiled into a minimal acyclic transducer, which executors map
+into memory. A second pass encodes: all different pieces of a stretch of text
+walk the transducer side by side, one byte a step, and those that it does not
+know are merged exactly by rank; a small memo spares merging them again in the
+next stretch. The result depends on neither.
+
+The vocabulary file is read on the driver and broadcast; its size, that of the
+lexicon and of what the driver gathers are bounded by the file and by parameters.
+The transducer's file lies in a temporary folder of each machine, where a lost
+executor's successor makes it again from the broadcast.
 
 Defined results: a null text counts as empty and has no ids; repeated rows are
 encoded each time; an empty table gives an empty result; only the named columns
-are read. Very long words are merged with a heap in n log n steps.
+are read. Very long texts are taken by stretches of about ``STRETCH``
+characters, cut where a piece starts; very long words are merged with a heap in
+n log n steps.
 """
 
 from __future__ import annotations
@@ -21,22 +30,25 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import lexicon
-from quern.llm.common import bounded_batches
+from quern.llm.common import bounded_batches, materialize, scratch
 
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
 LEXICON_WORDS = 20_000
 SUMMARY_WORDS = 20_000
-MEMO_WORDS = 300_000
-MEMO_LENGTH = 64
+WORD_LENGTH = 64
+MEMO_WORDS = 50_000
+STRETCH = 4 << 20
 HEAP_LENGTH = 48
 MASK = (1 << 20) - 1
 NEVER = 1 << 62
@@ -52,36 +64,11 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Memo:
-    """A bounded cache in two generations: what is still used outlives a change."""
-
-    def __init__(self):
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def aged(self, key: str) -> bytes | None:
-        return self.old.get(key)
-
-    def get(self, key: str) -> bytes | None:
-        out = self.new.get(key)
-        if out is None and (out := self.old.get(key)) is not None:
-            self.put(key, out)
-        return out
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(key) <= MEMO_LENGTH:
-            if len(self.new) >= MEMO_WORDS:
-                self.old = dict(self.new)
-                self.new.clear()
-            self.new[key] = value
-
-
 class Tokenizer:
     """Reads a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, lexicon_data: bytes | None = None):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: bytes, lexicon_data: bytes | None = None):
+        spec = json.loads(file)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"] or model.get("ignore_merges"):
             raise ValueError("not a plain byte-level BPE file")
@@ -105,7 +92,7 @@ class Tokenizer:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
         self.lexicon = lexicon.opened(lexicon_data) if lexicon_data else None
-        self.words, self.parts = Memo(), Memo()
+        self.memo: dict[bytes, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost first."""
@@ -150,80 +137,125 @@ class Tokenizer:
             offer(i)
         return [x for x in ids if x >= 0]
 
-    def piece_ids(self, piece: str) -> bytes:
-        """From the memo, the lexicon or the merges, in this order."""
-        out = self.words.get(piece)
-        if out is None:
-            data = piece.encode()
-            found = self.lexicon.get(data) if self.lexicon else None
-            out = array("I", self.merged(data) if found is None else found).tobytes()
-            self.words.put(piece, out)
-        return out
-
-    def _part(self, part: str) -> bytes:
-        """Ids of a stretch between cuts, as little-endian 32-bit integers."""
-        out = self.parts.aged(part)
-        if out is None:
-            found = self.pieces(part)
-            out = self.piece_ids(found[0]) if len(found) == 1 else b"".join([self.piece_ids(p) for p in found])
-        self.parts.put(part, out)
-        return out
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        parts = _CUT.split(text)
-        parts[1:] = [" " + p for p in parts[1:]]
-        get, own = self.parts.new.get, self._part
-        return b"".join([get(p) or own(p) for p in parts])
+    def _pieces_ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, as little-endian 32-bit integers: from the lexicon, else by merging."""
+        data = [p.encode() for p in pieces]
+        found = self.lexicon.get_all(data) if self.lexicon else [None] * len(data)
+        memo = self.memo
+        for k, word in enumerate(data):
+            if found[k] is None:
+                ids = memo.get(word)
+                if ids is None:
+                    ids = array("I", self.merged(word)).tobytes()
+                    if len(word) <= WORD_LENGTH:
+                        if len(memo) >= MEMO_WORDS:
+                            for old in list(islice(memo, MEMO_WORDS // 2)):
+                                del memo[old]
+                        memo[word] = ids
+                found[k] = ids
+        return found
+
+    def _stretches(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, all together about one stretch long and without added tokens."""
+        split = []
+        for t in texts:
+            parts = _CUT.split(t)
+            parts[1:] = [" " + p for p in parts[1:]]
+            split.append(parts)
+        parts = list(set().union(*split))
+        cut = [self.pieces(p) for p in parts]
+        pieces = list(set(chain.from_iterable(cut)))
+        ids = dict(zip(pieces, self._pieces_ids(pieces), strict=True))
+        known = {p: ids[c[0]] if len(c) == 1 else b"".join([ids[x] for x in c]) for p, c in zip(parts, cut, strict=True)}
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit integers."""
+        # What to join for each text: ids of added tokens, and numbers of stretches.
+        plan, todo = [], []
+        for t in texts:
+            own: list[bytes | int] = []
+            for i, s in enumerate(self.special.split(t) if self.special and self.special.search(t) else [t]):
+                if i % 2:
+                    own.append(np.array([self.added[s]], "<u4").tobytes())
+                    continue
+                at = 0
+                while at < len(s):
+                    cut = _CUT.search(s, at + STRETCH) if len(s) - at > STRETCH else None
+                    end = cut.start() if cut else len(s)
+                    own.append(len(todo))
+                    todo.append(s[at:end])
+                    at = end
+            plan.append(own)
+        done: list[bytes] = []
+        start, size = 0, 0
+        for k, s in enumerate(todo):
+            size += len(s)
+            if size >= STRETCH or k == len(todo) - 1:
+                done += self._stretches(todo[start : k + 1])
+                start, size = k + 1, 0
+        return [b"".join([done[x] if isinstance(x, int) else x for x in own]) for own in plan]
 
     def encode(self, text: str) -> bytes:
-        if not self.special or not self.special.search(text):
-            return self._plain(text)
-        return b"".join(np.uint32(self.added[s]).astype("<u4").tobytes() if i % 2 else self._plain(s) for i, s in enumerate(self.special.split(text)))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         tokens = self.tokens
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_ready: dict[tuple[str, str], Tokenizer] = {}
+_ready: dict[str, Tokenizer] = {}
 
 
-def tokenizer(path: str, data: bytes | None) -> Tokenizer:
+def _tokenizer(key: str, file: Broadcast, data: Broadcast | None) -> Tokenizer:
     """One for each worker process."""
-    key = (path, hashlib.sha256(data or b"").hexdigest())
     if key not in _ready:
         _ready.clear()
-        _ready[key] = Tokenizer(path, data)
+        _ready[key] = Tokenizer(file.value, data.value if data else None)
     return _ready[key]
 
 
+def _file(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
-    """What stands between spaces, by falling frequency; ``limit`` at most."""
+    """What stands between spaces, by falling frequency; ``limit`` at most.
+
+    A word must make up 1 / (4 ``limit``) of what the summaries count, so that
+    not more than 4 ``limit`` rows come to the driver.
+    """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    counts.update(t.split(" "))
+            for t in batch.column(0):
+                if t := t.as_py():
+                    words = t.split(" ")
+                    if len(max(words, key=len)) > WORD_LENGTH:
+                        words = [w for w in words if len(w) <= WORD_LENGTH]
+                    counts.update(words)
                 if len(counts) > 8 * SUMMARY_WORDS:
                     least = sorted(counts.values(), reverse=True)[SUMMARY_WORDS]
                     counts = Counter({w: n - least for w, n in counts.items() if n > least})
         top = counts.most_common(SUMMARY_WORDS)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     found = docs.select(F.col(text).cast("string")).mapInArrow(summed, "word string, n bigint")
-    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [r.word for r in top.collect()]
+    with scratch(spark):
+        found = materialize(found.groupBy("word").agg(F.sum("n").alias("n")), narrow=True)
+        least = (found.agg(F.sum("n")).first()[0] or 0) // (4 * limit)
+        top = found.filter(F.col("n") > least).orderBy(F.desc("n"), "word").limit(limit)
+        return [r.word for r in top.collect()]
 
 
 def compiled(docs: DataFrame, path: str, text: str = "text", limit: int = LEXICON_WORDS) -> bytes:
     """The transducer of the corpus's frequent words."""
-    plain = Tokenizer(path)
-    pieces = {p for w in frequent_words(docs, text, limit) if len(w) <= MEMO_LENGTH for p in plain.pieces(" " + w)}
+    plain = Tokenizer(_file(path))
+    pieces = {p for w in frequent_words(docs, text, limit) for p in plain.pieces(" " + w)}
     return lexicon.build({p.encode(): plain.merged(p.encode()) for p in pieces})
 
 
@@ -234,15 +266,16 @@ _SQL = {"n_tokens": "bigint", "ids": "binary", "ids_sha256": "string", "decoded"
 def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids"), data: bytes | None = None) -> DataFrame:
     """(id, *outputs) for each row; ``data`` is a transducer from ``compiled``, made here if not given."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(compiled(docs, path, text) if data is None else data)
+    data, file = compiled(docs, path, text) if data is None else data, _file(path)
+    key = hashlib.sha256(file + data).hexdigest()
+    shared, vocabulary = spark.sparkContext.broadcast(data), spark.sparkContext.broadcast(file)
     decoding = any(o.startswith("decoded") for o in outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, shared.value)
+        t = _tokenizer(key, vocabulary, shared)
         for batch in batches:
             made: dict[str, list] = {o: [] for o in outputs}
-            for x in batch.column(1).to_pylist():
-                ids = t.encode(x or "")
+            for ids in t.encode_all([x or "" for x in batch.column(1).to_pylist()]):
                 back = t.decode(ids) if decoding else ""
                 for o, values in made.items():
                     if o == "n_tokens":
@@ -265,9 +298,11 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", o
 
 def decode(rows: DataFrame, path: str, id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(id, decoded) of packed ids; null ids decode to the empty text."""
+    file = _file(path)
+    key, vocabulary = hashlib.sha256(file).hexdigest(), rows.sparkSession.sparkContext.broadcast(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, None)
+        t = _tokenizer(key, vocabulary, None)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], names=["__id", "decoded"])
 

@@ -101,6 +101,38 @@ class Lexicon:
         self._first, self._targets, self._before, self._starts, self._ids = parts
         self._labels, self._final = at, at + edges
         self.states, self.words = states, words
+        # The same memory as arrays; of each edge its state and label as one sorted key, which is the one copy made.
+        firsts, labels = np.frombuffer(self._first, np.uint32), np.frombuffer(self._map, np.uint8, edges, at)
+        self._keys = np.repeat(np.arange(states), np.diff(firsts.astype(np.int64))) * 256 + labels
+        self._nexts, self._befores = np.frombuffer(self._targets, np.uint32), np.frombuffer(self._before, np.uint32)
+        self._ends = np.frombuffer(self._map, np.uint8, states, self._final).astype(bool)
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """Ids of each word as little-endian 32-bit integers, None for those not in it. All words take a step at a time."""
+        if not words:
+            return []
+        data = np.frombuffer(b"".join(words), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(lengths) - lengths
+        state, rank = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        on = np.flatnonzero(lengths > 0)
+        for step in range(int(lengths.max())):
+            key = state[on] * 256 + data[starts[on] + step]
+            at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1) if len(self._keys) else np.empty(0, np.int64)
+            if not len(at):
+                state[on] = -1
+                break
+            hit = self._keys[at] == key
+            state[on[~hit]] = -1
+            on, at = on[hit], at[hit]
+            rank[on] += self._befores[at]
+            state[on] = self._nexts[at]
+            on = on[lengths[on] > step + 1]
+            if not len(on):
+                break
+        state[(state >= 0) & ~self._ends[state]] = -1
+        ids, first = self._ids, self._starts
+        return [ids[first[r] : first[r + 1]].tobytes() if s >= 0 else None for s, r in zip(state.tolist(), rank.tolist(), strict=True)]
 
     def get(self, word: bytes) -> list[int] | None:
         state, rank, find, base, first = 0, 0, self._map.find, self._labels, self._first

@@ -113,7 +113,7 @@ def test_op4_round_trip(spark):
 def test_bpe_on_odd_texts():
     from tokenizers import Tokenizer
 
-    ref, own = Tokenizer.from_file(queries.vocabulary()), bpe.Tokenizer(queries.vocabulary())
+    ref, own = Tokenizer.from_file(queries.vocabulary()), bpe.Tokenizer(bpe._file(queries.vocabulary()))
     rng = random.Random(7)
     parts = list("ab 's\n\t  \r\x0b\x1c\x85 \u3000éß中🙂12٣½,.!<|") + ["<|endoftext|>", "'ll", "   ", "\n\n", "e\u0301"]
     for t in ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(1500)] + ["a" * 3000, "xyz" * 999, " " * 300, "<|endoftext|>"]:
@@ -122,11 +122,47 @@ def test_bpe_on_odd_texts():
         assert own.decode(ids) == t
 
 
+def test_bpe_by_stretches_and_lexicon(monkeypatch):
+    """Cuts, lexicon and a full memo change nothing."""
+    from tokenizers import Tokenizer
+
+    ref, file = Tokenizer.from_file(queries.vocabulary()), bpe._file(queries.vocabulary())
+    plain = bpe.Tokenizer(file)
+    known = {p for w in ("the", "of", "word7,", "naïve") for p in plain.pieces(" " + w)}
+    own = bpe.Tokenizer(file, lexicon.build({p.encode(): plain.merged(p.encode()) for p in known}))
+    monkeypatch.setattr(bpe, "STRETCH", 40)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 8)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "of", "word7,", "naïve", "x\n\ny", "<|endoftext|>", " ", "zq" * 40, "1234"], k=rng.randint(0, 80))) for _ in range(60)] + ["", "q" * 500]
+    for t, ids in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
+
+
+def test_words_are_counted_within_bounds(spark):
+    """Texts without spaces are no words; what comes to the driver follows the limit."""
+    rows = [(i, f"{i}x" * 5000) for i in range(200)] + [(1000 + i, f"the of rare{i}") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = bpe.frequent_words(d, limit=50)
+    assert {"the", "of"} <= set(found)
+    assert len(found) <= 50 and max(map(len, found)) <= bpe.WORD_LENGTH
+
+
+def test_bpe_decodes_its_own(spark):
+    from tests.llm import cases
+
+    d = cases.docs(spark)
+    back = bpe.decode(bpe.encode(d, queries.vocabulary()), queries.vocabulary())
+    assert collections.Counter(map(tuple, back.collect())) == collections.Counter((r[0], r[1] or "") for r in cases.rows())
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w.encode(): [i, i * 2][: i % 3] for i, w in enumerate(["", "a", "tap", "taps", "top", "tops", "é"])}
     lx = lexicon.opened(lexicon.build(words))
     assert {w: lx.get(w) for w in words} == words
     assert lx.get(b"to") is lx.get(b"tapsx") is None
+    asked = [*words, b"to", b"tapsx", b"zz", b"t"]
+    assert lx.get_all(asked) == [None if (x := lx.get(w)) is None else np.array(x, "<u4").tobytes() for w in asked]
+    assert lexicon.opened(lexicon.build({})).get_all([b"", b"a"]) == [None, None]
     assert lx.states < 1 + sum(map(len, words))
 
 
