@@ -11,15 +11,21 @@ or another document; every word that some repeated window covers goes.
 2. Extension: around each hit block, the windows that hold it are hashed in
    full and compared the same way, now with their addresses. Runs of repeated
    windows are the maximal exact repeats.
-3. The documents, partitioned by id once for both joins, lose the covered words.
+3. The documents, partitioned by row key once for both joins, lose the covered
+   words.
 
 A common passage costs no pairs of documents: hashes are counted, never joined
-with each other. Full windows are compared by 96 bits.
+with each other. What comes twice in one batch of documents is known to be
+repeated there and then: of its addresses one goes to the hash's bucket, and all
+are passed on by a bucket that depends on the batch. So a passage of a third of
+all documents brings one entry a batch to its bucket. Full windows are compared
+by 96 bits.
 
 Defined results: a null or empty text has no words; documents of fewer than w
-words keep all; equal rows repeat each other and both lose the text; a null id
-is an id of its own; rows that repeat an id are judged by their own text. An
-empty table gives an empty result; only the named columns are read.
+words keep all; equal rows repeat each other and both lose the text; rows are
+told apart by id and text, so that a null id, or one that comes again with
+another text, is judged by its own text. Ids are of any type. An empty table
+gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -34,14 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import bounded_batches, materialize
+from quern.llm.common import bounded_batches, materialize, scratch
 
 WINDOW = 35
 #: Words whose probes one bucket takes, about; bytes of a word, about; fewest buckets.
 BUCKET_WORDS = 2_000_000
 WORD_BYTES = 4
 LEAST_BUCKETS = 64
-NO_ID = -(1 << 63)
 
 _C = 0x9E3779B97F4A7C15
 _D = pow(_C, -1, 1 << 64)
@@ -102,13 +107,26 @@ def _split(values: np.ndarray, bits: int, bucket: int) -> Iterator[tuple[int, sl
         yield int(tops[start]), slice(int(start), int(at[i + 1]) if i + 1 < len(at) else len(values))
 
 
+def _repeats(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries come more than once, and which are the first of their kind."""
+    order = np.lexsort(keys)
+    same = np.ones(max(0, len(order) - 1), bool)
+    for k in keys:
+        same &= k[order][1:] == k[order][:-1]
+    again, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    if len(order):
+        again[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        first[order] = ~np.concatenate([[False], same])
+    return again, first
+
+
 def _anchor_rows(rows: DataFrame, window: int, bucket: int, bits: int) -> DataFrame:
-    """(bucket, probes, blocks, ids, numbers) from (id, t, text)."""
+    """(bucket, probes, blocks, keys, numbers, known) from (k, t, text); known are addresses of blocks that the batch knows to be hit."""
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rolls, own, ids, numbers = [], [], [], []
+            rolls, own, keys, numbers = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 w = shingles.words(text)
                 if len(w) < window:
@@ -116,56 +134,70 @@ def _anchor_rows(rows: DataFrame, window: int, bucket: int, bits: int) -> DataFr
                 r = rolling(shingles.word_hashes(w), block) >> np.uint64(64 - bits)
                 rolls.append(r)
                 own.append(r[::block])
-                ids.append(np.full(len(own[-1]), i, np.int64))
+                keys.append(np.full(len(own[-1]), i, np.int64))
                 numbers.append(np.arange(len(own[-1]), dtype=np.uint64))
             if not rolls:
                 continue
             probes = np.sort(np.concatenate(rolls))
+            twice = np.unique(probes[1:][probes[1:] == probes[:-1]])
             probes = probes[np.concatenate([[True, True], probes[2:] != probes[:-2]])[: len(probes)]]  # two of a kind say enough
-            blocks, ids, numbers = np.concatenate(own), np.concatenate(ids), np.concatenate(numbers)
+            blocks, keys, numbers = np.concatenate(own), np.concatenate(keys).view(np.uint64), np.concatenate(numbers)
+            known = np.isin(blocks, twice)
+            passed = _planes(keys[known]), _planes(numbers[known])
+            home = int(shingles.mixed(keys[:1])[0] >> np.uint64(64 - bucket)) if bucket else 0
+            blocks, keys, numbers = blocks[~known], keys[~known], numbers[~known]
             order = np.argsort(blocks)
-            blocks, ids, numbers = blocks[order], ids[order].view(np.uint64), numbers[order]
+            blocks, keys, numbers = blocks[order], keys[order], numbers[order]
             mask = np.uint64((1 << (bits - bucket)) - 1)
             found: dict[int, list] = {}
             for b, at in _split(probes, bits, bucket):
-                found[b] = [_planes(np.diff(probes[at] & mask, prepend=np.uint64(0))), None, None, None]
+                found[b] = [_planes(np.diff(probes[at] & mask, prepend=np.uint64(0))), None, None, None, None]
             for b, at in _split(blocks, bits, bucket):
-                found[b][1:] = [_planes(np.diff(blocks[at] & mask, prepend=np.uint64(0))), _planes(ids[at]), _planes(numbers[at])]
+                found[b][1:4] = [_planes(np.diff(blocks[at] & mask, prepend=np.uint64(0))), _planes(keys[at]), _planes(numbers[at])]
+            found.setdefault(home, [_planes(np.empty(0, np.uint64)), None, None, None, None])[4] = {"keys": passed[0], "numbers": passed[1]}
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int32()), *(pa.array([x[k] for x in found.values()], pa.binary()) for k in range(4))], names=["bucket", "probes", "blocks", "ids", "numbers"]
+                [pa.array(list(found), pa.int32()), *(pa.array([x[k] for x in found.values()], pa.binary()) for k in range(4)), *(pa.array([x[4] and x[4][k] for x in found.values()], pa.binary()) for k in ("keys", "numbers"))],
+                names=["bucket", "probes", "blocks", "keys", "numbers", "known_keys", "known_numbers"],
             )
 
-    return rows.mapInArrow(run, "bucket int, probes binary, blocks binary, ids binary, numbers binary")
+    return rows.mapInArrow(run, "bucket int, probes binary, blocks binary, keys binary, numbers binary, known_keys binary, known_numbers binary")
 
 
 def _hit_blocks(dealt: DataFrame) -> DataFrame:
-    """(id, number) of the index blocks that come more than once."""
+    """(k, number) of the index blocks that come more than once."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         probes = np.sort(np.concatenate([np.cumsum(_unplanes(x)) for x in group.probes]))
         twice = np.unique(probes[1:][probes[1:] == probes[:-1]])
-        ids, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for b, i, n in zip(group.blocks, group.ids, group.numbers, strict=True):
+        keys, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, n in zip(group.known_keys, group.known_numbers, strict=True):
+            if i is not None:
+                keys.append(_unplanes(i).view(np.int64))
+                numbers.append(_unplanes(n).astype(np.int64))
+        for b, i, n in zip(group.blocks, group["keys"], group.numbers, strict=True):
             if b is None or not len(twice):
                 continue
             blocks = np.cumsum(_unplanes(b))
             at = np.minimum(np.searchsorted(twice, blocks), len(twice) - 1)
             hit = twice[at] == blocks
-            ids.append(_unplanes(i)[hit].view(np.int64))
+            keys.append(_unplanes(i)[hit].view(np.int64))
             numbers.append(_unplanes(n)[hit].astype(np.int64))
-        return pd.DataFrame({"id": np.concatenate(ids), "number": np.concatenate(numbers)})
+        return pd.DataFrame({"k": np.concatenate(keys), "number": np.concatenate(numbers)})
 
-    return dealt.groupBy("bucket").applyInPandas(run, "id bigint, number bigint")
+    return dealt.groupBy("bucket").applyInPandas(run, "k bigint, number bigint")
 
 
 def _window_rows(rows: DataFrame, window: int, bucket: int) -> DataFrame:
-    """(bucket, hashes, more, refs, positions, ids, ts): the full windows around hit blocks, from (id, t, text, numbers)."""
+    """(bucket, hashes, more, refs, positions, keys, ts): the full windows around hit blocks, from (k, t, text, numbers).
+
+    A row without hashes passes on windows that its batch knows to be repeated.
+    """
     block = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, second, refs, places = [], [], [], []
-            ids, ts = (np.asarray(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
+            keys, ts = (np.asarray(batch.column(k).to_pylist(), np.int64) for k in (0, 1))
             for k, (text, numbers) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 w = shingles.words(text)
                 if len(w) < window:
@@ -177,46 +209,54 @@ def _window_rows(rows: DataFrame, window: int, bucket: int) -> DataFrame:
                 second.append(rolling(shingles.mixed(h + np.uint64(1)), window)[at] >> np.uint64(32))
                 refs.append(np.full(len(at), k, np.uint64))
                 places.append(at.astype(np.uint64))
-            if not first:
+            if not first or not sum(map(len, first)):
                 continue
             first, second, refs, places = map(np.concatenate, (first, second, refs, places))
+            again, one = _repeats(second, first)
+            out = []
+
+            def put(b: int, hashes: bytes | None, more: bytes | None, refs: np.ndarray, places: np.ndarray, keys=keys, ts=ts, out=out) -> None:
+                used, local = np.unique(refs.astype(np.int64), return_inverse=True)
+                out.append((b, hashes, more, _planes(local.astype(np.uint64)), _planes(places), keys[used].tobytes(), ts[used].tobytes()))
+
+            if again.any():
+                put(int(shingles.mixed(first[:1])[0] >> np.uint64(64 - bucket)) if bucket else 0, None, None, refs[again], places[again])
+            first, second, refs, places = first[one], second[one], refs[one], places[one]
             order = np.argsort(first, kind="stable")
             first, second, refs, places = first[order], second[order], refs[order], places[order]
-            out = []
             for b, at in _split(first, 64, bucket):
-                used, local = np.unique(refs[at].astype(np.int64), return_inverse=True)
-                out.append((b, _planes(first[at]), _planes(second[at]), _planes(local.astype(np.uint64)), _planes(places[at]), ids[used].tobytes(), ts[used].tobytes()))
+                put(b, _planes(first[at]), _planes(second[at]), refs[at], places[at])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 7))], names=["bucket", "hashes", "more", "refs", "positions", "ids", "ts"]
+                [pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 7))], names=["bucket", "hashes", "more", "refs", "positions", "keys", "ts"]
             )
 
-    return rows.mapInArrow(run, "bucket int, hashes binary, more binary, refs binary, positions binary, ids binary, ts binary")
+    return rows.mapInArrow(run, "bucket int, hashes binary, more binary, refs binary, positions binary, keys binary, ts binary")
 
 
 def _repeated(dealt: DataFrame) -> DataFrame:
-    """(id, t, positions): where repeated windows start."""
+    """(k, t, positions): where repeated windows start."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        h = np.concatenate([_unplanes(x) for x in group.hashes])
-        m = np.concatenate([_unplanes(x) for x in group.more])
-        order = np.lexsort((m, h))
-        same = (h[order][1:] == h[order][:-1]) & (m[order][1:] == m[order][:-1])
-        twice = np.zeros(len(h), bool)
-        twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        out, at = {"id": [], "t": [], "positions": []}, 0
-        for r, p, i, t in zip(group.refs, group.positions, group.ids, group.ts, strict=True):
+        asked = group[group.hashes.notna()]
+        h = np.concatenate([np.empty(0, np.uint64), *map(_unplanes, asked.hashes)])
+        m = np.concatenate([np.empty(0, np.uint64), *map(_unplanes, asked.more)])
+        twice, _ = _repeats(m, h)
+        out, at = {"k": [], "t": [], "positions": []}, 0
+        for hashes, r, p, i, t in zip(group.hashes, group.refs, group.positions, group["keys"], group.ts, strict=True):
             refs, places = _unplanes(r), _unplanes(p).astype("<u4")
-            hit = twice[at : at + len(refs)]
-            at += len(refs)
-            refs, places, ids, ts = refs[hit], places[hit], np.frombuffer(i, np.int64), np.frombuffer(t, np.int64)
+            if hashes is not None:
+                hit = twice[at : at + len(refs)]
+                at += len(refs)
+                refs, places = refs[hit], places[hit]
+            keys, ts = np.frombuffer(i, np.int64), np.frombuffer(t, np.int64)
             order = np.argsort(refs, kind="stable")
             refs, places = refs[order], places[order]
             for k in np.unique(refs):
                 lo, hi = np.searchsorted(refs, [k, k + np.uint64(1)])
-                out["id"].append(ids[int(k)]), out["t"].append(ts[int(k)]), out["positions"].append(places[lo:hi].tobytes())
+                out["k"].append(keys[int(k)]), out["t"].append(ts[int(k)]), out["positions"].append(places[lo:hi].tobytes())
         return pd.DataFrame(out)
 
-    return dealt.groupBy("bucket").applyInPandas(run, "id bigint, t bigint, positions binary")
+    return dealt.groupBy("bucket").applyInPandas(run, "k bigint, t bigint, positions binary")
 
 
 OUTPUTS = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string(), "kept_sha256": pa.string(), "removed": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
@@ -228,12 +268,13 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     bounded_batches(docs.sparkSession)
     bucket, bits = _sizes(docs, text)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id).cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64(body).alias("t"), body.alias("text"))
-    hits = _hit_blocks(_anchor_rows(rows, window, bucket, bits))
-    hits = materialize(hits.groupBy("id").agg(F.collect_set("number").alias("numbers")))
-    around = rows.join(hits, "id").select("id", "t", "text", "numbers")
+    rows = docs.select(F.xxhash64(F.col(id), body).alias("k"), F.xxhash64(body).alias("t"), body.alias("text"), F.col(id).alias("id"))
+    hits = _hit_blocks(_anchor_rows(rows.select("k", "t", "text"), window, bucket, bits))
+    with scratch(docs.sparkSession):
+        hits = materialize(hits.groupBy("k").agg(F.collect_set("number").alias("numbers")), lasting=True)
+    around = rows.join(hits, "k").select("k", "t", "text", "numbers")
     again = _repeated(_window_rows(around, window, bucket))
-    again = again.groupBy("id").agg(F.collect_list(F.struct("t", "positions")).alias("found"))
+    again = again.groupBy("k").agg(F.collect_list(F.struct("t", "positions")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,5 +304,6 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
                         values.append(joined if o == "kept" else hashlib.sha256(joined.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[o], OUTPUTS[o]) for o in outputs)], names=["id", *outputs])
 
-    out = rows.join(again, "id", "left").select("id", "t", "text", "found").mapInArrow(run, "id bigint, " + ", ".join(f"{o} {_SQL[o]}" for o in outputs))
-    return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id)
+    id_type = rows.schema["id"].dataType.simpleString()
+    out = rows.join(again, "k", "left").select("id", "t", "text", "found").mapInArrow(run, f"id {id_type}, " + ", ".join(f"{o} {_SQL[o]}" for o in outputs))
+    return out.withColumnRenamed("id", id)

@@ -288,6 +288,20 @@ def test_repeats_of_any_offset_and_own_repeats(spark):
     assert got == {i: 35 for i in range(40)} | {100: 36, 101: 0, 102: 0, 103: 0}
 
 
+def test_hot_passage_brings_one_entry_a_batch(spark):
+    """What a batch knows to be repeated doesn't meet in the bucket of its hash."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, f"{shared} own{i} tail{i}") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    x = d.select(F.xxhash64("doc_id").alias("k"), F.xxhash64("text").alias("t"), "text")
+    dealt = substrings._anchor_rows(x, 35, 6, 48).collect()
+    assert sum(len(substrings._unplanes(r.blocks)) for r in dealt if r.blocks) <= 3000 + 12
+    around = x.withColumn("numbers", F.array(*map(F.lit, range(3))).cast("array<bigint>"))
+    entries = [len(substrings._unplanes(r.refs)) for r in substrings._window_rows(around, 35, 6).collect() if r.hashes]
+    assert sum(entries) <= 3000 * 3 + 40 * 12
+    assert {(r.n_words, r.n_removed) for r in substrings.remove_repeats(d).collect()} == {(62, 60)}
+
+
 def test_op9_finds_edited_items():
     rng = random.Random(6)
     items = [(i, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(30))) for i in range(40)]
