@@ -5,12 +5,14 @@ so all pairwise interactions cost one pass over a text's features. Words are
 hashed into buckets and weighted by the logarithm of their counts; statistics
 of structure, and the stored length, are put into bins.
 
-The model is fitted on ``TRAIN_ROWS`` labelled rows at most (drawn by a hash of
-the id), in one task of bounded input; scoring goes over every whole text.
+The model is fitted on ``TRAIN_ROWS`` labelled ids at most (drawn by a hash of
+the id), one text each, and on ``TRAIN_VALUES`` features in all, in one task of
+that input; scoring goes over every whole text.
 
 Defined results: null and empty texts have no words but are scored by the bins;
-a null id is never held out; repeated rows are scored each time; without any
-labels all scores are 0.5. Label, language, source and id are no features.
+a null id is never held out; repeated rows are scored each time, and of the texts
+of one id the one with the least hash is learned from; without any labels all
+scores are 0.5. Ids are of any type. Label, language, source and id are no features.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import bounded_batches
 
 TRAIN_ROWS = 12_000
+TRAIN_VALUES = 16_000_000
 BUCKETS = 1 << 16
 RANK = 8
 BINS = 16
@@ -180,6 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     known = known.groupBy(F.col(id).alias("__lid")).agg(F.min(label).cast("int").alias("__y"))
     drawn = known.orderBy(F.xxhash64("__lid"), "__lid").limit(rows)  # the documented bound of the sample
     joined = _featured(docs, id, text, chars).join(F.broadcast(drawn), F.col("__id") == F.col("__lid"))
+    one = F.min(F.struct(F.xxhash64("__t").alias("h"), "__t", "__n")).alias("one")
+    joined = joined.groupBy(F.col("__id").cast("string").alias("__id"), "__y").agg(one).select("__id", "one.__t", "one.__n", "__y")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         made = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(group.i, group.v, strict=True)]
         return pd.DataFrame({"model": [fit(made, group.y.to_numpy()).pack()]})
 
-    got = joined.select(F.col("__id").cast("bigint"), "__t", "__n", "__y").mapInArrow(extract, "id bigint, y int, i binary, v binary")
+    got = joined.mapInArrow(extract, "id string, y int, i binary, v binary")
+    # A window over at most ``rows`` rows.
+    got = got.withColumn("sum", F.sum(F.length("i") / 4).over(Window.orderBy(F.xxhash64("id"), "id"))).filter(F.col("sum") <= TRAIN_VALUES).drop("sum")
     found = got.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "model binary").collect()
     return bytes(found[0].model) if found else Machine.blank().pack()
 
