@@ -3,7 +3,8 @@
 Every round each root hooks to its least neighbour, chains are shortened by
 pointer jumping, and the links are carried over to the roots. Rounds and jumps
 are logarithmic. All steps are joins and partial aggregates; nothing but counts
-reaches the driver.
+reaches the driver. The root of a giant component is a hot key of the joins by
+parent; both sides of these are exchanged, so adaptive execution splits them.
 """
 
 from __future__ import annotations

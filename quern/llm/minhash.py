@@ -15,17 +15,20 @@ share a band fall into one bucket. No bucket is expanded into all its pairs:
 Each round's pairs are verified on full shingle sets before they count, so a
 link is never assumed, and pairs are passed over only where their ends are
 connected already or their estimate lies five standard deviations below the
-threshold. Large buckets are split into blocks of bounded size.
+threshold. A bucket of more than ``BLOCK`` members is first divided by set size,
+as sets of too different sizes cannot be similar enough, and then into blocks of
+bounded size. Hot keys meet one row each, in joins that adaptive execution splits.
 
 Defined results: a null or empty text, or one without words, has an empty set,
 is linked with nothing and kept; so is a row without an id (its component is
 null). Rows that repeat an id are judged by their own text and share that id.
-Ties fall to the smaller id. An empty table gives an empty result. Only the
+Ids are of any type that has an order. Ties fall to the smaller id. An empty table gives an empty result. Only the
 named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import shingles
-from quern.llm.common import bounded_batches, materialize
+from quern.llm.common import bounded_batches, materialize, scratch
 from quern.llm.components import components
 
 SHINGLE = 5
@@ -73,9 +76,11 @@ def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int =
             )
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(
-        run, "id bigint, n_shingles bigint, class binary, bands array<bigint>"
-    )
+    return docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {_type(docs, id)}, n_shingles bigint, class binary, bands array<bigint>")
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, n: int) -> DataFrame:
@@ -93,8 +98,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, n: int) -> Dat
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "class", "size", "fine", "set"])
 
-    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t")).join(wanted.select("id"), "id", "left_semi")
-    made = rows.mapInArrow(run, "id bigint, class binary, size int, fine binary, set binary").join(wanted, ["id", "class"], "left_semi")
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t")).join(wanted.select("id"), "id", "left_semi")
+    made = rows.mapInArrow(run, f"id {_type(docs, id)}, class binary, size int, fine binary, set binary").join(wanted, ["id", "class"], "left_semi")
     return made.dropDuplicates(["id"]).select("id", "size", "fine", "set")
 
 
@@ -113,7 +118,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("p"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, f"a {_type(pairs, 'a')}, b {_type(pairs, 'b')}")
 
 
 def _floor(percent: int, coordinates: int) -> float:
@@ -122,19 +127,31 @@ def _floor(percent: int, coordinates: int) -> float:
     return p + (1 - p) / 256 - 5 * (p * (1 - p) / coordinates) ** 0.5
 
 
-def _dealt(members: DataFrame, sets: DataFrame, bands: DataFrame) -> DataFrame:
-    """The rows of all blocks of ``_block_pairs``, with the slot that compares them."""
-    count = members.groupBy("key").agg(F.sum(F.col("minor").cast("int")).alias("m"), F.count("*").alias("n"))
-    count = count.filter("m > 0").select("key", "m", "n", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    dealt = members.join(count.select("key", "mb", "nb"), "key").withColumn("h", F.xxhash64("id"))
-    all_side = dealt.select("key", "id", "c", "minor", F.lit(False).alias("asks"), F.pmod("h", "nb").cast("int").alias("j"), F.explode(F.expr("sequence(0, mb - 1)")).alias("i"))
-    ask_side = dealt.filter("minor").select("key", "id", "c", "minor", F.lit(True).alias("asks"), F.pmod("h", "mb").cast("int").alias("i"), F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))
+def _dealt(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
+    """The rows of all blocks of ``_block_pairs``, with the slot that compares them.
+
+    ``z`` is the class of size in a large bucket: those that ask go to their own
+    and both next classes, which hold all sizes within the threshold.
+    """
+    step = F.lit(-math.log(percent / 100) + 1e-9)
+    large = materialize(members.groupBy("key").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > BLOCK).select("key", "large"), narrow=True)
+    sized = members.join(large, "key").join(sets.select("id", "size"), "id")
+    sized = sized.withColumn("z", F.when(F.col("large"), F.floor(F.ln("size") / step)).otherwise(0).cast("int"))
+    asking = sized.filter("minor").withColumn("z", F.explode(F.expr("CASE WHEN large THEN array(z - 1, z, z + 1) ELSE array(0) END")))
+    asked, asks = (x.select("key", "z", "id", "c", "minor", F.lit(own).alias("asks")) for x, own in ((sized, False), (asking, True)))
+    both = materialize(asked.unionByName(asks))
+    count = both.groupBy("key", "z").agg(F.sum(F.col("asks").cast("int")).alias("m"), F.sum((~F.col("asks")).cast("int")).alias("n"))
+    count = count.filter("m > 0 AND n > 0").select("key", "z", "m", "n", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+    count = materialize(count, narrow=True)
+    dealt = both.join(count.select("key", "z", "mb", "nb"), ["key", "z"]).withColumn("h", F.xxhash64("id"))
+    all_side = dealt.filter("NOT asks").select("key", "z", "id", "c", "minor", "asks", F.pmod("h", "nb").cast("int").alias("j"), F.explode(F.expr("sequence(0, mb - 1)")).alias("i"))
+    ask_side = dealt.filter("asks").select("key", "z", "id", "c", "minor", "asks", F.pmod("h", "mb").cast("int").alias("i"), F.explode(F.expr("sequence(0, nb - 1)")).alias("j"))
     # Each pair counts in the first bucket that its ends share, so the bands come along.
     rows = all_side.unionByName(ask_side).join(sets.select("id", "size", "fine"), "id").join(bands, "id")
     # Most buckets are small: many are compared in one call. Rows are counted with their copies, of which a large bucket has many.
     copies = count.agg(F.sum(F.col("n") * F.col("mb") + F.col("m") * F.col("nb"))).first()[0] or 0
     slots = max(1, copies // SLOT_ROWS)
-    return rows.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(slots)).alias("slot"), "key", "i", "j", "id", "c", "asks", "minor", "size", "fine", "bands")
+    return rows.select(F.pmod(F.xxhash64("key", "z", "i", "j"), F.lit(slots)).alias("slot"), "key", "z", "i", "j", "id", "c", "asks", "minor", "size", "fine", "bands")
 
 
 def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, best: int | None) -> DataFrame:
@@ -144,18 +161,18 @@ def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent:
     component of the bucket's most popular member, need to be compared, with
     each other and with the rest. Both sides are dealt into blocks.
     """
-    rows = _dealt(members, sets, bands)
+    rows = _dealt(members, sets, bands, percent)
     floor, first = _floor(percent, FINE), _floor(percent, COARSE)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["key", "i", "j", "asks", "size", "id"])
-        key, i, j = (group[k].to_numpy() for k in ("key", "i", "j"))
+        group = group.sort_values(["key", "z", "i", "j", "asks", "size", "id"])
+        key, z, i, j = (group[k].to_numpy() for k in ("key", "z", "i", "j"))
         ids, cs, asks, minor, sizes = (group[k].to_numpy() for k in ("id", "c", "asks", "minor", "size"))
         fine = np.frombuffer(b"".join(group.fine), np.uint8).reshape(len(group), FINE)
         head = np.ascontiguousarray(fine[:, :COARSE])
         every = np.stack(group.bands.to_numpy())
-        turns = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        out: list[tuple[int, int]] = []
+        turns = np.flatnonzero((key[1:] != key[:-1]) | (z[1:] != z[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        out: list[tuple] = []
         for start, end in zip([0, *turns], [*turns, len(key)], strict=True):
             middle = start + int(np.searchsorted(asks[start:end], True))  # those asked first, then those that ask
             if middle in (start, end):
@@ -179,25 +196,31 @@ def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent:
                 if best is not None and len(at) > best:
                     at = at[np.argsort(-e, kind="stable")[:best]]
                 out += [(min(ids[x], y), max(ids[x], y)) for y in ids[at].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
 
-    return rows.groupBy("slot").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return rows.groupBy("slot").applyInPandas(compare, f"a {_type(members, 'id')}, b {_type(members, 'id')}").distinct()
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, class) for each row, and (class, component) for each class."""
-    all_rows = materialize(signatures(docs, id, text, n, bands, rows))
+    with scratch(docs.sparkSession):
+        return _classes(docs, id, text, n, percent, bands, rows)
+
+
+def _classes(docs: DataFrame, id: str, text: str, n: int, percent: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    all_rows = materialize(signatures(docs, id, text, n, bands, rows), lasting=True)
     named = all_rows.filter("class IS NOT NULL AND id IS NOT NULL")
     reps = materialize(named.groupBy("class").agg(F.min("id").alias("rep")))
     chosen = named.join(reps, (named["class"] == reps["class"]) & (named["id"] == reps["rep"]), "left_semi").dropDuplicates(["id", "class"])
     chosen = materialize(chosen.select("id", "class", "bands"))
 
+    # What is joined with many rows of one key is written first: adaptive execution splits joins of two exchanges.
     keys = chosen.select("id", F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     met = materialize(keys.join(shared, "key"))
     popular = met.groupBy("id").agg(F.sum("n").alias("pop"))
     met = materialize(met.join(popular, "id").select("key", "id", "pop"))
-    # The hub: most popular, then least id. Packed so that the aggregate's buffer is fixed in size.
+    # The hub: most popular, then least id.
     hubs = met.groupBy("key").agg(F.min_by("id", F.struct(-F.col("pop"), F.col("id"))).alias("hub"))
     hubs = materialize(hubs)
     pairs = met.join(hubs, "key").filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -209,15 +232,15 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SH
     for best in (BEST, None):
         members = met.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
         major = hubs.join(found.withColumnRenamed("id", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("major"))
-        members = members.join(major, "key").select("key", "id", "c", (F.col("c") != F.col("major")).alias("minor"))
-        open_keys = members.filter("minor").select("key").distinct()
+        members = materialize(members.join(major, "key").select("key", "id", "c", (F.col("c") != F.col("major")).alias("minor")))
+        open_keys = materialize(members.filter("minor").select("key").distinct(), narrow=True)
         members = materialize(members.join(open_keys, "key", "left_semi"))
         more = materialize(_verified(_block_pairs(members, sets, chosen.select("id", "bands").dropDuplicates(["id"]), percent, best), sets, percent), narrow=True)
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
     ends = reps.join(found, reps["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component"))
-    return all_rows.select("id", "n_shingles", "class"), materialize(ends)
+    return all_rows.select("id", "n_shingles", "class"), materialize(ends, lasting=True)
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -228,6 +251,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", **o
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component, with all its columns; repeated rows of it are dropped too."""
-    gone = near_duplicates(docs.select(id, text), id, text, **options).filter("NOT kept").select(F.col(id).alias("__gone")).distinct()
-    return docs.join(gone, docs[id] == gone["__gone"], "left_anti")
+    """One document of each component, with all its columns; repeated rows of it are dropped too. Rows without an id stay."""
+    gone = near_duplicates(docs.select(id, text), id, text, **options).filter("NOT kept").select(F.col(id).alias("gone")).distinct()
+    # Rows without an id have no part in the join, where they would all meet in one task.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id).alias("id"))
+    named = whole.filter("id IS NOT NULL").join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return named.unionByName(whole.filter("id IS NULL")).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
