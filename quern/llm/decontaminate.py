@@ -7,12 +7,15 @@ unchanged. One automaton finds all pieces of all items in a document; around
 each hit Myers' bit-parallel algorithm gives the least edit distance between the
 item and any stretch of the text.
 
-The items travel to the executors in shards of bounded size, one pass over the
-documents for each; a benchmark of usual size is one shard.
+The items travel to the executors in shards of ``SHARD_CHARS`` characters, about,
+one pass over the documents for each, so that memory is bounded whatever the
+benchmark's size; one of usual size is one shard. An item longer than
+``ITEM_CHARS`` is refused, as a benchmark item of that size is a mistake.
 
 Defined results: a null or empty document or item matches nothing; an item too
 short for one edit must occur unchanged; rows that repeat an id or an item are
-matched each time and reported once by id; empty tables give an empty result.
+matched each time and reported once by id; ids of both tables are of any type,
+and null ones are reported as such; empty tables give an empty result.
 Extra columns are ignored by ``matches`` and returned untouched by ``clean``.
 """
 
@@ -26,11 +29,13 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm.common import bounded_batches
 
 CHARS_PER_EDIT = 20
 SHARD_CHARS = 2_000_000
+ITEM_CHARS = 1_000_000
 
 
 def normalized(text: str | None) -> str:
@@ -145,8 +150,11 @@ def _matcher(data: bytes) -> Matcher:
 
 
 def _shards(benchmark: DataFrame, id: str, text: str) -> Iterator[bytes]:
-    rows = benchmark.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t")).filter("t IS NOT NULL").distinct()
-    n = (rows.agg(F.sum(F.length("t"))).first()[0] or 0) // SHARD_CHARS + 1
+    rows = benchmark.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t")).filter("t IS NOT NULL").distinct()
+    total, longest = (x or 0 for x in rows.agg(F.sum(F.length("t")), F.max(F.length("t"))).first())
+    if longest > ITEM_CHARS:
+        raise ValueError(f"a benchmark item has {longest} characters; at most {ITEM_CHARS} are allowed")
+    n = total // SHARD_CHARS + 1
     for k in range(n):
         yield pickle.dumps([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == k).orderBy("id", "t").collect()])
 
@@ -155,7 +163,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     """(id, item, distance) for each document and each item that occurs in it."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("t"))
+    item_type = benchmark.schema[item_id].dataType
+    item_arrow, schema = to_arrow_type(item_type), f"id {rows.schema['id'].dataType.simpleString()}, item {item_type.simpleString()}, distance bigint"
     out = None
     for data in _shards(benchmark, item_id, item_text):
         shared = spark.sparkContext.broadcast(data)
@@ -163,10 +173,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = _matcher(shared.value)
             for batch in batches:
-                found = [(i, *x[:2]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in m.matches(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], names=["id", "item", "distance"])
+                found = [(k, *x[:2]) for k, t in enumerate(batch.column(1).to_pylist()) for x in m.matches(t)]
+                ids = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], item_arrow), pa.array([x[2] for x in found], pa.int64())], names=["id", "item", "distance"])
 
-        one = rows.mapInArrow(run, "id bigint, item bigint, distance bigint")
+        one = rows.mapInArrow(run, schema)
         out = one if out is None else out.union(one)
     out = out.groupBy("id", "item").agg(F.min("distance").alias("distance"))
     return out.select(F.col("id").alias(id), F.col("item").alias(item_id), "distance")

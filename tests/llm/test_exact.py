@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, lexicon, line_dedup, minhash, queries, secrets, sharding, shingles, substrings
+from quern.llm import bpe, decontaminate, lexicon, line_dedup, minhash, quality_model, queries, secrets, sharding, shingles, substrings
 from tests.conftest import SF
 
 
@@ -84,11 +84,41 @@ def test_slots_of_a_large_bucket_are_bounded(spark):
     members = ids.select(F.lit(5).cast("bigint").alias("key"), "id", F.col("id").alias("c"), (F.col("id") > 0).alias("minor"))
     sets = ids.select("id", F.lit(9).alias("size"), F.lit("x").cast("binary").alias("fine"))
     bands = ids.select("id", F.array(F.lit(5).cast("bigint")).alias("bands"))
-    sizes = [r["count"] for r in minhash._dealt(members, sets, bands).groupBy("slot").count().collect()]
+    sizes = [r["count"] for r in minhash._dealt(members, sets, bands, 80).groupBy("slot").count().collect()]
     assert sum(sizes) == 4000 * 8 + 3999 * 8
     assert max(sizes) <= 5 * minhash.SLOT_ROWS
 
 
+def test_large_buckets_are_divided_by_size(spark, monkeypatch):
+    """Pairs within the threshold meet once; sets of too different sizes hardly do."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(5)
+    size = {i: rng.randint(5, 3000) for i in range(200)}
+    members = spark.range(200).select(F.lit(5).cast("bigint").alias("key"), "id", F.col("id").alias("c"), F.lit(True).alias("minor"))
+    sets = spark.createDataFrame([(i, n, b"x") for i, n in size.items()], "id bigint, size int, fine binary")
+    bands = members.select("id", F.array("key").alias("bands"))
+    met = collections.Counter()
+    groups = collections.defaultdict(lambda: ([], []))
+    for r in minhash._dealt(members, sets, bands, 80).collect():
+        groups[r.z, r.i, r.j][r.asks].append(r.id)
+    for asked, asks in groups.values():
+        met.update((a, b) for a in asks for b in asked)
+    assert all(met[a, b] == 1 for a in size for b in size if 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]))
+    assert max(met.values()) == 1 and len(met) < 0.4 * 200 * 200
+
+
+def test_ids_of_any_type(spark):
+    """Strings as ids give what numbers give."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 120").select(F.format_string("d%05d", "doc_id").alias("doc_id"), "doc_id", "text").toDF("name", "doc_id", "text")
+    name = lambda rows, *cols: collections.Counter((f"d{r.doc_id:05d}", *[f"d{r[c]:05d}" if c == "component_id" else r[c] for c in cols]) for r in rows)
+    plain = lambda rows, *cols: collections.Counter((r.name, *[r[c] for c in cols]) for r in rows)
+    for f, cols in (
+        (minhash.near_duplicates, ("component_id", "kept", "n_shingles")), (line_dedup.dedup, ("n_removed", "text")), (substrings.remove_repeats, ("n_removed", "kept")),
+        (lambda d, **k: decontaminate.matches(d, d.filter("doc_id < 20").select(F.col("name").alias("item_id"), "text"), **k), ("item_id", "distance")),
+    ):
+        assert plain(f(d, id="name").collect(), *cols) == name(f(d).collect(), *cols)
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(3)
     s = shingles.Sketcher(160)
@@ -314,6 +344,49 @@ def test_op9_finds_edited_items():
     assert not m.matches(" ".join("".join(rng.choices("ijkl", k=5)) for _ in range(500)))
 
 
+def least_distance(item, text):
+    """Of any stretch of the text, by the plain recurrence."""
+    prev = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        cur = [i]
+        for j, b in enumerate(text, 1):
+            cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (a != b)))
+        prev = cur
+    return min(prev)
+
+
+@pytest.mark.parametrize("shard", [2_000_000, 300])
+def test_op9_by_brute_force(spark, tmp_path, monkeypatch, shard):
+    """The query over whole tables, with items planted below, at and above their budgets."""
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", shard)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(2, 24)))) for i in range(24)] + [(24, None), (25, ""), (3, "zz yy"), (26, "Upper  Case\nitem")]
+    rows = []
+    for k in range(120):
+        t = " ".join(word() for _ in range(rng.randint(0, 40)))
+        if k % 4:
+            x = list(decontaminate.normalized(rng.choice(items)[1]))
+            for _ in range(rng.randint(0, len(x) // 20 + 2) if x else 0):
+                at = rng.randrange(len(x))
+                x[at : at + 1] = rng.choice(["", "z", "z" + x[at]])
+            t += " " + "".join(x) + " " + word()
+        rows.append((k, t))
+    rows += [(None, "zz yy"), (200, None), (201, "UPPER case  item")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {}
+    for d, t in rows:
+        for i, item in items:
+            item = decontaminate.normalized(item)
+            n = least_distance(item, decontaminate.normalized(t)) if item and t else 99
+            if item and n <= len(item) // 20:
+                want[d, i] = min(n, want.get((d, i), 99))
+    assert len(want) > 40
+    got = queries.op9_decontamination(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id): r.distance for r in got} == want and len(got) == len(want)
+
+
 def test_myers_is_the_edit_distance():
     rng = random.Random(1)
     for _ in range(400):
@@ -373,6 +446,31 @@ def test_shards_on_disk(spark, tmp_path):
     assert collections.Counter(map(tuple, back.drop(name).select(*d.columns).collect())) == collections.Counter(map(tuple, d.collect()))
 
 
+def test_op1_scores_by_all_pairs(spark):
+    """The sum-of-squares identity against the sum over all pairs of features, with the model of the query."""
+    d, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    m = quality_model.Machine.unpack(quality_model.train(d, labels))
+    assert np.abs(m.factors).max() > 0.05
+    got = {r.doc_id: r.score for r in queries.op1_quality_classifier(spark, SF).collect()}
+    for r in d.filter("n_chars < 1500").orderBy("doc_id").limit(40).collect():
+        index, x = quality_model.features(r.text, r.n_chars)
+        z = m.bias + sum(float(m.weights[i]) * float(v) for i, v in zip(index, x, strict=True))
+        for a in range(len(index)):
+            for b in range(a):
+                z += float(np.dot(m.factors[index[a]].astype(float), m.factors[index[b]].astype(float))) * float(x[a]) * float(x[b])
+        assert got[r.doc_id] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_op1_learns_from_bounded_rows(spark, monkeypatch):
+    """Repeated rows of a labelled id count once."""
+    rows = [(i % 30, f"text number {i} with words", None) for i in range(1800)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, quality int")
+    monkeypatch.setattr(quality_model, "fit", lambda made, y: (_ for _ in ()).throw(ValueError(f"rows {len(made)}")))
+    with pytest.raises(Exception, match="rows 10"):
+        quality_model.train(d, labels, rows=10)
+
+
 def test_op1_held_out(spark):
     """On the middle tables: the smallest hold 19 rows of the fold and 60 to learn from."""
     sf = SF.replace("sf0.001", "sf0.01")
