@@ -28,8 +28,6 @@ STOP_WORDS = (
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Columns of intermediate steps.
-STEPS = ("__t", "__w", "__l", "__h", "__s", "__m")
 
 
 @dataclass(frozen=True)
@@ -68,10 +66,10 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> str:
     return " AND ".join(parts) or "true"
 
 
-def _measured(df: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """Adds the struct column ``__q`` with all measures and verdicts."""
+def _measured(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(kept as it came: ``row``, and the struct ``__q`` of all measures and verdicts) from (row, text)."""
     stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
-    d = df.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    d = df.withColumn("__t", F.coalesce(F.col("text").cast("string"), F.lit("")))
     d = d.withColumn("__w", F.expr(f"filter(split(__t, '{_sql(SPACE)}'), w -> w <> '')"))
     d = d.withColumn("__l", F.expr(f"filter(split(__t, '\\n'), l -> l rlike '{_sql(WORD)}')"))
     at = ", ".join(f"__w[i + {k}]" for k in range(WINDOW))
@@ -108,7 +106,7 @@ def _measured(df: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     # A generator of one row: Spark doesn't move a filter on its output below the steps that it names,
     # where every measure would be spelled out and computed many times over.
     verdicts = F.struct("__m.*", F.expr(failed).alias("base_failed"), F.expr(verdict).alias("kept"))
-    return d.select(*[c for c in d.columns if c not in STEPS], F.explode(F.array(verdicts)).alias("__q"))
+    return d.select("row", F.explode(F.array(verdicts)).alias("__q"))
 
 
 def _named(sql: str, name: str) -> str:
@@ -123,9 +121,10 @@ def _sql(pattern: str) -> str:
 
 def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: its id, measures, ``base_failed`` and ``kept``."""
-    return _measured(docs.select(F.col(id), F.col(text)), text, rules).select(F.col(id), "__q.*")
+    return _measured(docs.select(F.col(id).alias("row"), F.col(text).alias("text")), rules).select(F.col("row").alias(id), "__q.*")
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return _measured(docs, text, rules).filter("__q.kept").drop("__q")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    return _measured(whole, rules).filter("__q.kept").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

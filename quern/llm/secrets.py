@@ -23,10 +23,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize
+from quern.llm.common import materialize, scratch
 
 # The known shapes. Group ``group`` of a match must have ``least`` characters.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -134,14 +134,14 @@ def _scored(token: str) -> str:
     return f"element_at(transform(array({named}), w -> {out} END), 1)"
 
 
-def _scanned(docs: DataFrame, id: str, text: str) -> DataFrame:
-    df = docs.select(F.col(id).alias("__id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
+def _scanned(docs: DataFrame, row: Column, text: str) -> DataFrame:
+    df = docs.select(row.alias("__row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__t"))
     for name, (pattern, group, least) in SHAPES.items():
         df = _find(df, name, pattern, group, least)
     df = _find(df, "token", CANDIDATE, 0, 20)
     scored = f"transform(token, s -> struct(s.start AS start, s.end AS end, {_scored("rtrim('=', substring(__t, cast(s.start + 1 AS int), cast(s.end - s.start AS int)))")} AS v))"
     df = df.withColumn("tokens", F.expr(f"CASE WHEN size(token) > 0 THEN filter({scored}, x -> x.v IS NOT NULL) END"))
-    return df.select("__id", "assign", "access", "hex", "tokens")
+    return df.select("__row", "assign", "access", "hex", "tokens")
 
 
 def _thresholds(scanned: DataFrame) -> dict[str, int]:
@@ -159,13 +159,19 @@ def _thresholds(scanned: DataFrame) -> dict[str, int]:
     return out
 
 
-def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, assign, access, hex, random) for each row: arrays of spans (start, end)."""
-    scanned = materialize(_scanned(docs, id, text))
+def _judged(docs: DataFrame, row: Column, text: str) -> DataFrame:
+    """(__row, assign, access, hex, random)."""
+    with scratch(docs.sparkSession):
+        scanned = materialize(_scanned(docs, row, text), lasting=True)
     least = _thresholds(scanned)
     high = "CASE x.v.enc " + " ".join(f"WHEN '{e}' THEN {b}" for e, b in least.items()) + " END"
     random = f"coalesce(transform(filter(tokens, x -> x.v.random AND x.v.bin >= {high}), x -> struct(x.start AS start, x.end AS end)), cast(array() AS {_SPANS}))"
-    return scanned.select(F.col("__id").alias(id), "assign", "access", "hex", F.expr(random).alias("random"))
+    return scanned.select("__row", "assign", "access", "hex", F.expr(random).alias("random"))
+
+
+def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, assign, access, hex, random) for each row: arrays of spans (start, end)."""
+    return _judged(docs, F.col(id), text).withColumnRenamed("__row", id)
 
 
 def spelled(kinds: tuple[str, ...] = KINDS) -> str:
@@ -175,13 +181,11 @@ def spelled(kinds: tuple[str, ...] = KINDS) -> str:
     return f"array_join(transform(array_sort(concat({parts})), s -> concat_ws(':', {names}[s.rank], s.start, s.end)), ',')"
 
 
-def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` of one row an id, with every span replaced by ``mark``; overlapping spans become one."""
-    found = scan(docs, id, text).withColumnRenamed(id, "__rid")
-    spans = "array_sort(concat(assign, access, hex, random))"
-    found = found.select("__rid", F.expr(spans).alias("__sp"))
-    joined = docs.join(found, docs[id].eqNullSafe(F.col("__rid")), "left")
-    t = f"coalesce(`{text}`, '')"
-    step = f"named_struct('at', greatest(a.at, s.end), 'out', CASE WHEN s.start >= a.at THEN concat(a.out, substring({t}, cast(a.at + 1 AS int), cast(s.start - a.at AS int)), '{mark}') ELSE a.out END)"
-    body = f"aggregate(__sp, named_struct('at', 0L, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring({t}, cast(a.at + 1 AS int))))"
-    return joined.withColumn(text, F.expr(f"CASE WHEN size(__sp) > 0 THEN {body} ELSE `{text}` END")).drop("__rid", "__sp")
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span replaced by ``mark``; overlapping spans become one. Each row is judged by its own text."""
+    found = _judged(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), text)
+    spans = found.select("__row", F.expr("array_sort(concat(assign, access, hex, random))").alias("spans"), F.col(f"__row.`{text}`").alias("t"))
+    step = f"named_struct('at', greatest(a.at, s.end), 'out', CASE WHEN s.start >= a.at THEN concat(a.out, substring(t, cast(a.at + 1 AS int), cast(s.start - a.at AS int)), {_quoted(mark)}) ELSE a.out END)"
+    body = f"aggregate(spans, named_struct('at', 0L, 'out', ''), (a, s) -> {step}, a -> concat(a.out, substring(t, cast(a.at + 1 AS int))))"
+    left = F.expr(f"CASE WHEN size(spans) > 0 THEN {body} ELSE t END")
+    return spans.select(*[(left if c == text else F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])

@@ -1,5 +1,7 @@
 """Every operator and stage over the odd rows, and over none."""
 
+import collections
+
 import pytest
 
 import corpus_pipeline
@@ -48,10 +50,35 @@ def test_stages_bear_odd_rows(spark, tmp_path, stage):
     f = corpus_pipeline.STAGES[stage][1]
     for d in (cases.docs(spark), cases.empty(spark)):
         got = f(spark, d, str(tmp_path))
-        got.collect()
+        found = got.collect()
         if stage < 4:
             assert got.columns == d.columns
             assert [x.dataType for x in got.schema] == [x.dataType for x in d.schema]
+            assert not collections.Counter(untouched(r) for r in found) - collections.Counter(untouched(r) for r in d.collect())
+
+
+def untouched(row):
+    return tuple(v for c, v in row.asDict().items() if c not in ("text", "n_chars"))
+
+
+def test_line_stage_keeps_all_documents(spark):
+    d = cases.docs(spark)
+    got = line_dedup.deduplicate(d).collect()
+    assert collections.Counter(map(untouched, got)) == collections.Counter(map(untouched, d.collect()))
+    least = {r.doc_id: r.text for r in got}[-(1 << 63)]
+    assert least == "the least id of all\nand a line of it that comes twice"
+
+
+def test_redaction_and_shards_bear_odd_rows(spark, tmp_path):
+    d = cases.docs(spark)
+    hidden = secrets.redact(d).collect()
+    assert collections.Counter(map(untouched, hidden)) == collections.Counter(map(untouched, d.collect()))
+    assert {r.doc_id: r.text for r in hidden}[12] == "<|endoftext|> [SECRET]' [SECRET]"  # the closing quote is no part of the match
+    assert secrets.redact(cases.empty(spark)).count() == 0
+    name = sharding.write_shards(d, str(tmp_path / "out"), shards=3)
+    assert name == "shard__"
+    assert collections.Counter(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(*d.columns).collect())) == collections.Counter(map(tuple, d.collect()))
+    sharding.write_shards(cases.empty(spark), str(tmp_path / "none"))
 
 
 def test_benchmark_edges(spark):
@@ -76,5 +103,15 @@ def test_urls(spark):
         ("7", "org", "/a", "org/", "allow"),
     }
     assert len(got) == len(rows)
+    bare = {r.page_id: r.verdict for r in url_filters.judge(u, url_filters.rule_table(spark, [("block", "example.org"), ("block", ""), ("block", None)])).collect()}
+    assert bare == {1: "block", 2: "allow", 3: "allow", None: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
+    import quern.llm.url_filters as own
+
+    limit, own.BROADCAST_RULES = own.BROADCAST_RULES, 2
+    try:
+        shuffled = [(str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in own.judge(u, own.rule_table(spark)).collect()]
+    finally:
+        own.BROADCAST_RULES = limit
+    assert sorted(map(str, shuffled)) == sorted(map(str, got))
     assert url_filters.judge(u, url_filters.rule_table(spark, [("block", "x/")]).limit(0)).filter("rule IS NOT NULL").count() == 0
     assert url_filters.judge(u.limit(0), url_filters.rule_table(spark)).count() == 0
