@@ -272,7 +272,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     hits = _hit_blocks(_anchor_rows(rows.select("k", "t", "text"), window, bucket, bits))
     with scratch(docs.sparkSession):
         hits = materialize(hits.groupBy("k").agg(F.collect_set("number").alias("numbers")), lasting=True)
-    around = rows.join(hits, "k").select("k", "t", "text", "numbers")
+    # With the id, though it is not read, so that both joins take the same exchange of the rows.
+    around = rows.join(hits, "k").select("k", "t", "text", "numbers", "id")
     again = _repeated(_window_rows(around, window, bucket))
     again = again.groupBy("k").agg(F.collect_list(F.struct("t", "positions")).alias("found"))
 
