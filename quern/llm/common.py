@@ -83,7 +83,8 @@ def materialize(df: DataFrame, narrow: bool = False, lasting: bool = False) -> D
         df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
     _written[-2 if lasting and len(_written) > 1 else -1].append(path)
-    df.write.parquet(path)
+    # The usual codec takes a direct buffer for each column of each writer, which a collector that sees only the heap is late to free.
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
