@@ -17,8 +17,8 @@ than ``min_chars``, stay.
 4. Pairs are verified with a banded bit-parallel edit automaton, after common
    ends are cut off by bisection.
 
-Places of hot lines are joined with one row a line, which adaptive execution
-splits. Row widths are fixed in all exchanges but those that fetch the lines to
+Places of hot lines are joined with one row a line, in a join that adaptive
+execution splits. Row widths are fixed in all exchanges but those that fetch the lines to
 verify and remove lines, which go by id and text.
 
 Defined results: a null or empty text has no lines and stays as it is; rows
@@ -134,15 +134,15 @@ def _on_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
 def _live(entries: DataFrame) -> DataFrame:
     """The entries of keys under which an index entry meets another, with the number ``c`` of all under the key."""
     counts = materialize(entries.groupBy("key").agg(F.count("*").alias("c"), F.sum("own").alias("o")).filter("c > 1 AND o > 0").select("key", "c"), narrow=True)
-    return materialize(entries.join(counts, "key"))
+    return materialize(entries.join(counts, "key"), lasting=True)
 
 
 def _entries(keys: list, own: str, keyed) -> Column:
     return F.array(*[F.struct(keyed(k).alias("key"), F.expr(f"{own} * {int(mine)}").alias("own"), F.lit(k).alias("k")) for k, (_, mine, *_) in enumerate(keys)])
 
 
-def _candidates(live: DataFrame, texts: DataFrame, edits: int, pairs_up_to: int) -> DataFrame:
-    """(key, own, h, g): keys small enough for all their pairs, which hold all pairs within the budget."""
+def _candidates(live: DataFrame, texts: DataFrame, edits: int, pairs_up_to: int) -> tuple[DataFrame, DataFrame]:
+    """(key, own, h, g) of keys small enough for all their pairs, which hold all pairs within the budget; and the texts, written if there were hot keys."""
     keys = _keys(edits)
     pick = lambda part: "CASE k " + " ".join(f"WHEN {k} THEN {x[part]}" for k, x in enumerate(keys)) + " END"
     # A segment at an end of both lines leaves one stretch; others leave two, told apart by a sign that no line has.
@@ -155,10 +155,11 @@ def _candidates(live: DataFrame, texts: DataFrame, edits: int, pairs_up_to: int)
         if hot.isEmpty():
             break
         if "rest" not in hot.columns:
+            texts = materialize(texts, lasting=True)
             hot = hot.join(texts.select("h", "g", F.col("line").alias("rest")), ["h", "g"])
         hot = hot.withColumn("n", F.length("rest")).withColumn("at", F.expr(pick(3))).withColumn("size", F.expr(pick(4))).withColumn("d", F.expr(pick(2)))
         hot = hot.select("key", "own", "h", "g", "d", F.expr(f"concat(left(rest, at), {mark}, substring(rest, at + size + 1))").alias("rest")).withColumn("n", F.length("rest"))
-        hot = materialize(hot)
+        hot = materialize(hot, lasting=True)
         small.append(hot.filter(f"n - d <= {enough}").select("key", "own", "h", "g"))
         again = _keys(edits, "rest", "key, ")
         made = _entries(again, "own", lambda k, again=again: F.expr(f"CASE WHEN d = {again[k][2]} THEN {again[k][0]} END"))
@@ -167,7 +168,7 @@ def _candidates(live: DataFrame, texts: DataFrame, edits: int, pairs_up_to: int)
     out = small[0]
     for more in small[1:]:
         out = out.unionByName(more)
-    return out
+    return out, texts
 
 
 def _removed(rows: DataFrame, edits: int, min_chars: int, pairs_up_to: int, sources: bool = False) -> DataFrame:
@@ -177,11 +178,12 @@ def _removed(rows: DataFrame, edits: int, min_chars: int, pairs_up_to: int, sour
     lines = lines.filter((F.col("n") >= min_chars) & F.col("line").rlike(WORD))
     extra = ["chars", "n"] if sources else []
     lines = lines.select("id", "t", "pos", *extra, F.xxhash64("line").alias("h"), F.hash(F.lit(7), F.col("line")).alias("g"), *[F.expr(k[0]).alias(f"k{i}") for i, k in enumerate(keys)])
-    lines = materialize(lines)
+    lines = materialize(lines, lasting=True)
     placed = lines.withColumn("ord", _order(rows))
     firsts = ["id", "t", "pos", *extra[:1]]
     distinct = materialize(
-        placed.groupBy("h", "g").agg(F.min("ord").alias("ord"), F.count("*").alias("cnt"), *[F.min_by(c, "ord").alias(c) for c in firsts], *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
+        placed.groupBy("h", "g").agg(F.min("ord").alias("ord"), F.count("*").alias("cnt"), *[F.min_by(c, "ord").alias(c) for c in firsts], *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))]),
+        lasting=True,
     )
 
     entries = distinct.select("h", "g", F.inline(_entries(keys, "1", lambda k: F.col(f"k{k}")))).filter("key IS NOT NULL")
@@ -189,11 +191,10 @@ def _removed(rows: DataFrame, edits: int, min_chars: int, pairs_up_to: int, sour
 
     # The text of every line that shares a key, from the document where it comes first.
     wanted = distinct.select("h", "g", "ord", "id", "t", "pos").join(live.select("h", "g").distinct(), ["h", "g"], "left_semi")
-    wanted = materialize(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "g", "ord", "pos")).alias("want")))
+    wanted = materialize(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "g", "ord", "pos")).alias("want")), lasting=True)
     fetched = _on_row(rows, wanted).select(F.expr("inline(transform(array(split(text, '\\n')), ls -> transform(want, s -> named_struct('h', s.h, 'g', s.g, 'ord', s.ord, 'line', ls[s.pos])))[0])"))
-    texts = materialize(fetched.dropDuplicates(["h", "g"]).select("h", "g", "ord", "line"))
-
-    few = _candidates(live, texts, edits, pairs_up_to)
+    # Not written unless needed: one plan that fetches lines and removes them exchanges the documents once.
+    few, texts = _candidates(live, fetched.dropDuplicates(["h", "g"]).select("h", "g", "ord", "line"), edits, pairs_up_to)
     left = few.filter("own = 1").select("key", F.col("h").alias("h1"), F.col("g").alias("g1"))
     right = few.select("key", "own", F.col("h").alias("h2"), F.col("g").alias("g2"))
     pairs = left.join(right, "key").filter("(h1 <> h2 OR g1 <> g2) AND (own = 0 OR h1 < h2 OR (h1 = h2 AND g1 < g2))").select("h1", "g1", "h2", "g2").distinct()
@@ -210,11 +211,12 @@ def _removed(rows: DataFrame, edits: int, min_chars: int, pairs_up_to: int, sour
         hit = marked.filter("near").join(other, ["eh", "eg"])
         hit = hit.select("h", "g", "ord", "near", *[F.col(f"near_{c}").alias(f"src_{c}") for c in firsts])
         marked = marked.filter("NOT near").select("h", "g", "ord", "near", *[f"src_{c}" for c in firsts]).unionByName(hit)
-    # Written, so that adaptive execution can split the join where a line is hot.
-    marked = materialize(marked.withColumnRenamed("ord", "first").drop("cnt", "eh", "eg", "src_pos", *([] if sources else ["src_id", "src_t"])))
-    gone = placed.join(marked, ["h", "g"]).filter("near OR ord <> first")
+    marked = marked.withColumnRenamed("ord", "first").drop("cnt", "eh", "eg", "src_pos", *([] if sources else ["src_id", "src_t"]))
+    # ``z`` is always 0. As a key that ``marked`` is not dealt by, it makes both sides of the join exchanges, which adaptive execution splits where a line is hot.
+    zero = F.pmod("g", F.lit(1))
+    gone = placed.withColumn("z", zero).join(marked.withColumn("z", zero), ["h", "g", "z"]).filter("near OR ord <> first")
     if not sources:
-        return materialize(gone.groupBy("id", "t").agg(F.collect_set(F.struct("pos", "near")).alias("gone")), lasting=True)
+        return gone.groupBy("id", "t").agg(F.collect_set(F.struct("pos", "near")).alias("gone"))
     by = ["id", "t", "chars", "src_id", "src_t", "src_chars"]
     return gone.groupBy(*by).agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
 
@@ -247,12 +249,11 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", chars:
     """
     rows = _rows(docs, id, text)
     with scratch(docs.sparkSession):
-        parts = materialize(_removed(rows, edits, min_chars, PAIRS_UP_TO, sources=True))
-        shared = F.expr("aggregate(gone, 0L, (a, x) -> a + x.n)")
-        alike = F.col("src_chars").between(F.col("chars") * LIKE_SIZE, F.col("chars") / LIKE_SIZE) & ~(F.col("id").eqNullSafe(F.col("src_id")) & (F.col("t") == F.col("src_t")))
-        parts = parts.withColumn("copy", alike & (shared >= COPIED * F.col("chars")))
-        gone = parts.groupBy("id", "t").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("gone.pos")).alias("gone")).filter("NOT copy").select("id", "t", "gone")
-        gone = materialize(gone, lasting=True)
+        parts = _removed(rows, edits, min_chars, PAIRS_UP_TO, sources=True)
+    shared = F.expr("aggregate(gone, 0L, (a, x) -> a + x.n)")
+    alike = F.col("src_chars").between(F.col("chars") * LIKE_SIZE, F.col("chars") / LIKE_SIZE) & ~(F.col("id").eqNullSafe(F.col("src_id")) & (F.col("t") == F.col("src_t")))
+    parts = parts.withColumn("copy", alike & (shared >= COPIED * F.col("chars")))
+    gone = parts.groupBy("id", "t").agg(F.max("copy").alias("copy"), F.flatten(F.collect_list("gone.pos")).alias("gone")).filter("NOT copy").select("id", "t", "gone")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id).alias("id"), F.xxhash64(body).alias("t"), F.col(text).alias("text"))
     d = _on_row(whole, gone, "left").withColumn("left", F.expr(f"CASE WHEN size(gone) > 0 THEN {_left('gone')} ELSE text END"))
