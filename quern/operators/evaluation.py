@@ -18,6 +18,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0))
 
 
+def relevant(expected: Column, *fields: Column) -> Column:
+    """Whether any expected name is part of any field, whatever the case."""
+    named = F.array(*[F.lower(F.coalesce(f, F.lit(""))) for f in fields])
+    return F.exists(expected, lambda e: F.exists(named, lambda f: f.contains(F.lower(e))))
+
+
 def ranking_metrics(ranks: DataFrame, rank: str = "rank") -> DataFrame:
     """Mean reciprocal rank, recalls and the median of one rank a query; null ranks count as misses."""
     r = F.col(rank)

@@ -31,6 +31,20 @@ START_LEVELS = {
 PATHS = {"broad": ["repo", "module", "file"], "narrow": ["file", "symbol", "module"], "specific": ["symbol", "file"]}
 SALES_PATH = ["module", "doc"]
 OUT_OF_DOMAIN, ADEQUATE_SCORE, ADEQUATE_RESULTS = 0.45, 0.65, 2
+# Intents of each persona, its default, and the directions of a search.
+PERSONA_INTENTS = {
+    "developer": ["code_explanation", "architecture", "impact_analysis", "specific_lookup", "documentation", "change_history"],
+    "sales": ["capability_check", "proposal_draft", "experience_summary", "change_history"],
+}
+DEFAULT_INTENTS = {"developer": "code_explanation", "sales": "capability_check"}
+DIRECTIONS = ["broad", "narrow", "specific"]
+# Words that an English analyzer leaves out.
+ENGLISH_STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
+    "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
+]
+LEXICAL_OVERSAMPLE, LEXICAL_REPOS = 4, 3
+CONTEXT_CHARS, BRIDGE_CONTENTS, BRIDGE_MODULES = 2000, 3, 5
 RERANK_HEAD = 20
 K1, B = 1.2, 0.75
 
@@ -70,29 +84,110 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, per_type: int | None =
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("rank") <= k)
 
 
-def tokens(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, term, tf, len): lower-cased runs of letters and digits."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    t = docs.select(F.col(id).alias("id"), words.alias("w")).select("id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    return t.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+def tokens(text: Column, english: bool = False) -> Column:
+    """Lower-cased runs of letters and digits; the English analyzer leaves out stop words and takes plurals for singulars."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    if not english:
+        return words
+    kept = F.filter(words, lambda w: ~w.isin(ENGLISH_STOP_WORDS))
+    return F.transform(
+        kept,
+        lambda w: F.when(w.rlike("[^ea]ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("[^aeo]es$"), F.regexp_replace(w, "s$", "")).when(w.rlike("[^use]s$"), F.regexp_replace(w, "s$", "")).otherwise(w),
+    )
+
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text", qid: str = "item_id", qtext: str = "text", english: bool = False, max_terms: int = 1_000_000) -> DataFrame:
+    """(query_id, id, score, rank) of the k best documents of each query.
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text", qid: str = "item_id", qtext: str = "text") -> DataFrame:
-    """(query_id, id, score, rank): only postings of the queries' terms are exchanged."""
-    postings = tokens(docs, id, text)
-    sizes = postings.select("id", "len").distinct().agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    asked = tokens(queries, qid, qtext).select(F.col("id").alias("query_id"), "term").distinct()
-    used = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    Lengths are taken from the token arrays, and only tokens that some query
+    asks for are exploded and exchanged. The queries' terms are broadcast,
+    which is refused beyond ``max_terms``.
+    """
+    asked = queries.select(F.col(qid).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(qtext), english))).alias("term"))
+    terms = asked.select("term").distinct()
+    if terms.limit(max_terms + 1).count() > max_terms:
+        raise ValueError("too many query terms for one pass; search in blocks")
+    split = docs.select(F.col(id).alias("id"), tokens(F.col(text), english).alias("w")).withColumn("len", F.size("w"))
+    sizes = split.filter("len > 0").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    used = split.select("id", "len", F.explode("w").alias("term")).join(F.broadcast(terms), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = used.join(df, "term").join(F.broadcast(sizes)).select(
-        "id", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))).alias("w")
-    )
-    scored = weighted.join(asked, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    by_term = F.broadcast(asked.join(df, "term").join(F.broadcast(sizes)).select("query_id", "term", idf.alias("idf"), "avg"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    scored = used.join(by_term, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def first_repos(hits: DataFrame, repos: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, rank): the first n repositories of ranked hits (query_id, id, rank), by ``repos`` (id, repo_id)."""
+    best = hits.join(repos, "id").groupBy("query_id", "repo_id").agg(F.min("rank").alias("at"))
+    w = Window.partitionBy("query_id").orderBy("at")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("query_id", F.col("repo_id").alias("id"), "rank")
+
+
+def lexical_repos(docs: DataFrame, queries: DataFrame, repos: DataFrame, n: int = LEXICAL_REPOS, english: bool = False, **columns) -> DataFrame:
+    """(query_id, id, rank): n repositories by BM25, from four times as many hits."""
+    return first_repos(bm25(docs, queries, LEXICAL_OVERSAMPLE * n, english=english, **columns), repos, n)
+
+
+def same_query(query: Column, contents: Column) -> Column:
+    """The rewriter of a deployment without a language model."""
+    return query
+
+
+def bridge(queries: DataFrame, modules: DataFrame, files: DataFrame, k: int, rewrite=same_query) -> DataFrame:
+    """(query_id, item_id, type, score, rank): files of the best modules, ranked by the rewritten query.
+
+    ``modules`` is (item_id, type, vec), ``files`` also has parent_id. The query
+    is rewritten by what the first modules say, given as an array of their
+    vectors by rank, and the second pass is narrowed to children of the first
+    modules. Both sides that are broadcast are as many as the queries allow.
+    """
+    hits = nearest(queries, modules, BRIDGE_MODULES)
+    told = hits.filter(F.col("rank") <= BRIDGE_CONTENTS).join(modules.select("item_id", "vec"), "item_id")
+    told = told.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec"))), lambda x: x["vec"]).alias("contents"))
+    asked = queries.join(told, "query_id").select("query_id", rewrite(F.col("qvec"), F.col("contents")).alias("qvec"))
+    narrowed = files.join(F.broadcast(hits.select(F.col("item_id").alias("parent_id"), "query_id")), "parent_id").join(F.broadcast(asked), "query_id")
+    scored = narrowed.select("query_id", "item_id", "type", F.round(vectors.dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))).filter(F.col("rank") <= k)
+
+
+def classified(reply: Column, persona: Column, question: Column) -> Column:
+    """(intent, direction, keywords) of a classifier's reply, checked.
+
+    An intent that exists but not for the persona gives the persona's default; a
+    reply that is no JSON, lacks a field or names what does not exist gives the
+    default intent, the narrow direction and the question's first ten words.
+    """
+    r = F.from_json(reply, "intent string, direction string, search_keywords array<string>")
+    every = sorted({i for own in PERSONA_INTENTS.values() for i in own})
+    allowed, fallback = F.lit(False), F.lit(None)
+    for name, own in PERSONA_INTENTS.items():
+        allowed = allowed | ((persona == name) & r["intent"].isin(own))
+        fallback = F.when(persona == name, DEFAULT_INTENTS[name]).otherwise(fallback)
+    sound = F.coalesce(r["intent"].isin(every) & r["direction"].isin(DIRECTIONS), F.lit(False))
+    words = F.slice(F.filter(F.split(question, r"\s+"), lambda w: w != ""), 1, 10)
+    return F.when(sound, F.struct(F.when(allowed, r["intent"]).otherwise(fallback).alias("intent"), r["direction"].alias("direction"), F.coalesce(r["search_keywords"], F.array().cast("array<string>")).alias("keywords"))).otherwise(
+        F.struct(fallback.alias("intent"), F.lit("narrow").alias("direction"), words.alias("keywords"))
+    )
+
+
+def contexts(results: DataFrame) -> DataFrame:
+    """(query_id, context, sources) from ranked results (query_id, rank, repo_id, doc_type, score, content): numbered sections, long contents cut."""
+    long = F.length("content") > CONTEXT_CHARS
+    body = F.when(long, F.concat(F.left("content", F.lit(CONTEXT_CHARS)), F.lit("\n...[truncated]"))).otherwise(F.col("content"))
+    section = F.concat(F.lit("### "), F.col("rank").cast("string"), F.lit(". "), "repo_id", F.lit("\n_Repo: "), "repo_id", F.lit(" | Type: "), "doc_type", F.lit(" | Score: "), F.format_string("%.2f", "score"), F.lit("_\n\n"), body)
+    g = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", section.alias("s")))).alias("parts"), F.sort_array(F.collect_set("repo_id")).alias("sources"))
+    return g.select("query_id", F.array_join(F.col("parts")["s"], "\n\n---\n\n").alias("context"), "sources")
+
+
+def out_of_scope_answer(repos: Column, top: Column) -> Column:
+    """What is said instead of an answer; ``repos`` are the nearest ones."""
+    named = F.coalesce(F.nullif(F.array_join(F.slice(repos, 1, 3), ", "), F.lit("")), F.lit("none"))
+    return F.concat(F.lit("This question doesn't appear to be within the scope of the indexed codebases. Closest repositories: "), named, F.lit(" (top score "), F.format_string("%.2f", top), F.lit(", threshold not met)."))
+
+
 def round_robin(*lists: DataFrame) -> DataFrame:
     """Merge ranked lists (query_id, id, rank) in turn, each id once, where it first comes."""
     out = None

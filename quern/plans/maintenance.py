@@ -57,9 +57,9 @@ def module_documents(spark, sf_dir):
     return m.select("repo_id", "module_path", ids.module_id(F.col("repo_id"), F.col("module_path")).alias("document_id"), "parent_id")
 
 
-@query("HIE-05", _FILES + f" SELECT repo_id, {_DIR} AS module_path, string_agg(file_path, ',' ORDER BY file_path) AS children FROM files WHERE doc_id < 400 GROUP BY ALL")
+@query("HIE-05", _FILES + f" SELECT repo_id, {_DIR} AS module_path, string_agg(file_path, ',' ORDER BY file_path) AS children FROM files GROUP BY ALL")
 def children_by_path(spark, sf_dir):
-    f = view(spark, sf_dir, "files").filter("doc_id < 400")
+    f = view(spark, sf_dir, "files")
     return f.groupBy("repo_id", paths.dirname(F.col("file_path")).alias("module_path")).agg(F.array_join(F.sort_array(F.collect_list("file_path")), ",").alias("children"))
 
 
@@ -103,11 +103,14 @@ def template_summaries(spark, sf_dir):
 
 @query(
     "FN-15",
-    "SELECT page_id, array_to_string(list_sort(list_filter([CASE WHEN contains(lower(url), 'django') THEN 'django' END, CASE WHEN contains(lower(url), '.vue') THEN 'vue' END, CASE WHEN contains(html, 'react') OR contains(lower(url), 'jsx') THEN 'react' END, CASE WHEN contains(html, 'redis') THEN 'redis' END], lambda x: x IS NOT NULL)), ',') AS tags FROM pages",
+    "SELECT page_id, array_to_string(list_sort(list_filter(["
+    + ", ".join(
+        "CASE WHEN " + " OR ".join([f"contains(html, '{w}')" for w in words] + [f"contains(lower(url), '{w}')" for w in parts]) + f" THEN '{tag}' END" for tag, (words, parts) in H.TECHNOLOGIES.items()
+    )
+    + "], lambda x: x IS NOT NULL)), ',') AS tags FROM pages",
 )
 def technologies(spark, sf_dir):
-    tags = F.array_sort(F.filter(H.technologies(F.col("html"), F.col("url")), lambda x: x.isin("react", "redis", "vue")))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(tags, ",").alias("tags"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.array_sort(H.technologies(F.col("html"), F.col("url"))), ",").alias("tags"))
 
 
 @query(

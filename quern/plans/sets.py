@@ -266,18 +266,20 @@ def salvaged_symbols(spark, sf_dir):
 
 @query(
     "JOIN-11",
-    """WITH e AS (SELECT *, row_number() OVER (ORDER BY sha256(cast(vec_id AS varchar)), vec_id) AS r, count(*) OVER () AS n FROM embeddings)
-SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM e a JOIN e b ON b.r = a.r % a.n + 1""",
+    """WITH e AS (SELECT *, substr(sha256(cast(vec_id AS varchar)), 1, 1) AS bucket, sha256(cast(vec_id AS varchar)) AS h FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY h, vec_id) AS r, count(*) OVER (PARTITION BY bucket) AS n FROM e)
+SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM r a JOIN r b ON a.bucket = b.bucket AND b.r = a.r % a.n + 1""",
 )
 def random_pairs(spark, sf_dir):
+    """Each with the next by hash in its bucket of the hash, so that no window runs over all rows."""
     from quern.functions.vectors import dot
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    order = e.select("vec_id", F.row_number().over(Window.orderBy(F.sha2(F.col("vec_id").cast("string"), 256), "vec_id")).alias("r"))
-    n = order.agg(F.max("r").alias("n"))
-    pairs = order.crossJoin(F.broadcast(n)).select("vec_id", (F.col("r") % F.col("n") + 1).alias("r")).join(order.withColumnRenamed("vec_id", "other"), "r").drop("r")
-    j = pairs.join(e.withColumnRenamed("embedding", "a"), "vec_id").join(e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("b")), "other")
-    return j.select("vec_id", "other", F.round(dot(F.col("a"), F.col("b")), 6).alias("score"))
+    h = F.sha2(F.col("vec_id").cast("string"), 256)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.substring(h, 1, 1).alias("bucket"), h.alias("h"))
+    w = Window.partitionBy("bucket").orderBy("h", "vec_id")
+    head = F.first(F.struct("vec_id", "embedding")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    j = e.select("vec_id", "embedding", F.coalesce(F.lead(F.struct("vec_id", "embedding")).over(w), head).alias("o"))
+    return j.select("vec_id", F.col("o.vec_id").alias("other"), F.round(dot(F.col("embedding"), F.col("o.embedding")), 6).alias("score"))
 
 
 _REGISTRY = [(0, "spam", "junk"), (1, "www.", "web"), (2, "example.net", "net"), (3, "example", "any")]
@@ -309,20 +311,22 @@ def changed_to_nodes(spark, sf_dir):
     return matched_nodes(c, g)
 
 
-@query("JOIN-14", "SELECT q.vec_id AS query_id, count(*) AS n, round(max(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS best FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < 20 GROUP BY 1")
+@query("JOIN-14", "SELECT q.vec_id AS query_id, count(*) AS n, round(max(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS best FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1")
 def all_pairs_similarity(spark, sf_dir):
     from quern.functions.vectors import dot
 
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # twenty queries, against all vectors
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     j = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
     return j.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("q"), F.col("embedding"))), 6).alias("best"))
 
 
-@query("JOIN-15", "SELECT a.doc_id, b.doc_id AS twin FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.lang = b.lang AND a.doc_id < b.doc_id")
+@query("JOIN-15", "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text), lang) AS family, count(*) OVER (PARTITION BY sha256(text), lang) AS copies FROM documents QUALIFY copies > 1")
 def ported_copies(spark, sf_dir):
+    """Class and number of copies of each document that has any; classes, not pairs, so that many equal texts cost no more rows."""
     h = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
-    return h.join(h.withColumnRenamed("doc_id", "twin"), ["lang", "h"]).filter("doc_id < twin").select("doc_id", "twin")
+    many = h.groupBy("lang", "h").agg(F.min("doc_id").alias("family"), F.count("*").alias("copies")).filter("copies > 1")
+    return h.join(many, ["lang", "h"]).select("doc_id", "family", "copies")
 
 
 @query("SET-01", "SELECT vec_id FROM embeddings WHERE label = 1 UNION ALL SELECT vec_id FROM embeddings WHERE label IN (1, 2)")
@@ -370,9 +374,9 @@ def shingle_jaccard(spark, sf_dir):
 _UP = f"unnest(list_transform(range(1, len(string_split({_DIR}, '/')) + 1), lambda i: array_to_string(string_split({_DIR}, '/')[1:i], '/')))"
 
 
-@query("SET-06", _FILES + f" SELECT DISTINCT repo_id, folder FROM (SELECT repo_id, '' AS folder FROM files WHERE doc_id % 10 = 0 UNION ALL SELECT repo_id, {_UP} AS folder FROM files WHERE doc_id % 10 = 0 AND {_DIR} <> '')")
+@query("SET-06", _FILES + f" SELECT DISTINCT repo_id, folder FROM (SELECT repo_id, '' AS folder FROM files UNION ALL SELECT repo_id, {_UP} AS folder FROM files WHERE {_DIR} <> '')")
 def affected_modules(spark, sf_dir):
-    f = view(spark, sf_dir, "files").filter("doc_id % 10 = 0").withColumn("d", paths.dirname(F.col("file_path")))
+    f = view(spark, sf_dir, "files").withColumn("d", paths.dirname(F.col("file_path")))
     up = F.concat(F.array(F.lit("")), paths.ancestors(F.col("d")))
     return f.select("repo_id", F.explode(up).alias("folder")).distinct()
 
