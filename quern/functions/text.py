@@ -99,5 +99,6 @@ def cited_repos(text: Column) -> Column:
 
 
 def tolerant_json(text: Column) -> Column:
-    """A model's reply without its code fence."""
-    return stripped(F.regexp_replace(stripped(text), r"^```[a-z]*\s*|\s*```$", ""))
+    """A model's reply without its code fence, with backslashes doubled that escape nothing."""
+    bare = stripped(F.regexp_replace(stripped(text), r"^```[a-z]*\s*|\s*```$", ""))
+    return F.regexp_replace(bare, r"(?<!\\)((?:\\\\)*)\\(?![\\\"/bfnrtu])", r"$1\\\\")

@@ -453,6 +453,16 @@ def renamed_function(source: str, strict: bool = False) -> str | None:
     return ast.unparse(_Renamed(own, strict).visit(tree))
 
 
+def arrow_udf(f, returns: str):
+    """``f`` of one string as a function of columns that takes Arrow batches; null stays null."""
+
+    @F.pandas_udf(returns)
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else f(v))
+
+    return run
+
+
 def syntax_shingles(source: str, n: int = 5) -> list[str]:
     """Distinct runs of n node types in breadth-first order."""
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import ids, paths, text
@@ -25,6 +25,7 @@ TECHNOLOGIES = {
     "docker": ([], ["dockerfile"]),
 }
 LARGE_FILE_LINES, KEY_FILE_LIMIT, TECH_LIMIT = 200, 10, 15
+SHOWN_FILES, SHOWN_CHILDREN = 10, 5
 
 
 def folders(files: DataFrame) -> DataFrame:
@@ -58,8 +59,11 @@ def key_files(files: DataFrame, limit: int = KEY_FILE_LIMIT) -> DataFrame:
     f = files.groupBy("repo_id", "file_path").agg(F.max("line_count").alias("lines")).withColumn("rank", rank)
     f = f.filter((F.col("rank") > 0) | (F.col("lines") > LARGE_FILE_LINES))
     place = F.struct(F.when(F.col("rank") > 0, 0).otherwise(1).alias("tier"), F.when(F.col("rank") > 0, F.col("rank")).otherwise(-F.col("lines")).alias("order"), F.col("file_path").alias("path"))
-    g = f.groupBy("repo_id", paths.dirname(F.col("file_path")).alias("module_path")).agg(F.array_sort(F.collect_list(place)).alias("k"))
-    return g.select("repo_id", "module_path", F.slice(F.col("k.path"), 1, limit).alias("key_files"))
+    # Numbered and cut before anything is gathered.
+    f = f.select("repo_id", paths.dirname(F.col("file_path")).alias("module_path"), place.alias("place"))
+    f = f.withColumn("r", F.row_number().over(Window.partitionBy("repo_id", "module_path").orderBy("place"))).filter(F.col("r") <= limit)
+    return f.groupBy("repo_id", "module_path").agg(F.array_sort(F.collect_list("place"))["path"].alias("key_files"))
+
 
 
 def technologies(imports: Column, path: Column) -> Column:
@@ -83,22 +87,33 @@ def rollup_repos(files: DataFrame) -> DataFrame:
     return g.join(top, "repo_id", "left")
 
 
-def module_summary(module: Column, files: Column, children: Column) -> Column:
-    """The template summary; ``files`` is a sorted array of (name, preview), ``children`` of paths."""
-    shown = F.filter(files, lambda x, i: (x.preview == "") | ~F.exists(F.slice(files, 1, i), lambda y: F.lower(y.preview) == F.lower(x.preview)))
-    lines = F.transform(F.slice(shown, 1, 10), lambda x: F.concat(F.lit("\n- "), x["name"], F.when(x.preview == "", "").otherwise(F.concat(F.lit(": "), x.preview))))
-    below = F.transform(F.slice(children, 1, 5), lambda x: F.concat(F.lit("\n- "), x, F.lit("/")))
+def module_summary(module: Column, n_files: Column, files: Column, n_children: Column, children: Column) -> Column:
+    """The template summary; ``files`` is a sorted array of (name, preview), ``children`` of paths, both cut already; the numbers are of all."""
+    lines = F.transform(files, lambda x: F.concat(F.lit("\n- "), x["name"], F.when(x["preview"] == "", "").otherwise(F.concat(F.lit(": "), x["preview"]))))
+    below = F.transform(children, lambda x: F.concat(F.lit("\n- "), x, F.lit("/")))
     head = F.concat(F.lit("Module: "), F.when(module == "", "(root)").otherwise(module), F.lit("/"))
-    part = lambda title, array, body: F.when(F.size(array) > 0, F.concat(F.lit(f"\n\n{title} ("), F.size(array).cast("string"), F.lit("):"), F.array_join(body, ""))).otherwise("")
-    return F.concat(head, part("Files", files, lines), part("Submodules", children, below))
+    part = lambda title, n, body: F.when(n > 0, F.concat(F.lit(f"\n\n{title} ("), n.cast("string"), F.lit("):"), F.array_join(body, ""))).otherwise("")
+    return F.concat(head, part("Files", n_files, lines), part("Submodules", n_children, below))
 
 
 def summarized_modules(files: DataFrame) -> DataFrame:
-    """(repo_id, module_path, summary) from the previews of the files and the names of the submodules."""
-    each = F.struct(F.col("file_path").alias("path"), paths.basename(F.col("file_path")).alias("name"), text.preview(F.coalesce("content", F.lit(""))).alias("preview"))
-    own = files.groupBy("repo_id", paths.dirname(F.col("file_path")).alias("module_path")).agg(F.array_sort(F.collect_list(each)).alias("files"))
+    """(repo_id, module_path, summary) from the previews of the files and the names of the submodules.
+
+    Of equal previews in a module the first counts. Rows are numbered and cut by
+    windows before they are gathered, so a module of many files is no large array.
+    """
+    own = ["repo_id", "module_path"]
+    each = files.select("repo_id", paths.dirname(F.col("file_path")).alias("module_path"), F.col("file_path").alias("path"), paths.basename(F.col("file_path")).alias("name"), text.preview(F.coalesce("content", F.lit(""))).alias("preview"))
+    place = ["path", "name", "preview"]
+    kinds = each.groupBy(*own, F.lower("preview").alias("kind"), F.when(F.col("preview") == "", F.struct(*place)).alias("blank")).agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n"))
+    ranked = kinds.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy("first"))).withColumn("times", F.when(F.col("kind") == "", F.col("n")).otherwise(1))
+    shown = ranked.filter(F.col("r") <= SHOWN_FILES).groupBy(*own).agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "times"))), lambda x: F.array_repeat(x["first"], F.least(x["times"], F.lit(SHOWN_FILES)).cast("int")))), 1, SHOWN_FILES).alias("files"))
+    total = kinds.groupBy(*own).agg(F.sum("n").alias("n_files"))
     m = modules(files)
-    up = m.filter("parent_path IS NOT NULL").groupBy("repo_id", F.col("parent_path").alias("module_path")).agg(F.sort_array(F.collect_list("module_path")).alias("children"))
-    j = m.select("repo_id", "module_path").join(own, ["repo_id", "module_path"], "left").join(up, ["repo_id", "module_path"], "left")
-    none = F.array().cast("array<struct<path:string,name:string,preview:string>>")
-    return j.select("repo_id", "module_path", module_summary(F.col("module_path"), F.coalesce("files", none), F.coalesce("children", F.array().cast("array<string>"))).alias("summary"))
+    up = m.filter("parent_path IS NOT NULL").select("repo_id", F.col("parent_path").alias("module_path"), F.col("module_path").alias("child"))
+    up = up.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy("child")))
+    below = up.groupBy(*own).agg(F.max("r").alias("n_children"), F.array_sort(F.collect_list(F.when(F.col("r") <= SHOWN_CHILDREN, F.col("child")))).alias("children"))
+    j = m.select(*own).join(shown, own, "left").join(total, own, "left").join(below, own, "left").fillna(0, ["n_files", "n_children"])
+    none = F.array().cast(shown.schema["files"].dataType)
+    summary = module_summary(F.col("module_path"), F.col("n_files"), F.coalesce("files", none), F.col("n_children"), F.coalesce("children", F.array().cast("array<string>")))
+    return j.select(*own, summary.alias("summary"))

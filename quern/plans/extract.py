@@ -9,7 +9,7 @@ from quern.operators import incremental as I
 from quern.plans.registry import query
 from quern.sources import code
 from quern.sources import repositories as S
-from quern.sources.tables import table
+from quern.sources.tables import ctes, table, view
 
 _CODE = code.values(code.FILES, "repo_id, file_path, language, content")
 _DOCS = code.values(code.DOCUMENTS, "repo_id, file_path, content")
@@ -130,10 +130,33 @@ def spec_metadata(spark, sf_dir):
     return m.select("m.spec_name", F.array_join("m.intent_patterns", ",").alias("intents"), F.array_join("m.l_levels", ",").alias("levels"), F.array_join("m.components", ",").alias("components"))
 
 
-@query("EXT-20", "SELECT doc_id, CASE WHEN length(text) > 5000 THEN 'large_file_single_chunk (' || cast(length(text) AS varchar) || ' chars, 1 chunks)' ELSE 'adequately_chunked' END AS reason FROM documents WHERE NOT regexp_matches(text, '(?i)select|insert|update|delete|create|query|mutation|<[a-z]|\"') AND len(string_split(text, chr(10))) <= 100")
+_LANGUAGES = ["go", "python", "javascript", "svelte"]
+_CHUNKED = "(SELECT doc_id, text, ['go', 'python', 'javascript', 'svelte'][(doc_id % 4 + 1)::INT] AS language, doc_id % 3 + 1 AS chunks, CASE WHEN doc_id % 7 = 0 THEN 'pkg/Api.x' ELSE 'pkg/x' END AS path, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents)"
+
+
+def _reasons_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    sql = " OR ".join(f"regexp_matches(text, {quote(p)})" for p, n in X.EMBEDDED if n == "embedded_sql")
+    formats, templates = (f"len(regexp_extract_all(text, {quote(p)}))" for p in (r"\.format\s*\(|%\s*\(|f[\"']", r"`[^`]*\$\{[^}]+\}[^`]*`"))
+    cases = [
+        "CASE WHEN length(text) > 5000 AND chunks <= 1 THEN 'large_file_single_chunk (' || length(text) || ' chars, ' || chunks || ' chunks)' END",
+        "CASE WHEN lines / chunks > 100 THEN 'high_density (' || round_even(lines / chunks, 0)::BIGINT || ' lines/chunk)' END",
+        *[f"CASE WHEN regexp_matches(text, {quote(p)}) THEN '{n}' END" for p, n in X.EMBEDDED],
+        f"CASE WHEN language = 'python' AND regexp_matches(text, {quote(r'(?i)\.execute\s*\(|\.query\s*\(|cursor\.|rawsql|text\s*\(')}) AND NOT ({sql}) THEN 'sql_execution_pattern' END",
+        f"CASE WHEN language = 'python' AND {formats} > 5 THEN 'heavy_string_formatting (' || {formats} || ' instances)' END",
+        f"CASE WHEN language = 'javascript' AND {templates} > 3 THEN 'template_literals (' || {templates} || ' instances)' END",
+        "CASE WHEN language = 'svelte' AND chunks <= 2 THEN 'unsupported_language_minimal_chunks (svelte)' END",
+        "CASE WHEN contains(lower(path), 'api') AND chunks <= 2 THEN 'important_file_minimal_chunks' END",
+    ]
+    return f"SELECT doc_id, coalesce(nullif(array_to_string(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL), '; '), ''), 'adequately_chunked') AS reason FROM {_CHUNKED}"
+
+
+@query("EXT-20", _reasons_sql())
 def underchunked_files(spark, sf_dir):
-    plain = ~F.col("text").rlike('(?i)select|insert|update|delete|create|query|mutation|<[a-z]|"') & (F.size(F.split("text", "\n")) <= 100)
-    return table(spark, sf_dir, "documents").filter(plain).select("doc_id", X.underchunked(F.lit("x.go"), F.col("text"), F.lit(1), F.lit("go")).alias("reason"))
+    """Every document as a file of some language, with one to three chunks."""
+    language = F.element_at(F.array(*map(F.lit, _LANGUAGES)), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.when(F.col("doc_id") % 7 == 0, "pkg/Api.x").otherwise("pkg/x")
+    return table(spark, sf_dir, "documents").select("doc_id", X.underchunked(path, F.col("text"), F.col("doc_id") % 3 + 1, language).alias("reason"))
 
 
 @query("EXT-21", "SELECT l_orderkey, l_linenumber, round(l_discount * 10, 6) AS confidence FROM lineitem WHERE round(l_discount * 10, 6) >= 0.7")
@@ -177,32 +200,55 @@ def fitted_blocks(spark, sf_dir):
     return I.fitted_blocks(s, 2400)
 
 
-@query("EXT-25", "SELECT doc_id FROM documents")
+EMBEDDING_BUDGET, EMBEDDING_ITEMS = 65_536, 64
+
+
+@query("EXT-25")
 def embedding_batches(spark, sf_dir):
-    """Batches within a padded budget, each task over its own rows; results don't depend on them."""
+    """(doc_id, batch, width): batches within a padded budget, of the rows that come to one task together; batches are named by their first document."""
     import pandas as pd
 
     def run(frames):
         for b in frames:
-            out = [(int(i), k) for k, ids in enumerate(I.batches_by_budget(zip(b.doc_id, b.n_chars, strict=True), 65_536, 64)) for i in ids]
-            yield pd.DataFrame(out, columns=["doc_id", "batch"])
+            size = dict(zip(b.doc_id.tolist(), b.n_chars.tolist(), strict=True))
+            out = [(i, ids[0], size[ids[0]]) for ids in I.batches_by_budget(size.items(), EMBEDDING_BUDGET, EMBEDDING_ITEMS) for i in ids]
+            yield pd.DataFrame(out, columns=["doc_id", "batch", "width"])
 
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").mapInPandas(run, "doc_id bigint, batch bigint").select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").mapInPandas(run, "doc_id bigint, batch bigint, width bigint")
 
 
 @query("EXT-26", _expected([("def f(v0, v1=1):\n    return helper(v0) + v1",)], "renamed"))
 def renamed_functions(spark, sf_dir):
-    rename = F.udf(X.renamed_function, "string")
     source = F.regexp_extract("content", r"(?s)(def top.*?\n)\n\n", 1)
-    return code.files(spark).filter("file_path = 'pkg/core.py'").select(rename(source).alias("renamed"))
+    return code.files(spark).filter("file_path = 'pkg/core.py'").select(X.arrow_udf(X.renamed_function, "string")(source).alias("renamed"))
 
 
 @query("EXT-27")
 def syntax_shingles(spark, sf_dir):
-    shingles = F.udf(X.syntax_shingles, "array<string>")
+    shingles = X.arrow_udf(X.syntax_shingles, "array<string>")
     return code.files(spark).filter("language = 'python'").select("file_path", F.size(shingles("content")).alias("n"))
 
 
+_LINES = "files_changed AS (SELECT repo_id, file_path, doc_id % 5 AS kind FROM files)"
+
+
+@query(
+    "SRC-07",
+    ctes("files")
+    + f""", {_LINES} SELECT repo_id, 'M' AS change, file_path FROM files_changed WHERE kind = 0 UNION ALL SELECT repo_id, 'A', file_path FROM files_changed WHERE kind = 1 UNION ALL SELECT repo_id, 'D', file_path FROM files_changed WHERE kind IN (2, 3)
+UNION ALL SELECT repo_id, 'A', 'moved/' || file_path FROM files_changed WHERE kind IN (3, 4)""",
+)
+def change_lists(spark, sf_dir):
+    """Every file on a line of a list of names: changed, added, deleted, renamed or copied."""
+    k, p = F.col("doc_id") % 5, F.col("file_path")
+    tab = F.lit("\t")
+    line = (
+        F.when(k == 0, F.concat(F.lit("M"), tab, p)).when(k == 1, F.concat(F.lit("A"), tab, p)).when(k == 2, F.concat(F.lit("D"), tab, p))
+        .when(k == 3, F.concat(F.lit("R097"), tab, p, tab, F.lit("moved/"), p)).otherwise(F.concat(F.lit("C100"), tab, p, tab, F.lit("moved/"), p))
+    )
+    return S.name_status(view(spark, sf_dir, "files").select("repo_id", line.alias("content")))
+
+
 @query("SRC-01", "SELECT * FROM (VALUES ('acme/app')) t(repo_id)")
 def discovered_repositories(spark, sf_dir):
     return S.repositories(code.files(spark))

@@ -252,7 +252,7 @@ def backfill_order(spark, sf_dir):
     return m.select("repo_id", "module_path", F.col("depth").cast("bigint").alias("depth")).orderBy(F.desc("depth"), "repo_id", "module_path")
 
 
-@query("SRC-07", "SELECT coalesce(a.o_custkey, b.o_custkey) AS key, CASE WHEN a.o_custkey IS NULL THEN 'A' WHEN b.o_custkey IS NULL THEN 'D' ELSE 'M' END AS change FROM (SELECT o_custkey, max(o_orderkey) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1) a FULL JOIN (SELECT o_custkey, max(o_orderkey) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01' GROUP BY 1) b ON a.o_custkey = b.o_custkey WHERE a.v IS DISTINCT FROM b.v")
+@query("SRC-07b", "SELECT coalesce(a.o_custkey, b.o_custkey) AS key, CASE WHEN a.o_custkey IS NULL THEN 'A' WHEN b.o_custkey IS NULL THEN 'D' ELSE 'M' END AS change FROM (SELECT o_custkey, max(o_orderkey) AS v FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1) a FULL JOIN (SELECT o_custkey, max(o_orderkey) AS v FROM orders WHERE o_orderdate >= TIMESTAMP '1996-06-01' GROUP BY 1) b ON a.o_custkey = b.o_custkey WHERE a.v IS DISTINCT FROM b.v")
 def change_sets(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     stamp = lambda s: F.lit(s).cast("timestamp_ntz")

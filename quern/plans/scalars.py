@@ -245,10 +245,16 @@ def answer_gaps(spark, sf_dir):
     return a.select("doc_id", F.array_join(text.gaps(F.col("answer")), ",").alias("gaps"))
 
 
-@query("FN-31", "SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k FROM events")
+@query("FN-31", r"SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN cast(json_extract(props, '$.k') AS bigint) END AS k, CASE WHEN event_id % 4 = 2 THEN 'a\d+\w' WHEN event_id % 4 <> 3 THEN 'plain' END AS pattern FROM events")
 def tolerant_json(spark, sf_dir):
-    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    return table(spark, sf_dir, "events").select("event_id", F.from_json(text.tolerant_json(fenced), "k bigint")["k"].alias("k"))
+    """Replies in a fence, bare, with escapes that JSON has not, and no JSON at all."""
+    inner = F.regexp_replace("props", r"^\{|\}$", "")
+    kind = F.col("event_id") % 4
+    own = F.when(kind == 2, r"a\d+\w").otherwise("plain")
+    body = F.concat(F.lit("[{"), inner, F.lit(', "pattern": "'), own, F.lit('"}]'))
+    reply = F.when(kind == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(kind == 3, F.lit("I can't answer that.")).otherwise(body)
+    parsed = F.from_json(text.tolerant_json(reply), "array<struct<k:bigint,pattern:string>>")
+    return table(spark, sf_dir, "events").select("event_id", parsed.alias("p")).select("event_id", F.try_element_at("p", F.lit(1)).alias("x")).select("event_id", "x.k", "x.pattern")
 
 
 @query("FN-32", "SELECT o_orderkey, o_orderdate + INTERVAL 7 DAY > TIMESTAMP '1998-06-01' AS snoozed FROM orders")

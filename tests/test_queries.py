@@ -23,3 +23,62 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_chunks_hold_their_documents(spark):
+    """EXT-17: in order, within capacity, and without loss but for short ones."""
+    from quern.operators import extraction as X
+
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect():
+        parts = [p[-1] for p in X.document_chunks("x.md", r.text)]
+        at = 0
+        for p in parts:
+            assert 100 <= len(p.strip()) and len(p) <= 4000 + 4
+            at = r.text.find(p.strip()[:60], at)
+            assert at >= 0
+    got = {r.doc_id: r.n for r in R.QUERIES["EXT-17"](spark, SF).groupBy("doc_id").agg({"*": "count"}).toDF("doc_id", "n").collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert got == {i: n for i, t in docs.items() if (n := len(X.document_chunks("x.md", t)))}
+
+
+def test_fitted_blocks_by_brute_force(spark):
+    """EXT-24: the last symbol of the largest block goes until all fit."""
+    from quern.operators import incremental as I
+
+    rows = [("m", f"f{i % 3}", i, 100 + 37 * (i % 5)) for i in range(40)] + [("small", "f", 1, 10)]
+    left = {f: [r[3] for r in rows if r[0] == "m" and r[1] == f] for f in ("f0", "f1", "f2")}
+    while sum(map(sum, left.values())) > 2400:
+        left[min(left, key=lambda f: (-sum(left[f]), f))].pop()
+    got = {(r.module, r.file): r.kept for r in I.fitted_blocks(spark.createDataFrame(rows, "module string, file string, ordinal int, size int"), 2400).collect()}
+    assert got == {("m", f): len(x) for f, x in left.items()} | {("small", "f"): 1}
+
+
+def test_embedding_batches_fit(spark):
+    """EXT-25: every document once, in batches whose padded size fits."""
+    from quern.plans import extract
+
+    got = R.QUERIES["EXT-25"](spark, SF).collect()
+    chars = {r.doc_id: r.n_chars for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in got) == sorted(chars)
+    batches = {}
+    for r in got:
+        batches.setdefault(r.batch, []).append(chars[r.doc_id])
+        assert r.width == chars[r.batch]
+    assert all(len(b) <= extract.EMBEDDING_ITEMS and (len(b) == 1 or max(b) * len(b) <= extract.EMBEDDING_BUDGET) for b in batches.values())
+
+
+def test_syntax_shingles_by_hand():
+    from quern.operators import extraction as X
+
+    assert X.syntax_shingles("x = 1", 3) == ["Assign Name Constant", "Module Assign Name", "Name Constant Store"]
+    assert X.syntax_shingles("def") == []
+
+
+def test_principal_components_by_eigenvalues(spark):
+    import numpy as np
+
+    x = np.array([r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("embedding").collect()], float)
+    values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    share = np.cumsum(values) / values.sum()
+    got = {round(r.share, 2): r.components for r in R.QUERIES["EVL-10"](spark, SF).collect()}
+    assert got == {t: int((share < t).sum()) + 1 for t in (0.9, 0.95)}
