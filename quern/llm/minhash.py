@@ -51,7 +51,7 @@ BEST = 8
 #: Coordinates of the finer sketches, a byte each, and how many are compared first.
 FINE, COARSE = 2048, 128
 #: Members compared in one call, about.
-SLOT_ROWS = 2048
+SLOT_ROWS = 1024
 
 
 def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -134,12 +134,11 @@ def _dealt(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int)
     and both next classes, which hold all sizes within the threshold.
     """
     step = F.lit(-math.log(percent / 100) + 1e-9)
-    large = materialize(members.groupBy("key").agg(F.count("*").alias("n")).withColumn("large", F.col("n") > BLOCK).select("key", "large"), narrow=True)
-    sized = members.join(large, "key").join(sets.select("id", "size"), "id")
-    sized = sized.withColumn("z", F.when(F.col("large"), F.floor(F.ln("size") / step)).otherwise(0).cast("int"))
-    asking = sized.filter("minor").withColumn("z", F.explode(F.expr("CASE WHEN large THEN array(z - 1, z, z + 1) ELSE array(0) END")))
-    asked, asks = (x.select("key", "z", "id", "c", "minor", F.lit(own).alias("asks")) for x, own in ((sized, False), (asking, True)))
-    both = materialize(asked.unionByName(asks))
+    large = F.col("n") > BLOCK
+    sized = members.join(sets.select("id", "size"), "id").withColumn("z", F.when(large, F.floor(F.ln("size") / step)).otherwise(0).cast("int"))
+    places = "concat(array(struct(z AS z, false AS asks)), CASE WHEN NOT minor THEN array() WHEN large THEN transform(array(z - 1, z, z + 1), x -> struct(x AS z, true AS asks)) ELSE array(struct(z AS z, true AS asks)) END)"
+    both = sized.withColumn("large", large).withColumn("place", F.explode(F.expr(places))).select("key", "place.z", "id", "c", "minor", "place.asks")
+    both = materialize(both)
     count = both.groupBy("key", "z").agg(F.sum(F.col("asks").cast("int")).alias("m"), F.sum((~F.col("asks")).cast("int")).alias("n"))
     count = count.filter("m > 0 AND n > 0").select("key", "z", "m", "n", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
     count = materialize(count, narrow=True)
@@ -157,7 +156,7 @@ def _dealt(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int)
 def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Pairs (a, b) of one bucket, in different components and similar by their sizes and finer sketches.
 
-    ``members`` is (key, id, c, minor): only minor members, those outside the
+    ``members`` is (key, id, n, c, minor), n the size of the bucket: only minor members, those outside the
     component of the bucket's most popular member, need to be compared, with
     each other and with the rest. Both sides are dealt into blocks.
     """
@@ -219,7 +218,7 @@ def _classes(docs: DataFrame, id: str, text: str, n: int, percent: int, bands: i
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     met = materialize(keys.join(shared, "key"))
     popular = met.groupBy("id").agg(F.sum("n").alias("pop"))
-    met = materialize(met.join(popular, "id").select("key", "id", "pop"))
+    met = materialize(met.join(popular, "id").select("key", "id", "pop", "n"))
     # The hub: most popular, then least id.
     hubs = met.groupBy("key").agg(F.min_by("id", F.struct(-F.col("pop"), F.col("id"))).alias("hub"))
     hubs = materialize(hubs)
@@ -230,11 +229,11 @@ def _classes(docs: DataFrame, id: str, text: str, n: int, percent: int, bands: i
     found = components(links)
 
     for best in (BEST, None):
-        members = met.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        members = met.select("key", "id", "n").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
         major = hubs.join(found.withColumnRenamed("id", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("major"))
-        members = materialize(members.join(major, "key").select("key", "id", "c", (F.col("c") != F.col("major")).alias("minor")))
+        members = materialize(members.join(major, "key").select("key", "id", "n", "c", (F.col("c") != F.col("major")).alias("minor")))
         open_keys = materialize(members.filter("minor").select("key").distinct(), narrow=True)
-        members = materialize(members.join(open_keys, "key", "left_semi"))
+        members = members.join(open_keys, "key", "left_semi")
         more = materialize(_verified(_block_pairs(members, sets, chosen.select("id", "bands").dropDuplicates(["id"]), percent, best), sets, percent), narrow=True)
         if not more.isEmpty():
             links = links.union(more)

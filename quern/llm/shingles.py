@@ -9,7 +9,7 @@ import xxhash
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_CACHE = 500_000
+_CACHE = 100_000
 
 
 class _Hashes(dict):

@@ -77,7 +77,7 @@ def test_op2_chains_and_families(spark):
 def test_slots_of_a_large_bucket_are_bounded(spark):
     """Each member comes once for every block it meets; no task may get them all."""
     ids = spark.range(4000)
-    members = ids.select(F.lit(5).cast("bigint").alias("key"), "id", F.col("id").alias("c"), (F.col("id") > 0).alias("minor"))
+    members = ids.select(F.lit(5).cast("bigint").alias("key"), "id", F.col("id").alias("c"), (F.col("id") > 0).alias("minor"), F.lit(4000).alias("n"))
     sets = ids.select("id", F.lit(9).alias("size"), F.lit("x").cast("binary").alias("fine"))
     bands = ids.select("id", F.array(F.lit(5).cast("bigint")).alias("bands"))
     sizes = [r["count"] for r in minhash._dealt(members, sets, bands, 80).groupBy("slot").count().collect()]
@@ -90,7 +90,7 @@ def test_large_buckets_are_divided_by_size(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     rng = random.Random(5)
     size = {i: rng.randint(5, 3000) for i in range(200)}
-    members = spark.range(200).select(F.lit(5).cast("bigint").alias("key"), "id", F.col("id").alias("c"), F.lit(True).alias("minor"))
+    members = spark.range(200).select(F.lit(5).cast("bigint").alias("key"), "id", F.col("id").alias("c"), F.lit(True).alias("minor"), F.lit(200).alias("n"))
     sets = spark.createDataFrame([(i, n, b"x") for i, n in size.items()], "id bigint, size int, fine binary")
     bands = members.select("id", F.array("key").alias("bands"))
     met = collections.Counter()
