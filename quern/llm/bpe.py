@@ -44,10 +44,11 @@ from quern.llm.common import bounded_batches, materialize, scratch
 
 #: Fixed value: the pattern of byte-level pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
-LEXICON_WORDS = 20_000
+LEXICON_WORDS = 50_000
 SUMMARY_WORDS = 20_000
 WORD_LENGTH = 64
-MEMO_WORDS = 50_000
+#: Of merged words, some 35 MB a worker.
+MEMO_WORDS = 200_000
 STRETCH = 4 << 20
 HEAP_LENGTH = 48
 MASK = (1 << 20) - 1
@@ -163,7 +164,8 @@ class Tokenizer:
             parts[1:] = [" " + p for p in parts[1:]]
             split.append(parts)
         parts = list(set().union(*split))
-        cut = [self.pieces(p) for p in parts]
+        # A space and letters, or letters alone, are one piece.
+        cut = [(p,) if p.isascii() and p[p[:1] == " " :].isalpha() else self.pieces(p) for p in parts]
         pieces = list(set(chain.from_iterable(cut)))
         ids = dict(zip(pieces, self._pieces_ids(pieces), strict=True))
         known = {p: ids[c[0]] if len(c) == 1 else b"".join([ids[x] for x in c]) for p, c in zip(parts, cut, strict=True)}
