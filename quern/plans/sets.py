@@ -93,7 +93,8 @@ def nested_mutation(spark, sf_dir):
 def token_index(spark, sf_dir):
     from quern.operators.retrieval import tokens
 
-    return tokens(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "term", "tf")
+    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 @query("SNK-07", "SELECT '| ' || r_name || ' | ' || cast(count(*) AS varchar) || ' |' AS line FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
