@@ -169,10 +169,35 @@ PARSERS: dict[str, Callable[[str, str], list[Symbol]]] = {
 }
 
 
+# The sections of a single-file component.
+SECTION_TAGS = {
+    "script": r"""(?s)<script((?:\s+lang=["']ts["'])?(?:\s+context=["']module["'])?\s*)>(.*?)</script>""",
+    "style": r"""(?s)<style(?:\s+lang=["'](?:scss|sass)["'])?\s*>(.*?)</style>""",
+    "any script": r"(?s)<script(?:\s+[^>]*)?>.*?</script>",
+    "any style": r"(?s)<style(?:\s+[^>]*)?>.*?</style>",
+}
+
+
 def component_parts(source: Column) -> Column:
-    """(script, style, template) of a single-file component."""
-    part = lambda tag: F.regexp_extract(source, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
-    return F.struct(part("script").alias("script"), part("style").alias("style"), part("template").alias("template"))
+    """(script, typescript, style, template) of a single-file component; a missing part is empty.
+
+    Script and style are the first of their kind with plain attributes; the
+    template is what is left without any of them.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    template = F.regexp_replace(F.regexp_replace(source, SECTION_TAGS["any script"], ""), SECTION_TAGS["any style"], "")
+    return F.struct(
+        bare(F.regexp_extract(source, SECTION_TAGS["script"], 2)).alias("script"),
+        F.regexp_extract(source, SECTION_TAGS["script"], 1).rlike("""lang=["']ts["']""").alias("typescript"),
+        bare(F.regexp_extract(source, SECTION_TAGS["style"], 1)).alias("style"),
+        bare(template).alias("template"),
+    )
+
+
+def component_symbols(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, symbols...) of the scripts in components, whose path gets `` <script>`` appended."""
+    scripts = files.select("repo_id", F.concat("file_path", F.lit(" <script>")).alias("file_path"), component_parts(F.col("content"))["script"].alias("content"))
+    return extract(scripts.filter("content <> ''"), script_symbols, SYMBOL)
 
 
 # How a statement's object is told, in the order in which they are tried.
@@ -470,3 +495,32 @@ def syntax_shingles(source: str, n: int = 5) -> list[str]:
     except (SyntaxError, ValueError):
         return []
     return sorted({" ".join(kinds[i : i + n]) for i in range(len(kinds) - n + 1)})
+
+
+NO_COMMIT = "no_commit"
+
+
+def commits_of_chunks(chunks: DataFrame) -> DataFrame:
+    """(repo_id, commit_hash, author, files_changed) of (repo_id, ordinal, commit_hash, author, file_path): the first chunk of a commit counts alone.
+
+    Chunks without a commit are left out. One aggregate, combined before the exchange.
+    """
+    known = chunks.filter((F.col("commit_hash") != "") & (F.col("commit_hash") != NO_COMMIT))
+    first = known.groupBy("repo_id", "commit_hash").agg(F.min_by(F.struct("author", "file_path"), "ordinal").alias("f"))
+    return first.select("repo_id", "commit_hash", "f.author", F.array("f.file_path").alias("files_changed"))
+
+
+def history(commits: DataFrame, trees: DataFrame) -> DataFrame:
+    """(commit_hash, files_changed): paths that differ from the commit's first parent; none for a root.
+
+    ``commits`` is (commit_hash, parent), ``trees`` (commit_hash, path, blob),
+    a row a path. Both sides of a comparison meet in one aggregate by (commit,
+    path), so no pairs of trees are built.
+    """
+    c = commits.select("commit_hash", "parent")
+    own = c.filter("parent IS NOT NULL").join(trees, "commit_hash").select("commit_hash", "path", F.col("blob").alias("new"), F.lit(None).cast(trees.schema["blob"].dataType).alias("old"))
+    before = trees.withColumnRenamed("commit_hash", "parent").join(c, "parent").select("commit_hash", "path", F.lit(None).cast(trees.schema["blob"].dataType).alias("new"), F.col("blob").alias("old"))
+    changed = own.unionByName(before).groupBy("commit_hash", "path").agg(F.max("new").alias("new"), F.max("old").alias("old")).filter("NOT new <=> old")
+    listed = changed.groupBy("commit_hash").agg(F.sort_array(F.collect_list("path")).alias("files_changed"))
+    none = F.array().cast(listed.schema["files_changed"].dataType)
+    return c.select("commit_hash").join(listed, "commit_hash", "left").withColumn("files_changed", F.coalesce("files_changed", none))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import extraction as X
@@ -63,10 +64,23 @@ def elixir_symbols(spark, sf_dir):
     return _symbols(spark, "elixir")
 
 
-@query("EXT-08", r"SELECT page_id, sha256(regexp_extract(html, '(?is)<script[^>]*>(.*?)</script>', 1)) AS script, sha256(regexp_extract(html, '(?is)<style[^>]*>(.*?)</style>', 1)) AS style FROM pages")
+def _component_sql() -> str:
+    t = {k: "'" + v.replace("'", "''") + "'" for k, v in X.SECTION_TAGS.items()}
+    bare = lambda e: rf"sha256(regexp_replace({e}, '^\s+|\s+$', '', 'g'))"
+    rest = f"regexp_replace(regexp_replace(html, {t['any script']}, '', 'g'), {t['any style']}, '', 'g')"
+    script, style = f"regexp_extract(html, {t['script']}, 2)", f"regexp_extract(html, {t['style']}, 1)"
+    return f"SELECT page_id, {bare(script)} AS script, {bare(style)} AS style, {bare(rest)} AS template FROM pages"
+
+
+@query("EXT-08", _component_sql())
 def component_parts(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", X.component_parts(F.col("html")).alias("p"))
-    return p.select("page_id", F.sha2("p.script", 256).alias("script"), F.sha2("p.style", 256).alias("style"))
+    return p.select("page_id", *[F.sha2(F.col("p")[c], 256).alias(c) for c in ("script", "style", "template")])
+
+
+@query("EXT-08b", _expected([("web/Form.vue <script>", "send", "function", 2, 5), ("web/Form.vue <script>", "clear", "function", 5, 5)], _S))
+def component_symbols(spark, sf_dir):
+    return X.component_symbols(code.components(spark)).select("file_path", "name", "kind", "start_line", "end_line")
 
 
 @query("EXT-09", _expected([("users", "sql_table", 1), ("FindUser", "sql_query", 2), ("DELETE", "sql_statement", 5)], "name, kind, start_line"))
@@ -93,9 +107,34 @@ def commit_log(spark, sf_dir):
     return X.extract(code.log(spark), X.commit_log, "hash string, author string, date string, subject string, added int, deleted int, n_files int").select("hash", "author", "subject", "added", "deleted", "n_files")
 
 
-@query("EXT-13", "SELECT user_id, min(event_id) AS first_commit, count(*) AS n FROM events GROUP BY 1")
+@query(
+    "EXT-13",
+    """WITH c AS (SELECT user_id AS repo_id, event_id AS ordinal, CASE WHEN event_type = 'error' THEN 'no_commit' WHEN event_type <> 'view' THEN left(sha256(event_type || cast(floor(value / 50) AS BIGINT)), 12) END AS commit_hash, event_type || '@x.org' AS author, 'f' || event_id % 90 AS file_path FROM events)
+SELECT repo_id, commit_hash, author, file_path AS files FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, commit_hash ORDER BY ordinal) AS r FROM c WHERE commit_hash <> 'no_commit') WHERE r = 1""",
+)
 def commits_of_chunks(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first_commit"), F.count("*").alias("n"))
+    key = F.left(F.sha2(F.concat("event_type", F.floor(F.col("value") / 50).cast("string")), 256), F.lit(12))
+    known = F.when(F.col("event_type") == "error", X.NO_COMMIT).when(F.col("event_type") != "view", key)
+    chunks = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("repo_id"), F.col("event_id").alias("ordinal"), known.alias("commit_hash"), F.concat("event_type", F.lit("@x.org")).alias("author"), F.concat(F.lit("f"), (F.col("event_id") % 90).cast("string")).alias("file_path")
+    )
+    return X.commits_of_chunks(chunks).select("repo_id", "commit_hash", "author", F.array_join("files_changed", ",").alias("files"))
+
+
+@query(
+    "EXT-13b",
+    """WITH c AS (SELECT o_orderkey AS h, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
+t AS (SELECT l_orderkey AS h, 'f' || l_suppkey % 4 AS path, max(l_partkey) % 3 AS blob FROM lineitem GROUP BY ALL),
+n AS (SELECT c.h, path, blob FROM c JOIN t ON c.h = t.h WHERE c.p IS NOT NULL), o AS (SELECT c.h, path, blob FROM c JOIN t ON c.p = t.h),
+d AS (SELECT coalesce(n.h, o.h) AS h, coalesce(n.path, o.path) AS path FROM n FULL JOIN o ON n.h = o.h AND n.path = o.path WHERE n.blob IS DISTINCT FROM o.blob)
+SELECT c.h AS commit_hash, coalesce(string_agg(path, ',' ORDER BY path), '') AS files FROM c LEFT JOIN d ON c.h = d.h GROUP BY c.h""",
+)
+def commit_history(spark, sf_dir):
+    parent = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    commits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_hash"), parent.alias("parent"))
+    path = F.concat(F.lit("f"), (F.col("l_suppkey") % 4).cast("string"))
+    trees = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("commit_hash"), path.alias("path")).agg((F.max("l_partkey") % 3).alias("blob"))
+    return X.history(commits, trees).select("commit_hash", F.array_join("files_changed", ",").alias("files"))
 
 
 @query("EXT-14", _expected([(0, None, 0, ""), (1, "Guide", 1, "Guide"), (2, "Setup", 2, "Guide > Setup"), (3, "Linux", 3, "Guide > Setup > Linux"), (4, "Usage", 2, "Guide > Usage")], "ordinal, title, level, header_path"))

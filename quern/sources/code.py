@@ -24,6 +24,11 @@ DOCUMENTS = [
     ("acme/app", "conf/app.yaml", "name: x\nport: 1\n  nested: 2\n"),
 ]
 
+COMPONENTS = [
+    ("acme/app", "web/Form.vue", "<script lang=\"ts\">\nimport c from './c'\nfunction send(a) {\n  return c(a)\n}\nexport const clear = () => 0\n</script>\n<style>\np { color: red }\n</style>\n<p>{x}</p>\n"),
+    ("acme/app", "web/Bare.vue", "<p>no script</p>\n"),
+]
+
 LOG = "a1b2c3d4|ann@x.org|2024-01-02T03:04:05+00:00|Add | pipes\n3\t1\tpkg/core.py\n-\t-\timg.png\n\nb2c3d4e5|bob@x.org|2024-01-03T00:00:00+00:00|Fix\n10\t0\tweb/app.js\nodd\t1\tx\n"
 
 
@@ -31,6 +36,10 @@ def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FILES, "repo_id string, file_path string, language string, content string")
 
 
+def components(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(COMPONENTS, "repo_id string, file_path string, content string")
+
+
 def documents(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DOCUMENTS, "repo_id string, file_path string, content string")
 
