@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import fcntl
+import os
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import PurePosixPath
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_\-]*")
@@ -29,19 +32,45 @@ def inside(root: str, path: str) -> str:
 
 
 class Breaker:
-    """Refuses calls for a while after several failures in a row."""
+    """Refuses calls for a while after several failures in a row, then starts afresh."""
 
     def __init__(self, failures: int = FAILURES, reset: float = RESET_S, clock: Callable[[], float] = time.monotonic):
         self.failures, self.reset, self.clock = failures, reset, clock
         self.count, self.since = 0, 0.0
 
+    def open(self) -> bool:
+        if self.count >= self.failures and self.clock() - self.since >= self.reset:
+            self.count = 0
+        return self.count >= self.failures
+
+    def record(self, success: bool) -> None:
+        self.count, self.since = (0, self.since) if success else (self.count + 1, self.clock())
+
     def call(self, f: Callable, *args):
-        if self.count >= self.failures and self.clock() - self.since < self.reset:
+        if self.open():
             raise RuntimeError("the service failed too often; try later")
         try:
             out = f(*args)
         except Exception:
-            self.count, self.since = self.count + 1, self.clock()
+            self.record(False)
             raise
-        self.count = 0
+        self.record(True)
         return out
+
+
+@contextmanager
+def single_writer(path: str) -> Iterator[None]:
+    """Holds the lock file ``path``, or raises BlockingIOError where another writer does.
+
+    The system frees the lock of a process that dies. It holds among drivers
+    that share the file system; who loses leaves the holder's note as it is.
+    """
+    with open(path, "a+") as f:
+        fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        f.truncate(0)
+        f.write(f"pid={os.getpid()}\n")
+        f.flush()
+        try:
+            yield
+        finally:
+            f.truncate(0)

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions import text
+from quern.functions import ids, text
 from quern.functions.vectors import cosine
+from quern.operators.guards import FAILURES, RESET_S, Breaker
 
 REBUILD_SHARE = 0.5
 SAME_COSINE, OTHER_COSINE, SAME_RATIO = 0.95, 0.80, 0.90
@@ -42,6 +43,89 @@ def decision() -> Column:
     )
 
 
+SNOOZE_DAYS = 7
+
+
+def brief_decision(now: Column, force: bool = False) -> Column:
+    """What to do about a repository's brief: updated, skipped or snoozed.
+
+    Columns: summary, readme, stored_hash, last_checked (text). Without a summary
+    there is nothing to write; a brief of the same inputs is left, silently for
+    ``SNOOZE_DAYS`` after its last check. A stamp that cannot be read never snoozes.
+    """
+    c = F.col
+    checked = F.try_to_timestamp(c("last_checked"))
+    resting = F.coalesce(checked + F.expr(f"INTERVAL {SNOOZE_DAYS} DAYS") > now, F.lit(False))
+    same = F.coalesce(c("stored_hash") == ids.input_hash(c("summary"), F.coalesce(c("readme"), F.lit(""))), F.lit(False)) & F.lit(not force)
+    return F.when(c("summary").isNull(), "skipped").when(same & resting, "snoozed").when(same, "skipped").otherwise("updated")
+
+
+def index_states(repos: DataFrame, commits: DataFrame) -> DataFrame:
+    """(repo_id, state): how the commits index stands to the commit that the corpus was built at, where they differ.
+
+    ``repos`` is (repo_id, indexed, corpus, cloned, files), ``commits`` (repo_id,
+    commit_hash, ordinal, indexable) of linear histories, in which the smaller
+    ordinal is the ancestor. One aggregate by repository gives the head, both
+    positions, and whether an indexable commit lies between.
+    """
+    c = F.col
+    differ = repos.filter("NOT indexed <=> corpus")
+    at = commits.join(differ.select("repo_id", "indexed", "corpus"), "repo_id")
+    pick = lambda name: F.max(F.when(c("commit_hash") == c(name), c("ordinal")))
+    placed = at.groupBy("repo_id").agg(pick("indexed").alias("i"), pick("corpus").alias("k"), F.max_by("commit_hash", "ordinal").alias("head"))
+    missed = commits.filter("indexable").join(placed.filter("i > k").select("repo_id", "i", "k"), "repo_id").filter("ordinal > k AND ordinal <= i").select("repo_id").distinct()
+    j = differ.join(placed, "repo_id", "left").join(missed.withColumn("missed", F.lit(True)), "repo_id", "left")
+    state = (
+        F.when(c("files") == 0, "no files")
+        .when(~c("cloned"), "clone missing")
+        .when(c("corpus") == c("head"), "bank: head")
+        .when(c("i") <= c("k"), "bank: index behind")
+        .when((c("i") > c("k")) & c("missed").isNull(), "expected")
+        .when(c("i") > c("k"), "STALE")
+        .otherwise("neither")
+    )
+    return j.select("repo_id", state.alias("state"))
+
+
+def repository_facts(docs: DataFrame, index: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(repo_id, files, stored) without excluded repositories: its files, and its commit from the index or else from its summary.
+
+    ``docs`` is (repo_id, type, commit_hash), ``index`` (repo_id, commit_hash) with one row a repository.
+    """
+    mine = docs.groupBy("repo_id").agg(F.count_if(F.col("type") == "file_index").alias("files"), F.min(F.when(F.col("type") == "repo_summary", F.col("commit_hash"))).alias("summary"))
+    known = index.filter("commit_hash <> ''").select("repo_id", F.col("commit_hash").alias("banked"))
+    j = mine.join(known, "repo_id", "full").join(excluded.select("repo_id").distinct(), "repo_id", "left_anti")
+    return j.select("repo_id", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("banked", "summary").alias("stored"))
+
+
+def breaker_outcomes(calls: DataFrame, failures: int = FAILURES, reset: float = RESET_S) -> DataFrame:
+    """(service, ordinal, outcome): ok, failed or refused, as a circuit breaker a service has it.
+
+    ``calls`` is (service, ordinal, at double seconds, fails boolean). Services
+    are walked in order of their calls within sorted partitions, so that one
+    breaker is held at a time whatever a service's number of calls.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service, breaker, now = None, None, [0.0]
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                if breaker is None or r.service != service:
+                    service, breaker = r.service, Breaker(failures, reset, lambda: now[0])
+                now[0] = r.at
+                if breaker.open():
+                    out.append("refused")
+                else:
+                    breaker.record(not r.fails)
+                    out.append("failed" if r.fails else "ok")
+            yield pd.DataFrame({"service": b["service"], "ordinal": b["ordinal"], "outcome": out})
+
+    kinds = {f.name: f.dataType.simpleString() for f in calls.schema}
+    ordered = calls.select("service", "ordinal", "at", "fails").repartition("service").sortWithinPartitions("service", "at", "ordinal")
+    return ordered.mapInPandas(run, f"service {kinds['service']}, ordinal {kinds['ordinal']}, outcome string")
+
+
 def bankable(status: Column, reason: Column, commit: Column, dry_run: bool = False) -> Column:
     """Whether a run may move the repository's checkpoint."""
     done = status.isin("updated", "full_reingest") | ((status == "skipped") & reason.isin(STATES_TO_BANK))

@@ -194,17 +194,40 @@ def commits_index(spark, sf_dir):
     return V.upsert(old, old.filter("repo % 4 = 0").select("repo", (F.col("head") + 1000).alias("head")), "repo")
 
 
-@query("INC-07", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'bank' WHEN c_custkey % 3 = 1 AND c_custkey % 2 = 0 THEN 'expected' WHEN c_custkey % 3 = 1 THEN 'STALE' ELSE 'neither' END AS state FROM customer")
+_HISTORY = """h AS (SELECT user_id AS repo_id, event_id AS ordinal, event_id AS commit_hash, value > 480 AS indexable FROM events),
+r AS (SELECT repo_id, max(CASE WHEN repo_id % 5 = 0 THEN NULL WHEN ordinal % 7 = 0 THEN commit_hash END) AS indexed, CASE WHEN repo_id % 4 = 1 THEN max(commit_hash) WHEN repo_id % 7 = 5 THEN -1 ELSE max(CASE WHEN ordinal % 11 = 0 THEN commit_hash END) END AS corpus, repo_id % 13 <> 4 AS cloned, repo_id % 9 AS files FROM h GROUP BY repo_id)"""
+
+
+@query(
+    "INC-07",
+    f"""WITH {_HISTORY}, p AS (SELECT r.*, (SELECT max(commit_hash) FROM h WHERE h.repo_id = r.repo_id) AS head, (SELECT count(*) FROM h WHERE h.repo_id = r.repo_id AND h.commit_hash = r.corpus) AS known,
+ (SELECT count(*) FROM h WHERE h.repo_id = r.repo_id AND h.indexable AND h.ordinal > r.corpus AND h.ordinal <= r.indexed) AS missed FROM r WHERE indexed IS DISTINCT FROM corpus)
+SELECT repo_id, CASE WHEN files = 0 THEN 'no files' WHEN NOT cloned THEN 'clone missing' WHEN corpus = head THEN 'bank: head' WHEN known = 0 OR indexed IS NULL THEN 'neither' WHEN indexed <= corpus THEN 'bank: index behind' WHEN missed = 0 THEN 'expected' ELSE 'STALE' END AS state FROM p""",
+)
 def index_states(spark, sf_dir):
-    ahead, behind, held = F.col("c_custkey") % 3 == 0, F.col("c_custkey") % 3 == 1, F.col("c_custkey") % 2 == 0
-    state = F.when(ahead, "bank").when(behind & held, "expected").when(behind, "STALE").otherwise("neither")
-    return table(spark, sf_dir, "customer").select("c_custkey", state.alias("state"))
+    e = table(spark, sf_dir, "events")
+    h = e.select(F.col("user_id").alias("repo_id"), F.col("event_id").alias("ordinal"), F.col("event_id").alias("commit_hash"), (F.col("value") > 480).alias("indexable"))
+    banked = F.when((F.col("repo_id") % 5 != 0) & (F.col("ordinal") % 7 == 0), F.col("commit_hash"))
+    r = h.groupBy("repo_id").agg(F.max(banked).alias("indexed"), F.max("commit_hash").alias("last"), F.max(F.when(F.col("ordinal") % 11 == 0, F.col("commit_hash"))).alias("built"))
+    corpus = F.when(F.col("repo_id") % 4 == 1, F.col("last")).when(F.col("repo_id") % 7 == 5, -1).otherwise(F.col("built"))
+    r = r.select("repo_id", "indexed", corpus.alias("corpus"), (F.col("repo_id") % 13 != 4).alias("cloned"), (F.col("repo_id") % 9).alias("files"))
+    return I.index_states(r, h)
 
 
-@query("INC-08", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'updated' WHEN o_orderdate + INTERVAL 7 DAY > TIMESTAMP '2000-01-01' THEN 'snoozed' ELSE 'skipped' END AS action FROM orders")
+@query(
+    "INC-08",
+    """WITH f AS (SELECT d.doc_id, CASE WHEN d.doc_id % 9 <> 0 THEN text END AS summary, CASE WHEN d.doc_id % 2 = 0 THEN lang END AS readme, quality, o_orderdate AS checked, d.doc_id % 10 = 3 AS odd FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN orders o ON d.doc_id = o_orderkey),
+g AS (SELECT *, left(sha256(left(summary, 1000) || '|' || left(coalesce(readme, ''), 1000)), 16) AS h FROM f), s AS (SELECT *, CASE WHEN quality = 1 THEN h WHEN quality = 0 THEN 'old' END AS stored FROM g)
+SELECT doc_id, CASE WHEN summary IS NULL THEN 'skipped' WHEN stored = h AND NOT odd AND checked + INTERVAL 7 DAY > TIMESTAMP '1998-01-01' THEN 'snoozed' WHEN stored = h THEN 'skipped' ELSE 'updated' END AS action FROM s""",
+)
 def refresh_decisions(spark, sf_dir):
-    due = F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS") > F.lit("2000-01-01").cast("timestamp_ntz")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "updated").when(due, "snoozed").otherwise("skipped").alias("action"))
+    d, c = table(spark, sf_dir, "documents"), F.col
+    d = d.select("doc_id", F.when(c("doc_id") % 9 != 0, c("text")).alias("summary"), F.when(c("doc_id") % 2 == 0, c("lang")).alias("readme"))
+    checked = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+    j = d.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left").join(checked, "doc_id", "left")
+    stored = F.when(c("quality") == 1, ids.input_hash(c("summary"), F.coalesce("readme", F.lit("")))).when(c("quality") == 0, "old")
+    facts = j.withColumn("stored_hash", stored).withColumn("last_checked", F.when(c("doc_id") % 10 == 3, "soon").otherwise(c("stamp")))
+    return facts.select("doc_id", I.brief_decision(F.lit("1998-01-01").cast("timestamp")).alias("action"))
 
 
 @query(
@@ -234,10 +257,26 @@ def remapped_parents(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(m, "o_custkey", "left").select("o_orderkey", F.coalesce("new", "o_custkey").alias("parent"))
 
 
-@query("INC-12", "SELECT source AS repo_id, count(*) AS files, max(doc_id) AS stored FROM documents WHERE source NOT IN ('src0', 'src9') GROUP BY 1")
+@query(
+    "INC-12",
+    """WITH d AS (SELECT user_id AS repo_id, CASE event_type WHEN 'signup' THEN 'repo_summary' WHEN 'error' THEN 'symbol_index' ELSE 'file_index' END AS type, sha256(event_type) AS commit_hash FROM events),
+i AS (SELECT c_custkey AS repo_id, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS commit_hash FROM customer WHERE c_custkey % 3 = 0),
+m AS (SELECT repo_id, count(*) FILTER (type = 'file_index') AS files, min(commit_hash) FILTER (type = 'repo_summary') AS summary FROM d GROUP BY 1)
+SELECT repo_id, coalesce(files, 0) AS files, coalesce(i.commit_hash, summary) AS stored FROM m FULL JOIN (SELECT * FROM i WHERE commit_hash <> '') i USING (repo_id) WHERE repo_id NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 5 = 1)""",
+)
 def repo_lookups(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.col("source").isin("src0", "src9"))
-    return d.groupBy(F.col("source").alias("repo_id")).agg(F.count("*").alias("files"), F.max("doc_id").alias("stored"))
+    c = F.col
+    kind = F.when(c("event_type") == "signup", "repo_summary").when(c("event_type") == "error", "symbol_index").otherwise("file_index")
+    docs = table(spark, sf_dir, "events").select(c("user_id").alias("repo_id"), kind.alias("type"), F.sha2("event_type", 256).alias("commit_hash"))
+    index = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(c("c_custkey").alias("repo_id"), F.when(c("c_custkey") % 4 == 0, "").otherwise(c("c_name")).alias("commit_hash"))
+    excluded = table(spark, sf_dir, "nation").filter("n_nationkey % 5 = 1").select(c("n_nationkey").cast("bigint").alias("repo_id"))
+    return I.repository_facts(docs, index, excluded)
+
+
+@query("INC-14")
+def breaker_outcomes(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("user_id").alias("service"), F.col("event_id").alias("ordinal"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_type").isin("error", "view", "click").alias("fails"))
+    return I.breaker_outcomes(calls.withColumn("at", F.col("us") / 1e6), reset=86400.0)
 
 
 @query("INC-15", "SELECT doc_id, sha256(lang || ': ' || left(text, 8000)) AS embedded FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 50")

@@ -82,3 +82,36 @@ def test_principal_components_by_eigenvalues(spark):
     share = np.cumsum(values) / values.sum()
     got = {round(r.share, 2): r.components for r in R.QUERIES["EVL-10"](spark, SF).collect()}
     assert got == {t: int((share < t).sum()) + 1 for t in (0.9, 0.95)}
+
+
+def test_breaker_outcomes_by_hand(spark):
+    """INC-14: five failures in a row refuse calls until the time is up, then five more are needed."""
+    import collections
+
+    rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id", "event_id", "unix_micros(CAST(ts AS timestamp)) / 1e6 AS at", "event_type").collect()
+    want, row, last = {}, collections.Counter(), {}
+    for r in sorted(rows, key=lambda r: (r.user_id, r.at, r.event_id)):
+        u = r.user_id
+        if row[u] >= 5 and r.at - last[u] >= 86400:
+            row[u] = 0
+        if row[u] >= 5:
+            want[r.event_id] = "refused"
+        elif r.event_type in ("error", "view", "click"):
+            row[u], last[u], want[r.event_id] = row[u] + 1, r.at, "failed"
+        else:
+            row[u], want[r.event_id] = 0, "ok"
+    got = {r.ordinal: r.outcome for r in R.QUERIES["INC-14"](spark, SF).collect()}
+    assert got == want and set(want.values()) == {"ok", "failed", "refused"}
+
+
+def test_single_writer(tmp_path):
+    from quern.operators.guards import single_writer
+
+    lock = str(tmp_path / "lock")
+    with single_writer(lock):
+        held = open(lock).read()
+        with pytest.raises(BlockingIOError), single_writer(lock):
+            pass
+        assert open(lock).read() == held != ""
+    with single_writer(lock):
+        pass
