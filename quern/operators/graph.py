@@ -12,15 +12,14 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ALPHA = 0.85
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of spark.checkpoint.dir; where that is unset a temporary one is set in local mode, and a cluster is refused."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir; where that is unset a temporary one is set in local mode, and a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
@@ -28,9 +27,14 @@ def written(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="quern-graph-")
         atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table at a scratch path."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def nodes(edges: DataFrame) -> DataFrame:

@@ -194,7 +194,7 @@ def commits_index(spark, sf_dir):
     return V.upsert(old, old.filter("repo % 4 = 0").select("repo", (F.col("head") + 1000).alias("head")), "repo")
 
 
-_HISTORY = """h AS (SELECT user_id AS repo_id, event_id AS ordinal, event_id AS commit_hash, value > 480 AS indexable FROM events),
+_HISTORY = """h AS (SELECT user_id AS repo_id, event_id AS ordinal, event_id AS commit_hash, value > 100 AS indexable FROM events),
 r AS (SELECT repo_id, max(CASE WHEN repo_id % 5 = 0 THEN NULL WHEN ordinal % 7 = 0 THEN commit_hash END) AS indexed, CASE WHEN repo_id % 4 = 1 THEN max(commit_hash) WHEN repo_id % 7 = 5 THEN -1 ELSE max(CASE WHEN ordinal % 11 = 0 THEN commit_hash END) END AS corpus, repo_id % 13 <> 4 AS cloned, repo_id % 9 AS files FROM h GROUP BY repo_id)"""
 
 
@@ -206,7 +206,7 @@ SELECT repo_id, CASE WHEN files = 0 THEN 'no files' WHEN NOT cloned THEN 'clone
 )
 def index_states(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    h = e.select(F.col("user_id").alias("repo_id"), F.col("event_id").alias("ordinal"), F.col("event_id").alias("commit_hash"), (F.col("value") > 480).alias("indexable"))
+    h = e.select(F.col("user_id").alias("repo_id"), F.col("event_id").alias("ordinal"), F.col("event_id").alias("commit_hash"), (F.col("value") > 100).alias("indexable"))
     banked = F.when((F.col("repo_id") % 5 != 0) & (F.col("ordinal") % 7 == 0), F.col("commit_hash"))
     r = h.groupBy("repo_id").agg(F.max(banked).alias("indexed"), F.max("commit_hash").alias("last"), F.max(F.when(F.col("ordinal") % 11 == 0, F.col("commit_hash"))).alias("built"))
     corpus = F.when(F.col("repo_id") % 4 == 1, F.col("last")).when(F.col("repo_id") % 7 == 5, -1).otherwise(F.col("built"))

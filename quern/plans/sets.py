@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import ids, paths
+from quern.functions import render as R
 from quern.operators import versions as V
 from quern.plans.registry import query
+from quern.sources import repositories as S
 from quern.sources.tables import ctes, table, view
 
 _FILES, _SYMBOLS, _VERSIONS, _COMMITS = ctes("files"), ctes("symbols"), ctes("versions"), ctes("commits")
@@ -97,10 +101,92 @@ def token_index(spark, sf_dir):
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-@query("SNK-07", "SELECT '| ' || r_name || ' | ' || cast(count(*) AS varchar) || ' |' AS line FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
-def markdown_rows(spark, sf_dir):
-    j = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
-    return j.groupBy("r_name").count().select(F.concat(F.lit("| "), "r_name", F.lit(" | "), F.col("count").cast("string"), F.lit(" |")).alias("line"))
+_TYPED = "typed AS (SELECT *, ['repo_summary', 'file_index', 'module_summary', 'symbol_index', 'semantic_unit', 'spec', 'document', 'other'][(doc_id % 8 + 1)::INT] AS doc_type FROM files)"
+
+
+def _typed(spark, sf_dir):
+    types = ("repo_summary", "file_index", "module_summary", "symbol_index", "semantic_unit", "spec", "document", "other")
+    return view(spark, sf_dir, "files").withColumn("doc_type", F.element_at(F.array(*map(F.lit, types)), (F.col("doc_id") % 8 + 1).cast("int")))
+
+
+@query("SNK-05", f"{_FILES}, {_TYPED}, l AS (" + " UNION ALL ".join(f"SELECT '{n}' AS name, unnest({t}) AS doc_type" for n, (_, t) in S.LOOKUPS.items()) + ") SELECT name, repo_id, count(*) AS n, min(file_path) AS first FROM l JOIN typed USING (doc_type) GROUP BY ALL")
+def store_lookups(spark, sf_dir):
+    from quern.operators.graph import scratch
+
+    path = scratch(spark)
+    S.write_store(_typed(spark, sf_dir).select(F.col("doc_type").alias("type"), "repo_id", "file_path", "doc_id"), path)
+    store = spark.read.parquet(path)
+    found = [S.lookup(store, n).groupBy("repo_id").agg(F.count("*").alias("n"), F.min("file_path").alias("first")).select(F.lit(n).alias("name"), "repo_id", "n", "first") for n in S.LOOKUPS]
+    return reduce(DataFrame.unionAll, found)
+
+
+@query(
+    "SNK-07",
+    _FILES
+    + """, g AS (SELECT repo_id, count(*) AS n, list_sort(list_distinct(list(lang))) AS l FROM files GROUP BY repo_id)
+SELECT '- **' || repo_id || '**: ' || n || ' documents (' || array_to_string(l[1:3], ', ') || ')' AS line, '{"repo_id":"' || repo_id || '","n":' || n || '}' AS json, '<tr><td>' || repo_id || '</td><td>' || n || '</td><td>a &lt; b &amp; c</td></tr>' AS html FROM g""",
+)
+def rendered_repositories(spark, sf_dir):
+    g = view(spark, sf_dir, "files").groupBy("repo_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("lang")).alias("l"))
+    line, row = R.repository(F.col("repo_id"), F.col("n"), F.col("l")), R.html_row(F.col("repo_id"), F.col("n"), F.lit("a < b & c"))
+    return g.select(line.alias("line"), F.to_json(F.struct("repo_id", "n")).alias("json"), row.alias("html"))
+
+
+@query(
+    "SNK-07b",
+    f"""{_FILES}, {_TYPED}, h AS (SELECT *, CASE WHEN doc_id % 3 > 0 THEN 'sym' || doc_id END AS sym, CASE WHEN doc_id % 2 = 0 THEN 'kind' END AS kind, CASE WHEN doc_id % 5 > 0 THEN lang END AS module, CASE WHEN doc_id % 7 > 0 THEN doc_id END AS s, CASE WHEN doc_id % 3 = 0 THEN 200 ELSE 500 END AS most FROM typed)
+SELECT doc_id, '### ' || CASE doc_type WHEN 'symbol_index' THEN coalesce(sym, '') || ' (' || coalesce(kind, 'symbol') || ') in ' || file_path || CASE WHEN s > 0 THEN ' [lines ' || s || '-' || s + 4 || ']' ELSE '' END WHEN 'file_index' THEN file_path
+ WHEN 'module_summary' THEN 'Module: ' || coalesce(module, file_path) || '/' WHEN 'repo_summary' THEN 'Repository: ' || repo_id WHEN 'spec' THEN 'Spec: ' || coalesce(sym, file_path) WHEN 'document' THEN 'Doc: ' || file_path || ' (' || coalesce(kind, 'doc') || ')' ELSE file_path END
+ || chr(10) || '_Repo: ' || repo_id || ' | Score: 0.' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || '_' || chr(10) || chr(10) || left(coalesce(content, ''), most) || CASE WHEN length(content) > most THEN '...' ELSE '' END || chr(10) AS block FROM h""",
+)
+def rendered_hits(spark, sf_dir):
+    c, d = F.col, F.col("doc_id")
+    start = F.when(d % 7 > 0, d)
+    block = R.hit(
+        c("doc_type"), c("repo_id"), c("file_path"), F.when(d % 3 > 0, F.concat(F.lit("sym"), d.cast("string"))), F.when(d % 2 == 0, "kind"), F.when(d % 5 > 0, c("lang")), start, start + 4, c("content"), d % 100 / 100, d % 3 == 0
+    )
+    return _typed(spark, sf_dir).select("doc_id", block.alias("block"))
+
+
+@query(
+    "SNK-07c",
+    _FILES
+    + """ SELECT doc_id, sha256('## ' || repo_id || '/' || file_path || chr(10) || 'Lines 1-' || least(line_count, 100) || ' of ' || line_count || CASE WHEN line_count > 100 THEN ' (truncated)' ELSE '' END || chr(10) || chr(10) || '```' || lang || chr(10) || array_to_string(string_split(content, chr(10))[1:100], chr(10)) || chr(10) || '```') AS rendered FROM files""",
+)
+def rendered_files(spark, sf_dir):
+    n, first = F.col("line_count"), F.array_join(F.slice(F.split("content", "\n"), 1, 100), "\n")
+    shown = R.file_view(F.col("repo_id"), F.col("file_path"), first, F.lit(1), F.least(n, F.lit(100)), n, F.col("lang"), n > 100)
+    return view(spark, sf_dir, "files").select("doc_id", F.sha2(shown, 256).alias("rendered"))
+
+
+@query(
+    "SNK-07d",
+    """WITH w AS (SELECT item_id, text, list_filter(string_split(text, ' '), lambda x: length(x) > 8) AS s, list_filter(string_split(text, ' '), lambda x: length(x) < 3) AS g FROM benchmark),
+b AS (SELECT *, array_to_string(list_transform(s[1:5], lambda x: '- ' || x), chr(10)) AS sources, array_to_string(list_transform(g, lambda x: '- ' || x), chr(10)) AS gaps, chr(10) || chr(10) AS gap FROM w)
+SELECT item_id, text || CASE WHEN len(s) > 0 THEN gap || '**Sources:**' || chr(10) || sources ELSE '' END || CASE WHEN len(g) > 0 THEN gap || '**Gaps identified:**' || chr(10) || gaps ELSE '' END AS answer,
+ text || CASE WHEN len(g) > 0 THEN gap || '**Gaps (need more input):**' || chr(10) || gaps ELSE '' END || CASE WHEN len(s) > 0 THEN gap || '**Sources:**' || chr(10) || sources ELSE '' END || CASE WHEN item_id % 2 = 0 THEN gap || '_Intent: how_' ELSE '' END AS proposal FROM b""",
+)
+def rendered_answers(spark, sf_dir):
+    words = F.split("text", " ")
+    s, g = F.filter(words, lambda x: F.length(x) > 8), F.filter(words, lambda x: F.length(x) < 3)
+    draft = R.proposal(F.col("text"), s, g, F.when(F.col("item_id") % 2 == 0, "how"))
+    return table(spark, sf_dir, "benchmark").select("item_id", R.answer(F.col("text"), s, g).alias("answer"), draft.alias("proposal"))
+
+
+@query(
+    "SNK-07e",
+    ctes("edges")
+    + """, n AS (SELECT provider AS v, list_sort(list('m' || consumer)) AS l FROM edges GROUP BY 1), d AS (SELECT v, l, (SELECT count(*) FROM edges WHERE consumer = v) AS o, array_to_string(list_transform(l[1:15], lambda x: '  - ' || x), chr(10)) AS b15, array_to_string(list_transform(l[1:10], lambda x: '  - ' || x), chr(10)) AS b10 FROM n)
+SELECT v, concat_ws(chr(10), '## Criticality: m' || v, '', '**Repo:** r', '**Score:** 0.500000 (percentile: 7)', '**In-degree:** ' || len(l) || ' (modules depend on this)', '**Out-degree:** ' || o || ' (modules this depends on)', CASE WHEN v % 2 = 0 THEN '**Type:** Test module' END, '', '**Direct dependents (' || len(l) || '):**', b15, CASE WHEN len(l) > 15 THEN '  - ... and ' || len(l) - 15 || ' more' END) AS card,
+ CASE WHEN v % 3 = 0 THEN 'No dependency graph found for cluster ''c''. Run all tests.' ELSE concat_ws(chr(10), '## Affected Tests for c', '', '**Changed modules:** 1', '  - m' || v, '', '**Affected modules:** ' || len(l), b10, CASE WHEN len(l) > 10 THEN '  - ... and ' || len(l) - 10 || ' more' END, '', '**No test modules affected**') END AS tests FROM d""",
+)
+def rendered_cards(spark, sf_dir):
+    e, v = view(spark, sf_dir, "edges"), F.col("v")
+    into = e.groupBy(F.col("provider").alias("v")).agg(F.sort_array(F.collect_list(F.concat(F.lit("m"), F.col("consumer").cast("string")))).alias("l"))
+    both = into.join(e.groupBy(F.col("consumer").alias("v")).agg(F.count("*").alias("o")), "v", "left").fillna(0, ["o"])
+    name, none = F.concat(F.lit("m"), v.cast("string")), F.array().cast("array<string>")
+    card = R.criticality(name, F.lit("r"), F.lit(0.5), F.lit(7), F.size("l"), F.col("o"), v % 2 == 0, F.col("l"))
+    return both.select("v", card.alias("card"), R.affected_tests(F.lit("c"), F.array(name), F.col("l"), none, v % 3 != 0).alias("tests"))
 
 
 @query("WIN-01", _VERSIONS + f" SELECT doc_key, document_id FROM (SELECT *, {_NEWEST} AS r FROM versions) WHERE r = 1")

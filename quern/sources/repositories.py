@@ -58,6 +58,27 @@ def canonical_repositories(*sources: list[str]) -> list[str]:
     return next((sorted(set(s)) for s in sources if s), [])
 
 
+# The lookups that a store has to serve, by name: key columns in order, and types.
+LOOKUPS = {
+    "repo_summary_list": (["repo_id"], ["repo_summary"]),
+    "file_by_repo": (["repo_id", "file_path"], ["file_index"]),
+    "module_by_repo": (["repo_id", "file_path"], ["module_summary"]),
+    "child_by_repo_file": (["repo_id", "file_path", "type"], ["symbol_index", "semantic_unit"]),
+    "annotation_target": (["target_id", "created_at"], ["annotation"]),
+    "annotation_repo": (["repo_id", "created_at"], ["annotation"]),
+}
+
+
 def write_store(docs: DataFrame, path: str) -> None:
-    """One partition a type, sorted by repository and path, so that files are skipped by their statistics."""
-    docs.repartition("type", "repo_id").sortWithinPartitions("repo_id", "file_path").write.mode("overwrite").partitionBy("type").parquet(path)
+    """One partition a type, sorted by repository and path, so that files are skipped by their statistics.
+
+    Ranges are cut from a sample of the keys down to the path, so that a large
+    repository is spread over several tasks.
+    """
+    by = ["type", "repo_id", "file_path"]
+    docs.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").partitionBy("type").parquet(path)
+
+
+def lookup(store: DataFrame, name: str) -> DataFrame:
+    """The rows of a lookup's types: a partition filter; filters on its keys reach the files' statistics."""
+    return store.filter(F.col("type").isin(LOOKUPS[name][1]))
