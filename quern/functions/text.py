@@ -102,3 +102,17 @@ def tolerant_json(text: Column) -> Column:
     """A model's reply without its code fence, with backslashes doubled that escape nothing."""
     bare = stripped(F.regexp_replace(stripped(text), r"^```[a-z]*\s*|\s*```$", ""))
     return F.regexp_replace(bare, r"(?<!\\)((?:\\\\)*)\\(?![\\\"/bfnrtu])", r"$1\\\\")
+
+
+# What models put before queries and documents.
+PREFIXES = {
+    "Qwen/Qwen3-Embedding-0.6B": ("", ""),
+    "nomic-ai/nomic-embed-text-v1.5": ("search_query: ", "search_document: "),
+}
+
+
+def prefixed(text: Column, model: str, of_query: bool) -> Column:
+    """``text`` as a model embeds it; a model without a known convention is refused."""
+    if model not in PREFIXES:
+        raise ValueError(f"no convention is known for {model!r}")
+    return F.concat(F.lit(PREFIXES[model][0 if of_query else 1]), text)

@@ -126,6 +126,24 @@ def breaker_outcomes(calls: DataFrame, failures: int = FAILURES, reset: float =
     return ordered.mapInPandas(run, f"service {kinds['service']}, ordinal {kinds['ordinal']}, outcome string")
 
 
+def published_manifests(vectors: DataFrame, by: str, column: str = "embedding") -> DataFrame:
+    """(by, dims, n) of each group whose rows all have a vector, of one size; a group with a failure (null) publishes nothing."""
+    size = F.size(column)
+    g = vectors.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(column).isNull()).alias("failed"), F.min(size).alias("dims"), F.max(size).alias("most"))
+    return g.filter("failed = 0 AND dims = most").select(by, "dims", "n")
+
+
+def commits_of_run(commits: DataFrame, runs: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Commits that a run (the latest, or ``run_id``) ingested, of the repositories that it changed.
+
+    ``runs`` is (run_id, started, results array of (repo_id, status)), ``commits``
+    has (repo_id, ingested). The run is one row, and its repositories are joined by key.
+    """
+    run = (runs if run_id is None else runs.filter(F.col("run_id") == run_id)).orderBy(F.desc("started"), F.desc("run_id")).limit(1)
+    changed = run.select("started", F.inline("results")).filter(F.col("status").isin("updated", "full_reingest")).groupBy("repo_id").agg(F.min("started").alias("__since"))
+    return commits.join(changed, "repo_id").filter(F.col("ingested") >= F.col("__since")).drop("__since")
+
+
 def bankable(status: Column, reason: Column, commit: Column, dry_run: bool = False) -> Column:
     """Whether a run may move the repository's checkpoint."""
     done = status.isin("updated", "full_reingest") | ((status == "skipped") & reason.isin(STATES_TO_BANK))

@@ -223,3 +223,16 @@ def result_header(doc_type: Column, repo: Column, path: Column) -> Column:
         .when(doc_type == "commit_index", F.concat(F.lit("[commit] "), repo))
         .otherwise(F.concat(F.lit("[document] "), path))
     )
+
+
+def manifest_state(manifests: DataFrame, vectors: DataFrame, model: str, dims: int, column: str = "embedding") -> DataFrame:
+    """(state, n): whether stored vectors are what queries will be embedded as.
+
+    ``manifests`` is (model, dims) with one row at most. The vectors themselves
+    are looked at too, as a manifest says only what was meant.
+    """
+    size = F.size(column)
+    facts = vectors.agg(F.count("*").alias("n"), F.count_if(size != dims).alias("odd"))
+    told = manifests.agg(F.count("*").alias("told"), F.count_if((F.col("model") == model) & (F.col("dims") == dims)).alias("agreed"))
+    state = F.when(F.col("told") == 0, "no manifest").when(F.col("agreed") == 0, "mismatch").when(F.col("odd") > 0, "odd vectors").otherwise("ok")
+    return facts.crossJoin(F.broadcast(told)).select(state.alias("state"), "n")

@@ -288,9 +288,15 @@ def change_lists(spark, sf_dir):
     return S.name_status(view(spark, sf_dir, "files").select("repo_id", line.alias("content")))
 
 
-@query("SRC-01", "SELECT * FROM (VALUES ('acme/app')) t(repo_id)")
+def _checkout(spark):
+    from quern.operators.graph import scratch
+
+    return S.discovered_files(spark, code.checkout(spark, scratch(spark)))
+
+
+@query("SRC-01", "SELECT * FROM (VALUES ('acme/app'), ('other/tool')) t(repo_id)")
 def discovered_repositories(spark, sf_dir):
-    return S.repositories(code.files(spark))
+    return S.repositories(_checkout(spark))
 
 
 @query("SRC-02", "SELECT * FROM (VALUES ('a/x'), ('b/y')) t(repo_id)")
@@ -298,19 +304,24 @@ def canonical_repositories(spark, sf_dir):
     return spark.createDataFrame([(r,) for r in S.canonical_repositories([], ["b/y", "a/x", "a/x"], ["c/z"])], "repo_id string")
 
 
-@query("SRC-03", f"SELECT file_path FROM {_CODE}")
+@query("SRC-03", f"SELECT 'acme/app' AS repo_id, file_path FROM {_CODE} UNION ALL VALUES ('acme/app', 'pkg/latin.py'), ('other/tool', 'main.py')")
 def code_files(spark, sf_dir):
-    return S.code_files(code.files(spark).withColumn("size", F.octet_length("content"))).select("file_path")
+    return S.code_files(_checkout(spark)).select("repo_id", "file_path")
 
 
 @query("SRC-04", f"SELECT file_path FROM {_DOCS} WHERE file_path LIKE '%.md' OR file_path LIKE '%.rst'")
 def document_files(spark, sf_dir):
-    return S.document_files(code.documents(spark).withColumn("size", F.octet_length("content"))).select("file_path")
+    return S.document_files(_checkout(spark)).select("file_path")
 
 
-@query("SRC-05", f"SELECT file_path, length(content) AS n FROM {_CODE}")
+@query("SRC-05", "SELECT doc_id % 7 = 3 AS bad, doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text ELSE lang END) AS content FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 <> 0")
 def file_contents(spark, sf_dir):
-    return code.files(spark).select("file_path", F.length(F.decode(F.encode("content", "UTF-8"), "UTF-8")).cast("bigint").alias("n"))
+    """A commit that has every third file, some with bytes that are no UTF-8, and a working tree that lacks every fifth."""
+    d = table(spark, sf_dir, "documents").select(F.lit("r").alias("repo_id"), F.col("doc_id").alias("file_path"), "text", "lang")
+    odd = F.when(F.col("file_path") % 7 == 3, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit("")))
+    blobs = d.filter("file_path % 3 = 0").withColumn("content", F.concat(F.encode("text", "UTF-8"), odd))
+    tree = d.filter("file_path % 5 <> 0").withColumn("content", F.encode("lang", "UTF-8"))
+    return S.at_commit(d, blobs, tree).select((F.col("file_path") % 7 == 3).alias("bad"), F.col("file_path").alias("doc_id"), F.sha2("content", 256).alias("content"))
 
 
 @query("SRC-06", _expected([("2024-01-02T03:04:05+00:00",), ("2024-01-03T00:00:00+00:00",)], "date"))

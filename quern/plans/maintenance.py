@@ -285,6 +285,14 @@ def reembed_page(spark, sf_dir):
     return d.select("doc_id", F.sha2(F.concat("lang", F.lit(": "), F.left("text", F.lit(8000))), 256).alias("embedded"))
 
 
+@query("INC-15b", "SELECT vec_id // 20 AS page, 64 AS dims, count(*) AS n FROM embeddings GROUP BY 1 HAVING max(CASE WHEN vec_id % 29 = 0 OR vec_id % 31 = 0 THEN 1 ELSE 0 END) = 0")
+def published_manifests(spark, sf_dir):
+    """Pages of 20 vectors; every 29th vector failed, and every 31st is short."""
+    i, v = F.col("vec_id"), F.col("embedding")
+    e = table(spark, sf_dir, "embeddings").select(F.floor(i / 20).alias("page"), F.when(i % 31 == 0, F.slice(v, 1, 8)).when(i % 29 != 0, v).alias("embedding"))
+    return I.published_manifests(e, "page")
+
+
 @query("INC-16", _FILES + f", {_FOLDERS} SELECT repo_id, module_path, CASE WHEN module_path = '' THEN 0 ELSE len(string_split(module_path, '/')) END AS depth FROM fo WHERE length(module_path) % 2 = 1 ORDER BY depth DESC, repo_id, module_path")
 def backfill_order(spark, sf_dir):
     m = H.modules(view(spark, sf_dir, "files")).filter("length(module_path) % 2 = 1")

@@ -276,9 +276,10 @@ def embedding_texts(spark, sf_dir):
     return view(spark, sf_dir, "files").select("doc_id", F.sha2(made, 256).alias("embedded"))
 
 
-@query("FN-34", "SELECT item_id, 'search_query: ' || text AS query_text, 'search_document: ' || text AS document_text FROM benchmark")
+@query("FN-34", "SELECT item_id, 'nomic-ai/nomic-embed-text-v1.5' AS model, 'search_query: ' || text AS query_text, 'search_document: ' || text AS document_text FROM benchmark UNION ALL SELECT item_id, 'Qwen/Qwen3-Embedding-0.6B', text, text FROM benchmark")
 def model_prefixes(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("search_query: "), "text").alias("query_text"), F.concat(F.lit("search_document: "), "text").alias("document_text"))
+    forms = [F.struct(F.lit(m).alias("model"), text.prefixed(F.col("text"), m, True).alias("query_text"), text.prefixed(F.col("text"), m, False).alias("document_text")) for m in text.PREFIXES]
+    return table(spark, sf_dir, "benchmark").select("item_id", F.inline(F.array(*forms)))
 
 
 @query("FN-35", "SELECT item_id, true AS valid FROM benchmark")

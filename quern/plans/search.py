@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
@@ -257,10 +259,12 @@ def short_circuit(spark, sf_dir):
     return top.join(near, "query_id", "left").select("query_id", R.out_of_scope_answer(F.col("repos"), F.col("top")).alias("answer"))
 
 
-@query("RET-18", "SELECT max(len(embedding)) = 64 AND min(len(embedding)) = 64 AS dims_ok, count(*) AS n FROM embeddings")
+@query("RET-18", "SELECT asked, CASE asked WHEN 'none' THEN 'no manifest' WHEN 'other model' THEN 'mismatch' WHEN 'other size' THEN CASE WHEN bool_and(len(embedding) = 32) THEN 'ok' ELSE 'odd vectors' END ELSE CASE WHEN bool_and(len(embedding) = 64) THEN 'ok' ELSE 'odd vectors' END END AS state, count(*) AS n FROM embeddings, (VALUES ('none'), ('same'), ('other model'), ('other size')) t(asked) GROUP BY asked")
 def manifest_check(spark, sf_dir):
-    n = F.size("embedding")
-    return table(spark, sf_dir, "embeddings").agg(((F.max(n) == 64) & (F.min(n) == 64)).alias("dims_ok"), F.count("*").alias("n"))
+    e = table(spark, sf_dir, "embeddings").select("embedding")
+    told = {"none": [], "same": [("m", 64)], "other model": [("k", 64)], "other size": [("m", 32)]}
+    checks = [R.manifest_state(spark.createDataFrame(rows, "model string, dims int"), e, "m", 32 if asked == "other size" else 64).withColumn("asked", F.lit(asked)) for asked, rows in told.items()]
+    return reduce(DataFrame.unionByName, checks)
 
 
 @query("RET-19", _FILES + " SELECT repo_id, CASE WHEN file_path LIKE '%/%' THEN regexp_extract(file_path, '^([^/]*)/', 1) ELSE file_path END AS entry, count(*) AS files, sum(line_count)::BIGINT AS lines FROM files GROUP BY ALL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import ids, paths
 from quern.functions import render as R
+from quern.operators import incremental as I
 from quern.operators import versions as V
 from quern.plans.registry import query
 from quern.sources import repositories as S
@@ -44,15 +45,17 @@ def offset_page(spark, sf_dir):
 
 @query(
     "SRC-13",
-    _COMMITS
-    + """, run AS (SELECT max(commit_date) - INTERVAL 2 DAY AS since FROM commits), ok AS (SELECT DISTINCT repo_id FROM commits WHERE kind = 'purchase')
-SELECT commit_id FROM commits WHERE repo_id IN (SELECT repo_id FROM ok) AND commit_date >= (SELECT since FROM run)""",
+    """WITH e AS (SELECT *, date_trunc('day', ts) AS day, first_value(event_type) OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY event_id) AS status FROM events), run AS (SELECT day, min(ts) AS started FROM e GROUP BY 1 ORDER BY 2 DESC LIMIT 1)
+SELECT event_id, user_id AS repo_id FROM e JOIN run ON e.ts >= run.started AND e.day = run.day WHERE status IN ('purchase', 'signup')""",
 )
 def commits_of_latest_run(spark, sf_dir):
-    c = view(spark, sf_dir, "commits")
-    since = c.agg((F.max("commit_date") - F.expr("INTERVAL 2 DAYS")).alias("since"))
-    ok = c.filter("kind = 'purchase'").select("repo_id").distinct()
-    return c.join(ok, "repo_id", "left_semi").join(F.broadcast(since), F.col("commit_date") >= F.col("since")).select("commit_id")
+    """A run a day, which tells a repository's status by its first event of the day."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_trunc("day", "ts"))
+    status = F.when(F.col("kind") == "purchase", "updated").when(F.col("kind") == "signup", "full_reingest").otherwise("skipped")
+    states = e.groupBy("day", F.col("user_id").alias("repo_id")).agg(F.min_by("event_type", "event_id").alias("kind"), F.min("ts").alias("started"))
+    runs = states.groupBy(F.col("day").cast("string").alias("run_id")).agg(F.min("started").alias("started"), F.collect_list(F.struct("repo_id", status.alias("status"))).alias("results"))
+    commits = e.select("event_id", F.col("user_id").alias("repo_id"), F.col("ts").alias("ingested"))
+    return I.commits_of_run(commits, runs).select("event_id", "repo_id")
 
 
 @query("SRC-14", _SYMBOLS + " SELECT repo_id, file_path, count(*) AS chunks, min(l_orderkey) AS commit_no, true AS present FROM symbols GROUP BY 1, 2")

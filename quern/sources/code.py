@@ -32,6 +32,28 @@ COMPONENTS = [
 LOG = "a1b2c3d4|ann@x.org|2024-01-02T03:04:05+00:00|Add | pipes\n3\t1\tpkg/core.py\n-\t-\timg.png\n\nb2c3d4e5|bob@x.org|2024-01-03T00:00:00+00:00|Fix\n10\t0\tweb/app.js\nodd\t1\tx\n"
 
 
+ODD_FILES = [
+    ("acme_app/logo.png", b"\x89PNG\xff\xfe\x00"),
+    ("acme_app/web/app.min.js", b"var a=1"),
+    ("acme_app/CHANGELOG.md", b"# Changes\n" + b"Something changed. " * 10),
+    ("acme_app/pkg/latin.py", b"# caf\xe9\n" + b"value = 1\n" * 20),
+    ("other_tool/main.py", b"print('a long enough file')\n" * 5),
+    (".cache_x/main.py", b"x = 1\n" * 20),
+    ("plain/main.py", b"x = 1\n" * 20),
+]
+
+
+def checkout(spark: SparkSession, root: str) -> str:
+    """The files and documents, and odd ones beside them, written under ``root`` by Hadoop's file systems."""
+    mine = [(f"acme_app/{r[1]}", r[-1].encode()) for r in FILES + DOCUMENTS]
+    for path, content in mine + ODD_FILES:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{path}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(content))
+        out.close()
+    return root
+
+
 def files(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FILES, "repo_id string, file_path string, language string, content string")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import paths
@@ -10,11 +12,23 @@ from quern.functions import paths
 CODE_SUFFIXES = tuple(paths.PARSER_LANGUAGES)
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text without what is no UTF-8, so that images and the like are no error."""
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
+def at_commit(paths_: DataFrame, blobs: DataFrame, worktree: DataFrame) -> DataFrame:
+    """(repo_id, file_path, content): the commit's bytes of a path, else the working tree's; a path in neither is left out."""
+    key = ["repo_id", "file_path"]
+    j = paths_.select(*key).join(blobs.select(*key, F.col("content").alias("c")), key, "left").join(worktree.select(*key, F.col("content").alias("w")), key, "left")
+    return j.select(*key, decoded(F.coalesce("c", "w")).alias("content")).filter("content IS NOT NULL")
+
+
 def discovered_files(spark: SparkSession, root: str) -> DataFrame:
     """(repo_id, file_path, size, content) under ``root``/owner_name/..., by Spark's own reader."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inside = F.regexp_extract("path", rf"{root.rstrip('/').split('/')[-1]}/(.*)$", 1)
-    f = raw.select(inside.alias("p"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
+    inside = F.regexp_extract("path", rf"/{re.escape(root.rstrip('/').split('/')[-1])}/(.*)$", 1)
+    f = raw.select(inside.alias("p"), F.col("length").alias("size"), decoded(F.col("content")).alias("content"))
     folder = F.substring_index("p", "/", 1)
     repo = F.concat_ws("/", F.substring_index(folder, "_", 1), F.regexp_extract(folder, "_(.*)$", 1))
     return f.filter(folder.contains("_") & ~folder.startswith(".")).select(repo.alias("repo_id"), F.regexp_extract("p", "^[^/]*/(.*)$", 1).alias("file_path"), "size", "content")
