@@ -6,8 +6,9 @@ its share is in it). The most frequent ones, ``LEXICON_WORDS`` at most, are
 encoded once and compiled into a minimal acyclic transducer, which executors map
 into memory. A second pass encodes: all different pieces of a stretch of text
 walk the transducer side by side, one byte a step, and those that it does not
-know are merged exactly by rank; a small memo spares merging them again in the
-next stretch. The result depends on neither.
+know are merged exactly by rank, side by side as well, one merge a step; a small
+memo spares merging them again in the next stretch. The result depends on
+neither.
 
 The vocabulary file is read on the driver and broadcast; its size, that of the
 lexicon and of what the driver gathers are bounded by the file and by parameters.
@@ -28,12 +29,12 @@ import heapq
 import json
 import re
 from array import array
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -51,6 +52,8 @@ WORD_LENGTH = 64
 MEMO_WORDS = 200_000
 STRETCH = 4 << 20
 HEAP_LENGTH = 48
+#: Places of pieces that are merged side by side, some 5 MB.
+CELLS = 1 << 17
 MASK = (1 << 20) - 1
 NEVER = 1 << 62
 
@@ -92,6 +95,12 @@ class Tokenizer:
             self.tokens[a["id"]] = a["content"].encode()
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
+        # The same pairs as arrays; a value orders by rank, then by the place that is put in later, and holds the merged id.
+        self._pair_keys = np.array([*sorted(self.pairs), NEVER], np.int64)
+        found = np.array([self.pairs[k] for k in self._pair_keys[:-1].tolist()], np.int64)
+        self._pair_values = np.append(found >> 20 << 26 | found & MASK, NEVER)
+        self._byte_ids = np.array([*self.byte_id, MASK], np.int64)  # the last one stands for no byte
+        self._byte_pairs = self._values((self._byte_ids[:, None] << 20 | self._byte_ids).ravel())
         self.lexicon = lexicon.opened(lexicon_data) if lexicon_data else None
         self.memo: dict[bytes, bytes] = {}
 
@@ -138,6 +147,54 @@ class Tokenizer:
             offer(i)
         return [x for x in ids if x >= 0]
 
+    def _values(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self._pair_keys, keys)
+        return np.where(self._pair_keys[at] == keys, self._pair_values[at], NEVER)
+
+    def merged_all(self, pieces: list[bytes]) -> list[bytes]:
+        """``merged`` for many pieces, as little-endian 32-bit integers; those of like length take their merges side by side."""
+        done: list[bytes] = [b""] * len(pieces)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(lengths, kind="stable")
+        lengths = lengths[order]
+        start, end = np.searchsorted(lengths, (1, HEAP_LENGTH + 1)).tolist()
+        for k in order[end:].tolist():
+            done[k] = array("I", self.merged(pieces[k])).tobytes()
+        while start < end:
+            n = int(lengths[start])
+            stop = min(end, start + max(1, CELLS // n), int(np.searchsorted(lengths, n + n // 8, "right")))
+            which = order[start:stop].tolist()
+            for k, ids in zip(which, self._merged_block([pieces[k] for k in which], lengths[start:stop]), strict=True):
+                done[k] = ids
+            start = stop
+        return done
+
+    def _merged_block(self, pieces: list[bytes], lengths: np.ndarray) -> Iterator[bytes]:
+        """One column for each piece, its bytes below each other with an empty place above and below."""
+        n, places = len(pieces), np.arange(int(lengths.max()) + 2)
+        symbols = np.full((len(places), n), 256)
+        inside = (places >= 1) & (places <= lengths[:, None])
+        symbols.T[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        ids, values = self._byte_ids[symbols], self._byte_pairs[symbols[:-1] * 257 + symbols[1:]] | places[:-1, None] << 20
+        below, above = np.repeat(places + 1, n), np.repeat(places - 1, n)
+        flat_ids, flat_values = ids.reshape(-1), values.reshape(-1)  # the same memory
+        while True:
+            best = values.min(axis=0)
+            on = np.flatnonzero(best < NEVER)
+            if not len(on):
+                break
+            place, merged = best[on] >> 20 & 63, best[on] & MASK
+            at = place * n + on
+            gone = below[at] * n + on
+            after, before = below[gone], above[at]
+            flat_ids[at], flat_ids[gone], flat_values[gone] = merged, -1, NEVER
+            below[at], above[after * n + on] = after, place
+            made = self._values(np.concatenate([merged << 20 | flat_ids[after * n + on], flat_ids[before * n + on] << 20 | merged]))
+            flat_values[at], flat_values[before * n + on] = made[: len(on)] | place << 20, made[len(on) :] | before << 20
+        left = ((ids >= 0) & (ids < MASK)).T
+        data, ends = ids.T[left].astype("<u4").tobytes(), np.cumsum(left.sum(axis=1)) * 4
+        return (data[a:b] for a, b in pairwise([0, *ends.tolist()]))
+
     def _pieces_ids(self, pieces: list[str]) -> list[bytes]:
         """Ids of different pieces, as little-endian 32-bit integers: from the lexicon, else by merging."""
         data = [p.encode() for p in pieces]
@@ -145,31 +202,53 @@ class Tokenizer:
         memo = self.memo
         for k, word in enumerate(data):
             if found[k] is None:
-                ids = memo.get(word)
-                if ids is None:
-                    ids = array("I", self.merged(word)).tobytes()
-                    if len(word) <= WORD_LENGTH:
-                        if len(memo) >= MEMO_WORDS:
-                            for old in list(islice(memo, MEMO_WORDS // 2)):
-                                del memo[old]
-                        memo[word] = ids
-                found[k] = ids
+                found[k] = memo.get(word)
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(rest, self.merged_all([data[k] for k in rest]), strict=True):
+            found[k] = ids
+            if len(data[k]) <= WORD_LENGTH:
+                if len(memo) >= MEMO_WORDS:
+                    for old in list(islice(memo, MEMO_WORDS // 2)):
+                        del memo[old]
+                memo[data[k]] = ids
         return found
 
+    def _cut(self, parts: Iterable[str], plain: list[str], several: dict[str, int], pieces: list[str]) -> set[str]:
+        """Deal out what stands behind a space: those of one piece, and the number and the pieces of others. Returns what may not start a piece there."""
+        loose = set()
+        for p in parts:
+            if p.isascii() and p.isalpha():
+                plain.append(p)
+            elif not p or p[0].isspace():
+                loose.add(p)
+            else:
+                c = (" " + p[:-1], p[-1]) if p[-1] in ",." and p.isascii() and p[:-1].isalpha() else self.pieces(" " + p)
+                several[p] = len(c)
+                pieces += c
+        return loose
+
     def _stretches(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, all together about one stretch long and without added tokens."""
-        split = []
-        for t in texts:
-            parts = _CUT.split(t)
-            parts[1:] = [" " + p for p in parts[1:]]
-            split.append(parts)
-        parts = list(set().union(*split))
-        # A space and letters, or letters alone, are one piece.
-        cut = [(p,) if p.isascii() and p[p[:1] == " " :].isalpha() else self.pieces(p) for p in parts]
-        pieces = list(set(chain.from_iterable(cut)))
-        ids = dict(zip(pieces, self._pieces_ids(pieces), strict=True))
-        known = {p: ids[c[0]] if len(c) == 1 else b"".join([ids[x] for x in c]) for p, c in zip(parts, cut, strict=True)}
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+        tails = [t.split(" ") for t in texts]
+        heads = [parts.pop(0) for parts in tails]
+        plain, several, cut = [], {}, []
+        parts = set().union(*tails)
+        if loose := self._cut(parts, plain, several, cut):
+            # White space next to white space: there only a space before something else starts a piece.
+            again = [k for k, t in enumerate(tails) if not loose.isdisjoint(t)]
+            for k in again:
+                heads[k], *tails[k] = _CUT.split(texts[k])
+            self._cut(set().union(*(tails[k] for k in again)) - parts, plain, several, cut)
+        first = {p: self.pieces(p) for p in set(heads)}
+        pieces = [" " + p for p in plain]
+        pieces += set(chain(cut, *first.values())).difference(pieces)
+        found = self._pieces_ids(pieces)
+        ids, known = dict(zip(pieces, found, strict=True)), dict(zip(plain, found))
+        each = map(ids.__getitem__, cut)
+        for p, n in several.items():
+            known[p] = next(each) + next(each) if n == 2 else b"".join(islice(each, n))
+        start = {p: b"".join([ids[x] for x in c]) for p, c in first.items()}
+        return [start[h] + b"".join(map(known.__getitem__, t)) for h, t in zip(heads, tails, strict=True)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
@@ -222,6 +301,17 @@ def _file(path: str) -> bytes:
         return f.read()
 
 
+def _summed(tables: list[pa.Table], most: int) -> pa.Table:
+    """One row for each word; where there are more than ``most``, only those that count more than the first one beyond ``SUMMARY_WORDS``, less its count."""
+    found = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")])
+    word, n = found["word"], found["n_sum"]
+    if len(n) > most:
+        n = n.to_numpy()
+        least = np.partition(n, -SUMMARY_WORDS - 1)[-SUMMARY_WORDS - 1]
+        word, n = word.filter(pa.array(n > least)), pa.array(n[n > least] - least)
+    return pa.table({"word": word, "n": n})
+
+
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
     """What stands between spaces, by falling frequency; ``limit`` at most.
 
@@ -230,19 +320,17 @@ def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WOR
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        tables, rows, most = [], 0, 8 * SUMMARY_WORDS
         for batch in batches:
-            for t in batch.column(0):
-                if t := t.as_py():
-                    words = t.split(" ")
-                    if len(max(words, key=len)) > WORD_LENGTH:
-                        words = [w for w in words if len(w) <= WORD_LENGTH]
-                    counts.update(words)
-                if len(counts) > 8 * SUMMARY_WORDS:
-                    least = sorted(counts.values(), reverse=True)[SUMMARY_WORDS]
-                    counts = Counter({w: n - least for w, n in counts.items() if n > least})
-        top = counts.most_common(SUMMARY_WORDS)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+            found = pc.split_pattern(batch.column(0), " ").flatten().value_counts()
+            short = pc.less_equal(pc.utf8_length(found.field("values")), WORD_LENGTH)
+            tables.append(pa.table({"word": found.field("values"), "n": found.field("counts")}).filter(short))
+            rows += len(tables[-1])
+            if rows > 2 * most:
+                tables = [_summed(tables, most)]
+                rows = len(tables[0])
+        if tables:
+            yield from _summed(tables, most).sort_by([("n", "descending")]).slice(0, SUMMARY_WORDS).to_batches()
 
     spark = docs.sparkSession
     bounded_batches(spark)

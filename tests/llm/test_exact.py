@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,44 @@ def test_bpe_by_stretches_and_lexicon(monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_merges_side_by_side(monkeypatch):
+    """Unknown pieces are merged as arrays, none of them one by one unless long; blocks of any size give the same."""
+    own = bpe.Tokenizer(bpe._file(queries.vocabulary()))
+    rng = random.Random(11)
+    odd = [bytes(rng.choices(b"aab then\xc3\xa9\x00\xff", k=rng.randint(0, 70))) for _ in range(3000)] + [bytes(rng.choices(range(256), k=rng.randint(1, 60))) for _ in range(1000)]
+    odd += [b"a" * n for n in range(60)]
+    want = [np.array(own.merged(x), "<u4").tobytes() for x in odd]
+    one, called = own.merged, []
+    monkeypatch.setattr(own, "merged", lambda x: called.append(x) or one(x))
+    for cells in (1, 500, bpe.CELLS):
+        monkeypatch.setattr(bpe, "CELLS", cells)
+        assert own.merged_all(odd) == want
+    assert own.merged_all([]) == [] and len(own.encode("thereof zq1x naïvest")) > 0
+    assert called and min(map(len, called)) > bpe.HEAP_LENGTH
+
+
+def test_bpe_white_space_next_to_white_space():
+    """Texts encoded together, among them some that single spaces do not cut."""
+    from tokenizers import Tokenizer
+
+    ref, own = Tokenizer.from_file(queries.vocabulary()), bpe.Tokenizer(bpe._file(queries.vocabulary()))
+    rng = random.Random(12)
+    parts = [" ", " ", " ", "a", "bc,", "é.", ".", "7", "\n", "\t", "\x1c", "\u3000", "'s", "<|endoftext|>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(4000)] + [" ", "  ", " a", "a ", "\n \n a", ""]
+    for t, ids in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
+        assert own.decode(ids) == t
+
+
+def test_word_sums_keep_what_is_frequent(monkeypatch):
+    """A full summary takes one count off all words and keeps every word above its share."""
+    monkeypatch.setattr(bpe, "SUMMARY_WORDS", 3)
+    tables = [pa.table({"word": ["a", "b", f"x{i}"], "n": pa.array([5, 2, 1], pa.int64())}) for i in range(4)]
+    everything = bpe._summed(tables, 6)
+    assert dict(zip(*everything.to_pydict().values(), strict=True)) == {"a": 20, "b": 8, "x0": 1, "x1": 1, "x2": 1, "x3": 1}
+    assert dict(zip(*bpe._summed(tables, 5).to_pydict().values(), strict=True)) == {"a": 19, "b": 7}
+
+
 def test_words_are_counted_within_bounds(spark):
     """Texts without spaces are no words; what comes to the driver follows the limit."""
     rows = [(i, f"{i}x" * 5000) for i in range(200)] + [(1000 + i, f"the of rare{i}") for i in range(300)]
