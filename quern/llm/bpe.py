@@ -95,10 +95,9 @@ class Tokenizer:
             self.tokens[a["id"]] = a["content"].encode()
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces = regex.compile(PATTERN).findall
-        # The same pairs as arrays; a value orders by rank, then by the place that is put in later, and holds the merged id.
-        self._pair_keys = np.array([*sorted(self.pairs), NEVER], np.int64)
-        found = np.array([self.pairs[k] for k in self._pair_keys[:-1].tolist()], np.int64)
-        self._pair_values = np.append(found >> 20 << 26 | found & MASK, NEVER)
+        # The same pairs as arrays; a value orders by rank, then by the place that is put in later, and holds the merged id. The last one is of no pair.
+        keys, found = np.array([*self.pairs], np.int64), np.array([*self.pairs.values()], np.int64)
+        self._pair_places, self._pair_values = lexicon.Places(keys), np.append(found >> 20 << 26 | found & MASK, NEVER)
         self._byte_ids = np.array([*self.byte_id, MASK], np.int64)  # the last one stands for no byte
         self._byte_pairs = self._values((self._byte_ids[:, None] << 20 | self._byte_ids).ravel())
         self.lexicon = lexicon.opened(lexicon_data) if lexicon_data else None
@@ -148,8 +147,7 @@ class Tokenizer:
         return [x for x in ids if x >= 0]
 
     def _values(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self._pair_keys, keys)
-        return np.where(self._pair_keys[at] == keys, self._pair_values[at], NEVER)
+        return self._pair_values[self._pair_places.find(keys)]
 
     def merged_all(self, pieces: list[bytes]) -> list[bytes]:
         """``merged`` for many pieces, as little-endian 32-bit integers; those of like length take their merges side by side."""

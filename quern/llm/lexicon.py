@@ -87,6 +87,42 @@ def build(entries: dict[bytes, list[int]]) -> bytes:
     return head + b"".join(arrays) + bytes(labels) + bytes(final)
 
 
+class Places:
+    """Where keys stand in an array of different integers of 0 or more: a hash table that all keys asked for probe side by side."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._places = np.full(1 << bits, -1), np.full(1 << bits, -1, np.int32)
+        at, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = self._keys[at] < 0
+            self._keys[at[free]] = keys[left[free]]  # of those that meet one stays
+            own = self._keys[at] == keys[left]
+            self._places[at[own]] = left[own]
+            at, left = at[~own] + 1 & self._mask, left[~own]
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those not in it."""
+        at = self._slots(keys)
+        held = self._keys[at]
+        hit = held == keys
+        found = np.where(hit, self._places[at], -1)
+        on = np.flatnonzero(~hit & (held >= 0))
+        at = at[on]
+        while len(on):
+            at = at + 1 & self._mask
+            held = self._keys[at]
+            hit = held == keys[on]
+            found[on[hit]] = self._places[at[hit]]
+            more = ~hit & (held >= 0)
+            on, at = on[more], at[more]
+        return found
+
+
 class Lexicon:
     """Lookups in a file made by ``build``."""
 
@@ -101,9 +137,9 @@ class Lexicon:
         self._first, self._targets, self._before, self._starts, self._ids = parts
         self._labels, self._final = at, at + edges
         self.states, self.words = states, words
-        # The same memory as arrays; of each edge its state and label as one sorted key, which is the one copy made.
+        # The same memory as arrays; of each edge its state and label as one key in a table, which is the one copy made.
         firsts, labels = np.frombuffer(self._first, np.uint32), np.frombuffer(self._map, np.uint8, edges, at)
-        self._keys = np.repeat(np.arange(states), np.diff(firsts.astype(np.int64))) * 256 + labels
+        self._edges = Places(np.repeat(np.arange(states), np.diff(firsts.astype(np.int64))) * 256 + labels)
         self._nexts, self._befores = np.frombuffer(self._targets, np.uint32), np.frombuffer(self._before, np.uint32)
         self._ends = np.frombuffer(self._map, np.uint8, states, self._final).astype(bool)
 
@@ -118,11 +154,8 @@ class Lexicon:
         on = np.flatnonzero(lengths > 0)
         for step in range(int(lengths.max())):
             key = state[on] * 256 + data[starts[on] + step]
-            at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1) if len(self._keys) else np.empty(0, np.int64)
-            if not len(at):
-                state[on] = -1
-                break
-            hit = self._keys[at] == key
+            at = self._edges.find(key)
+            hit = at >= 0
             state[on[~hit]] = -1
             on, at = on[hit], at[hit]
             rank[on] += self._befores[at]

@@ -231,6 +231,14 @@ def test_lexicon_is_minimal_and_exact():
     assert lx.states < 1 + sum(map(len, words))
 
 
+def test_places_of_keys():
+    rng = np.random.default_rng(4)
+    for keys in (np.empty(0, np.int64), np.array([0]), np.arange(1000) << 20, rng.permutation(1 << 20)[:5000], np.unique(rng.integers(0, 2**41, 3000))):
+        asked = np.concatenate([keys, keys + 1, rng.integers(0, 2**41, 500)])
+        where = {int(k): i for i, k in enumerate(keys)}
+        assert lexicon.Places(keys).find(asked).tolist() == [where.get(int(k), -1) for k in asked]
+
+
 def test_line_automaton(spark):
     def distance(a, b):
         p = list(range(len(b) + 1))
