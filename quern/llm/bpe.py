@@ -328,7 +328,13 @@ def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON_WOR
                 tables = [_summed(tables, most)]
                 rows = len(tables[0])
         if tables:
-            yield from _summed(tables, most).sort_by([("n", "descending")]).slice(0, SUMMARY_WORDS).to_batches()
+            top = _summed(tables, most)
+            if len(top) > SUMMARY_WORDS:
+                top = top.take(np.argpartition(top["n"].to_numpy(), -SUMMARY_WORDS)[-SUMMARY_WORDS:])
+            tables.clear()
+            yield from top.to_batches()
+            del top
+        pa.default_memory_pool().release_unused()  # the worker serves other stages
 
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -377,6 +383,7 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", o
                     else:
                         values.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(made[o], OUTPUTS[o]) for o in outputs)], names=["__id", *outputs])
+        pa.default_memory_pool().release_unused()
 
     bounded_batches(spark)
     rows = docs.select(F.col(id).alias("__id"), F.col(text).cast("string").alias("__text"))
