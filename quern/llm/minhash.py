@@ -9,15 +9,18 @@ share a band fall into one bucket. No bucket is expanded into all its pairs:
 2. what is not yet connected to that member's component is compared, finer
    sketch against finer sketch in blocks, and each such member's best estimates
    go on;
-3. the same again with every estimate above the floor, for pairs whose ends
-   are still in different components.
+3. those of which some estimates stayed behind are compared again, with every
+   estimate above the floor, for pairs whose ends are still in different components.
 
 Each round's pairs are verified on full shingle sets before they count, so a
 link is never assumed, and pairs are passed over only where their ends are
-connected already or their estimate lies five standard deviations below the
-threshold. A bucket of more than ``BLOCK`` members is first divided by set size,
-as sets of too different sizes cannot be similar enough, and then into blocks of
-bounded size. Hot keys meet one row each, in joins that adaptive execution splits.
+connected already or their estimate lies so far below the threshold that a pair
+at the threshold is hit with a chance below 1e-6. A bucket of more than ``BLOCK``
+members is first divided by set size, as sets of too different sizes cannot be
+similar enough, and then into blocks of bounded size. Hot keys meet one row each,
+in joins that adaptive execution splits.
+A member goes to the blocks once for each bucket and block it meets, so what it carries
+is small: a few bits of each finer coordinate, and half of each band's key.
 
 Defined results: a null or empty text, or one without words, has an empty set,
 is linked with nothing and kept; so is a row without an id (its component is
@@ -48,8 +51,10 @@ BANDS, ROWS = 32, 5
 #: Members of one block when a bucket is compared, and estimates sent on for each in the first comparison.
 BLOCK = 512
 BEST = 8
-#: Coordinates of the finer sketches, a byte each, and how many are compared first.
-FINE, COARSE = 2048, 128
+#: Coordinates of the finer sketches, how many are compared first, and bits kept of each.
+FINE, COARSE, BITS = 2048, 256, 3
+#: Chance that one of the two comparisons passes over a pair at the threshold.
+MISS = 4e-7
 #: Members compared in one call, about.
 SLOT_ROWS = 1024
 
@@ -83,6 +88,18 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def _planes(sketch: np.ndarray) -> bytes:
+    """The lowest bits of all coordinates, then the second lowest ones, and so on."""
+    bits = (sketch >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8), axis=1).tobytes()
+
+
+def _agreeing(planes: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """How many coordinates of each row of ``planes`` (row, bit, words) agree with ``one`` (bit, words) in all bits."""
+    other = np.bitwise_or.reduce(planes ^ one, axis=1)
+    return 64 * other.shape[1] - np.bitwise_count(other).sum(axis=1, dtype=np.int64)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, n: int) -> DataFrame:
     """(id, size, fine, set) of the wanted (id, class)."""
 
@@ -93,7 +110,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id: str, text: str, n: int) -> Dat
             columns = (
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()),
                 pa.array([len(s) for s in found], pa.int32()),
-                pa.array([(sketcher(s) & np.uint64(0xFF)).astype(np.uint8).tobytes() if len(s) else None for s in found], pa.binary()),
+                pa.array([_planes(sketcher(s)) if len(s) else None for s in found], pa.binary()),
                 pa.array([s.tobytes() for s in found], pa.binary()),
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "class", "size", "fine", "set"])
@@ -121,10 +138,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, f"a {_type(pairs, 'a')}, b {_type(pairs, 'b')}")
 
 
-def _floor(percent: int, coordinates: int) -> float:
-    """Share of agreeing bytes, five standard deviations below what the threshold gives."""
-    p = percent / 100
-    return p + (1 - p) / 256 - 5 * (p * (1 - p) / coordinates) ** 0.5
+def _floor(percent: int, coordinates: int) -> int:
+    """The most agreeing coordinates that a pair at the threshold falls below with no more than a chance of ``MISS``."""
+    p = percent / 100 + (1 - percent / 100) / 2**BITS
+    below = 0.0
+    for k in range(coordinates if p < 1 else 0):
+        ways = math.lgamma(coordinates + 1) - math.lgamma(k + 1) - math.lgamma(coordinates - k + 1)
+        below += math.exp(ways + k * math.log(p) + (coordinates - k) * math.log1p(-p))
+        if below > MISS:
+            return k
+    return coordinates
 
 
 def _dealt(members: DataFrame, sets: DataFrame, bands: DataFrame, percent: int) -> DataFrame:
@@ -158,7 +181,8 @@ def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent:
 
     ``members`` is (key, id, n, c, minor), n the size of the bucket: only minor members, those outside the
     component of the bucket's most popular member, need to be compared, with
-    each other and with the rest. Both sides are dealt into blocks.
+    each other and with the rest. Both sides are dealt into blocks. A member that had more than
+    ``best`` in a block comes as its own pair, with the bucket's key.
     """
     rows = _dealt(members, sets, bands, percent)
     floor, first = _floor(percent, FINE), _floor(percent, COARSE)
@@ -167,9 +191,9 @@ def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent:
         group = group.sort_values(["key", "z", "i", "j", "asks", "size", "id"])
         key, z, i, j = (group[k].to_numpy() for k in ("key", "z", "i", "j"))
         ids, cs, asks, minor, sizes = (group[k].to_numpy() for k in ("id", "c", "asks", "minor", "size"))
-        fine = np.frombuffer(b"".join(group.fine), np.uint8).reshape(len(group), FINE)
-        head = np.ascontiguousarray(fine[:, :COARSE])
-        every = np.stack(group.bands.to_numpy())
+        fine = np.frombuffer(b"".join(group.fine), np.uint64).reshape(len(group), BITS, FINE // 64)
+        head = np.ascontiguousarray(fine[:, :, : COARSE // 64])
+        every, own_key = np.stack(group.bands.to_numpy()), key >> 32
         turns = np.flatnonzero((key[1:] != key[:-1]) | (z[1:] != z[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         out: list[tuple] = []
         for start, end in zip([0, *turns], [*turns, len(key)], strict=True):
@@ -184,20 +208,21 @@ def _block_pairs(members: DataFrame, sets: DataFrame, bands: DataFrame, percent:
                 at = lo + np.flatnonzero(cs[lo:hi] != cs[x])
                 if best is None:  # two that both ask are compared from one side
                     at = at[~(minor[at] & (ids[at] < ids[x]))]
-                at = at[np.count_nonzero(head[at] == head[x], axis=1) >= first * COARSE]
+                at = at[_agreeing(head[at], head[x]) >= first]
                 if not len(at):
                     continue
-                e = np.count_nonzero(fine[at] == fine[x], axis=1)
-                at, e = at[e >= floor * FINE], e[e >= floor * FINE]
+                e = _agreeing(fine[at], fine[x])
+                at, e = at[e >= floor], e[e >= floor]
                 shared = every[at] == every[x]
-                own = every[x][np.argmax(shared, axis=1)] == key[x]
+                own = every[x][np.argmax(shared, axis=1)] == own_key[x]
                 at, e = at[own], e[own]
                 if best is not None and len(at) > best:
                     at = at[np.argsort(-e, kind="stable")[:best]]
-                out += [(min(ids[x], y), max(ids[x], y)) for y in ids[at].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"])
+                    out.append((ids[x], ids[x], key[x]))
+                out += [(min(ids[x], y), max(ids[x], y), 0) for y in ids[at].tolist()]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b", "key"])
 
-    return rows.groupBy("slot").applyInPandas(compare, f"a {_type(members, 'id')}, b {_type(members, 'id')}").distinct()
+    return rows.groupBy("slot").applyInPandas(compare, f"a {_type(members, 'id')}, b {_type(members, 'id')}, key bigint").distinct()
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -228,16 +253,27 @@ def _classes(docs: DataFrame, id: str, text: str, n: int, percent: int, bands: i
     links = materialize(_verified(pairs, sets, percent), narrow=True)
     found = components(links)
 
+    # Half of each key is enough to tell the first band that two rows share: other keys of a band agree in it once in 2**32 pairs.
+    halves = chosen.select("id", F.transform("bands", lambda k: F.shiftright(k, 32).cast("int")).alias("bands")).dropDuplicates(["id"])
+    again = None
     for best in (BEST, None):
         members = met.select("key", "id", "n").join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        minor = F.col("c") != F.col("major")
+        if again is not None:
+            members = members.join(again, ["key", "id"], "left")
+            minor &= F.col("again").isNotNull()
         major = hubs.join(found.withColumnRenamed("id", "hub"), "hub", "left").select("key", F.coalesce("component", "hub").alias("major"))
-        members = materialize(members.join(major, "key").select("key", "id", "n", "c", (F.col("c") != F.col("major")).alias("minor")))
+        members = materialize(members.join(major, "key").select("key", "id", "n", "c", minor.alias("minor")))
         open_keys = materialize(members.filter("minor").select("key").distinct(), narrow=True)
         members = members.join(open_keys, "key", "left_semi")
-        more = materialize(_verified(_block_pairs(members, sets, chosen.select("id", "bands").dropDuplicates(["id"]), percent, best), sets, percent), narrow=True)
+        pairs = materialize(_block_pairs(members, sets, halves, percent, best), narrow=True)
+        more = materialize(_verified(pairs.filter("a <> b").select("a", "b"), sets, percent), narrow=True)
         if not more.isEmpty():
             links = links.union(more)
             found = components(links)
+        again = pairs.filter("a = b").select("key", F.col("a").alias("id"), F.lit(True).alias("again"))
+        if again.isEmpty():
+            break
     ends = reps.join(found, reps["rep"] == found["id"], "left").select("class", F.coalesce("component", "rep").alias("component"))
     return all_rows.select("id", "n_shingles", "class"), materialize(ends, lasting=True)
 

@@ -75,6 +75,52 @@ def test_op2_chains_and_families(spark):
         assert {r.doc_id: r.component_id for r in got} == want
 
 
+def alike(n, words=400, changed=26):
+    """Texts of one template, most pairs of which share bands without being similar enough."""
+    rng = random.Random(6)
+    rows = {}
+    for i in range(n):
+        w = [f"w{k}" for k in range(words)]
+        for k in rng.sample(range(words), changed):
+            w[k] = f"e{i}x{k}"
+        rows[i] = " ".join(w)
+    return rows
+
+
+@pytest.mark.parametrize("best, rounds", [(8, 1), (1, 2)])
+def test_op2_large_buckets_carry_little(spark, monkeypatch, best, rounds):
+    """A member goes to many blocks with few bytes, and goes again only where estimates stayed behind."""
+    rows = alike(60) | {100 + i: t for i, t in alike(40, changed=14).items()}
+    if rounds == 1:
+        rows = {i: t for i, t in rows.items() if i < 20}
+    dealt, made = [], minhash._dealt
+
+    def deal(*args):
+        out = made(*args)
+        dealt.append(out.select(F.octet_length("fine").alias("fine"), (F.size("bands") * F.lit({"int": 4, "bigint": 8}[out.schema["bands"].dataType.elementType.simpleString()])).alias("bands")).collect())
+        return out
+
+    monkeypatch.setattr(minhash, "_dealt", deal)
+    monkeypatch.setattr(minhash, "BEST", best)
+    d = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d, n=2).collect()}
+    assert got == components({i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in rows.items()})
+    assert len(dealt) == rounds and all(dealt)
+    assert all(r.fine + r.bands <= 1024 for found in dealt for r in found)
+
+
+def test_op2_bit_planes_agree_as_coordinates_do():
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 2**63, (5, minhash.FINE)).astype(np.uint64)
+    a[1:, ::3] = a[0, ::3]
+    planes = np.frombuffer(b"".join(map(minhash._planes, a)), np.uint64).reshape(5, minhash.BITS, -1)
+    low = a % 2**minhash.BITS
+    assert minhash._agreeing(planes, planes[0]).tolist() == (low == low[0]).sum(axis=1).tolist()
+    head = np.ascontiguousarray(planes[:, :, : minhash.COARSE // 64])
+    assert minhash._agreeing(head, head[0]).tolist() == (low[:, : minhash.COARSE] == low[0, : minhash.COARSE]).sum(axis=1).tolist()
+    assert minhash._floor(100, 256) == 256
+
+
 def test_slots_of_a_large_bucket_are_bounded(spark):
     """Each member comes once for every block it meets; no task may get them all."""
     ids = spark.range(4000)
