@@ -183,7 +183,7 @@ def _removed(rows: DataFrame, edits: int, min_chars: int, pairs_up_to: int, sour
     firsts = ["id", "t", "pos", *extra[:1]]
     distinct = materialize(
         placed.groupBy("h", "g").agg(F.min("ord").alias("ord"), F.count("*").alias("cnt"), *[F.min_by(c, "ord").alias(c) for c in firsts], *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))]),
-        lasting=True,
+        lasting=not sources,
     )
 
     entries = distinct.select("h", "g", F.inline(_entries(keys, "1", lambda k: F.col(f"k{k}")))).filter("key IS NOT NULL")
@@ -191,7 +191,7 @@ def _removed(rows: DataFrame, edits: int, min_chars: int, pairs_up_to: int, sour
 
     # The text of every line that shares a key, from the document where it comes first.
     wanted = distinct.select("h", "g", "ord", "id", "t", "pos").join(live.select("h", "g").distinct(), ["h", "g"], "left_semi")
-    wanted = materialize(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "g", "ord", "pos")).alias("want")), lasting=True)
+    wanted = materialize(wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "g", "ord", "pos")).alias("want")), lasting=not sources)
     fetched = _on_row(rows, wanted).select(F.expr("inline(transform(array(split(text, '\\n')), ls -> transform(want, s -> named_struct('h', s.h, 'g', s.g, 'ord', s.ord, 'line', ls[s.pos])))[0])"))
     # Not written unless needed: one plan that fetches lines and removes them exchanges the documents once.
     few, texts = _candidates(live, fetched.dropDuplicates(["h", "g"]).select("h", "g", "ord", "line"), edits, pairs_up_to)
@@ -203,14 +203,18 @@ def _removed(rows: DataFrame, edits: int, min_chars: int, pairs_up_to: int, sour
     near = pairs.join(one, ["h1", "g1"]).join(two, ["h2", "g2"]).filter("o1 <> o2").filter(within("l1", "l2", edits))
     turned = near.select(F.expr("CASE WHEN o1 < o2 THEN struct(h2 AS h, g2 AS g, h1 AS eh, g1 AS eg, o1 AS eo) ELSE struct(h1 AS h, g1 AS g, h2 AS eh, g2 AS eg, o2 AS eo) END").alias("x")).select("x.*")
     later = turned.groupBy("h", "g").agg(F.min(F.struct("eo", "eh", "eg")).alias("e")).select("h", "g", "e.eh", "e.eg")
+    if sources:  # read more than once below, and the driver would plan the search for near lines again each time
+        later = materialize(later, narrow=True)
 
     facts = distinct.select("h", "g", "ord", "cnt", *[F.col(c).alias(f"src_{c}") for c in firsts])
     marked = facts.join(later, ["h", "g"], "left").withColumn("near", F.col("eh").isNotNull()).filter("cnt > 1 OR near")
     if sources:  # of a near line: the document of the earliest one that it is near to
+        marked = materialize(marked)
         other = distinct.select(F.col("h").alias("eh"), F.col("g").alias("eg"), *[F.col(c).alias(f"near_{c}") for c in firsts])
         hit = marked.filter("near").join(other, ["eh", "eg"])
         hit = hit.select("h", "g", "ord", "near", *[F.col(f"near_{c}").alias(f"src_{c}") for c in firsts])
         marked = marked.filter("NOT near").select("h", "g", "ord", "near", *[f"src_{c}" for c in firsts]).unionByName(hit)
+        marked = materialize(marked, lasting=True)
     marked = marked.withColumnRenamed("ord", "first").drop("cnt", "eh", "eg", "src_pos", *([] if sources else ["src_id", "src_t"]))
     # ``z`` is always 0. As a key that ``marked`` is not dealt by, it makes both sides of the join exchanges, which adaptive execution splits where a line is hot.
     zero = F.pmod("g", F.lit(1))

@@ -614,6 +614,15 @@ def shingled(t, n=2):
     return set(zip(*[w[k:] for k in range(n)], strict=False)) or ({tuple(w)} if w else set())
 
 
+def test_line_stage_plans_the_search_once(spark):
+    """What the driver plans at once stays small: the search for near lines is done by the time that their lines are removed."""
+    base = "every line of this text is a long one, number "
+    d = spark.createDataFrame([(k, "\n".join(f"{base}{k * 100 + i if i else 'the same'} {'x' * (k + 1) * (i + 3)}" for i in range(4)) + f"\n{base}near {k % 2}", 0) for k in range(6)], "doc_id long, text string, n_chars int")
+    plan = line_dedup.deduplicate(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3
+    assert "aggregate(sequence(1" not in plan.replace(" ", "")
+
+
 def test_pipeline_by_brute_force(spark, duck):
     """Every row of every stage, on the smallest tables."""
     import corpus_pipeline
