@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,18 +189,20 @@ def change_set(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFr
 def fitted_blocks(symbols: DataFrame, budget: int) -> DataFrame:
     """(module, file, kept): symbols a file keeps under a budget of characters a module.
 
-    Again and again the largest block loses its last symbol, which depends on
-    all that went before: each module is one group of bounded size, its files.
+    Again and again the largest block loses its last symbol, of equal blocks the
+    first by name. As sizes are lengths (a missing or negative one counts 0), a
+    symbol goes when its block up to it is the largest: in falling order of
+    running sums, until what is left of the module fits. A block beyond the
+    budget always loses its last symbol, so that only running sums within the
+    budget meet by module, and the first symbol of a file, which stands for it.
     """
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        blocks = {f: g.sort_values("ordinal")["size"].tolist() for f, g in group.groupby("file")}
-        while sum(map(sum, blocks.values())) > budget and any(blocks.values()):
-            largest = max(sorted(blocks), key=lambda f: sum(blocks[f]))
-            blocks[largest].pop()
-        return pd.DataFrame([(group.module.iloc[0], f, len(b)) for f, b in blocks.items()], columns=["module", "file", "kept"])
-
-    return symbols.select("module", "file", "ordinal", "size").groupBy("module").applyInPandas(fit, "module string, file string, kept bigint")
+    size = F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(0))
+    s = symbols.filter("file IS NOT NULL").select("module", "file", "ordinal", size.alias("size"))
+    in_file = Window.partitionBy("module", "file").orderBy("ordinal", "size")
+    s = s.withColumn("n", F.row_number().over(in_file)).withColumn("block", F.sum("size").over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.filter((F.col("block") <= budget) | (F.col("n") == 1))
+    going = Window.partitionBy("module").orderBy("block", F.desc("file"), "n").rowsBetween(Window.unboundedPreceding, 0)
+    return s.withColumn("left", F.sum("size").over(going)).groupBy("module", "file").agg(F.count_if(F.col("left") <= budget).alias("kept"))
 
 
 def batches_by_budget(rows: Iterator[tuple[int, int]], budget: int, most: int) -> list[list[int]]:

@@ -53,6 +53,25 @@ def test_fitted_blocks_by_brute_force(spark):
     assert got == {("m", f): len(x) for f, x in left.items()} | {("small", "f"): 1}
 
 
+def test_fitted_blocks_of_large_files(spark):
+    """EXT-24: 400,000 symbols in one module, ties and sizes of 0 among them, take no time that grows with the square of a block."""
+    import time
+
+    from quern.operators import incremental as I
+
+    n, budget = 400_000, 900
+    df = spark.range(n).selectExpr("'m' AS module", "concat('f', id % 3) AS file", "id AS ordinal", "id * 7 DIV 3 % 5 * 10 AS size")
+    left = {f"f{k}": [i * 7 // 3 % 5 * 10 for i in range(k, n, 3)] for k in range(3)}
+    sums = {f: sum(x) for f, x in left.items()}
+    while sum(sums.values()) > budget:
+        f = min(left, key=lambda f: (-sums[f], f))
+        sums[f] -= left[f].pop()
+    began = time.time()
+    got = {r.file: r.kept for r in I.fitted_blocks(df, budget).collect()}
+    assert time.time() - began < 60
+    assert got == {f: len(x) for f, x in left.items()} and all(got.values())
+
+
 def test_embedding_batches_fit(spark):
     """EXT-25: every document once, in batches whose padded size fits."""
     from quern.plans import extract
