@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
+from quern.operators import products
 
 # Document types by level, drill-down tables and thresholds.
 LEVEL_TYPES = {
@@ -68,20 +69,26 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, per_type: int | None =
     """(query_id, item_id, type, score, rank) of the k best items of each query.
 
     ``queries`` is (query_id, qvec[, type]), ``items`` (item_id, type, vec). The
-    queries are broadcast, which is refused beyond ``max_queries``; the items,
-    however many, are read once, and each task keeps its own best of a query
-    before rows are exchanged. Ties fall to the smaller item.
+    queries are sent to every task, which is refused beyond ``max_queries``; the
+    items, however many, are read once. All pairs are scored, by products of
+    blocks, but a task hands on only its own best of a query. Ties fall to the
+    smaller item.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError("too many queries for one pass; search in blocks")
-    q = F.broadcast(queries.withColumnRenamed("type", "qtype") if "type" in queries.columns else queries)
-    on = (F.col("qtype") == F.col("type")) if same_type else F.lit(True)
-    scored = items.join(q, on & (F.col("item_id") != F.coalesce(F.col("query_id"), F.lit(-1)))).select("query_id", "item_id", "type", F.round(vectors.dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
-    scored = scored.filter(F.col("score").isNotNull())
-    best = [F.desc("score"), F.asc("item_id")]
-    if per_type:
-        scored = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "type").orderBy(*best))).filter(F.col("r") <= per_type).drop("r")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("rank") <= k)
+    narrow = bool(per_type) and per_type < k
+    q = queries.withColumnRenamed("type", "qtype") if "type" in queries.columns else queries
+    scored = products.best(q, items, per_type if narrow else k, max_queries, each_type=narrow, same_type=same_type)
+    order = [F.desc("score"), F.asc("item_id")]
+    if narrow:
+        scored = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "type").orderBy(*order))).filter(F.col("r") <= per_type).drop("r")
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def target_ranks(queries: DataFrame, items: DataFrame, targets: DataFrame, max_queries: int = 100_000) -> DataFrame:
+    """(query_id, rank): one more than the items that score higher than the target of a query, from ``targets`` (query_id, item_id)."""
+    wanted = queries.join(targets.distinct(), "query_id").filter("item_id <> query_id")
+    t = items.join(F.broadcast(wanted), "item_id").select("query_id", F.round(vectors.dot(F.col("qvec"), F.col("vec")), 6).alias("t"))
+    found = products.ahead(queries.join(t, "query_id"), items, max_queries)
+    return found.groupBy("query_id").agg((F.sum("ahead") + 1).alias("rank"))
 
 
 def tokens(text: Column, english: bool = False) -> Column:

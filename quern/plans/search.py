@@ -240,7 +240,7 @@ def synthesis_context(spark, sf_dir):
     """What a model is told for every query: its five nearest documents."""
     hits = R.nearest(_queries(spark, sf_dir).drop("type"), _items(spark, sf_dir), 5)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("repo_id"), F.col("text").alias("content"))
-    found = R.contexts(hits.join(docs, "item_id").withColumn("doc_type", F.lit("file_index")))
+    found = R.contexts(docs.join(F.broadcast(hits), "item_id").withColumn("doc_type", F.lit("file_index")))
     return found.select("query_id", F.sha2("context", 256).alias("context"), F.array_join("sources", ",").alias("sources"))
 
 
@@ -320,10 +320,8 @@ def known_items(spark, sf_dir):
 
 @query("EVL-05", f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, {_DOT} AS score FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) SELECT a.query_id, count(*) FILTER (b.score > a.score) + 1 AS rank FROM s a JOIN s b ON a.query_id = b.query_id WHERE a.item_id = a.query_id + 20 GROUP BY 1")
 def target_ranks(spark, sf_dir):
-    q = F.broadcast(_queries(spark, sf_dir).drop("type"))
-    s = _items(spark, sf_dir).join(q, F.col("item_id") != F.col("query_id")).select("query_id", "item_id", F.round(vectors.dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
-    target = s.filter("item_id = query_id + 20").select("query_id", F.col("score").alias("t"))
-    return s.join(target, "query_id").groupBy("query_id").agg((F.count_if(F.col("score") > F.col("t")) + 1).alias("rank"))
+    q, items = _queries(spark, sf_dir).drop("type"), _items(spark, sf_dir)
+    return R.target_ranks(q, items, q.select("query_id", (F.col("query_id") + 20).alias("item_id")))
 
 
 @query("EVL-06", f"WITH {_HITS}, {_RANKS} SELECT query_id, CASE WHEN rank <= 10 THEN 1 ELSE rank END AS ceiling FROM r WHERE rank IS NOT NULL")

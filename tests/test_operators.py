@@ -163,3 +163,73 @@ def test_stream_of_changes_is_idempotent(spark, tmp_path):
 def test_json_documents():
     assert X.structured_document("a.json", json.dumps({"k": 1}))[0][0] == "k"
     assert X.structured_document("a.json", "{")[0] == ("", "{")
+
+
+def _vectors(spark, n):
+    return spark.range(n).select(F.col("id").alias("item_id"), (F.col("id") % 3).alias("type"), F.expr("transform(sequence(1, 64), i -> cast(sin(id * 31 + i * i * 7 + id * i) / 8 AS float))").alias("vec"))
+
+
+def test_neighbours_of_many_queries(spark):
+    """RET-16 and others: 80 million pairs are scored within a minute."""
+    import time
+
+    items = _vectors(spark, 40_000)
+    q = items.filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("vec").alias("qvec"))
+    began = time.time()
+    assert R.nearest(q, items, 5).count() == 10_000
+    assert time.time() - began < 60
+
+
+def _plain(spark, q, items, on="true"):
+    """All pairs, scored row by row."""
+    j = items.crossJoin(q.withColumnRenamed("type", "qtype")).filter(f"item_id <> coalesce(query_id, -1) AND {on}")
+    return j.select("query_id", "item_id", "type", F.round(vectors.dot(F.col("qvec"), F.col("vec")), 6).alias("score")).filter("score IS NOT NULL")
+
+
+@pytest.mark.parametrize(("how", "on", "by"), [({}, "true", None), ({"per_type": 2}, "true", 2), ({"same_type": True}, "qtype = type", None)])
+def test_neighbours_as_all_pairs(spark, how, on, by):
+    """Ties, equal vectors, values at the edge of rounding, and vectors of other lengths, missing, not a number or without an id."""
+    odd = [(900, 0, [0.5, 0.25]), (901, 1, None), (902, 2, [0.5, None, 0.5]), (903, 0, [float("nan"), 0.0, 0.0]), (904, 1, [float("inf"), 0.0, 0.0]), (905, None, [0.5, 0.5, 0.5]), (None, 1, [0.5, 0.5, 0.5]), (906, 2, []), (907, 0, [-1e12, 1.0, 0.3])]
+    same = [(i, i % 3, [0.5, 0.0000011, 0.25]) for i in range(100, 140)]
+    even = [(i, i % 3, [i % 7 / 8, i % 5 / 1_000_000, -(i % 11) / 16]) for i in range(100)]
+    items = spark.createDataFrame(odd + same + even, "item_id long, type int, vec array<double>").repartition(5)
+    q = items.filter("item_id % 9 = 0 OR item_id > 899 OR item_id IS NULL").select(F.col("item_id").alias("query_id"), "type", F.col("vec").alias("qvec"))
+    q = q if how.get("same_type") else q.drop("type")
+    w = "PARTITION BY query_id{} ORDER BY score DESC, item_id"
+    _plain(spark, q, items, on).createOrReplaceTempView("pairs")
+    top = f"SELECT * FROM (SELECT *, row_number() OVER ({w.format(', type')}) AS r FROM pairs) WHERE r <= {by or 1000}"
+    want = spark.sql(f"SELECT * FROM (SELECT query_id, item_id, type, score, row_number() OVER ({w.format('')}) AS rank FROM ({top})) WHERE rank <= 7")
+    got = R.nearest(q, items, 7, **how)
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_rounding_as_spark(spark):
+    import numpy as np
+
+    from quern.operators import products
+
+    x = [k * s * 1e-7 * 5 for k in (1, 3, 5, 7, 2469135, 24691357) for s in (1, -1)] + [0.0, -0.0, -1e-9, 1.0000005, 0.1234565, 1e9 + 0.0000005, 8589934592.1234565, 1e300, -1e22, float("inf"), float("nan")]
+    x += np.random.default_rng(1).normal(size=2000).tolist()
+    want = [r.x for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6).alias("x")).collect()]
+    assert list(map(repr, products.rounded(np.array(x)).tolist())) == list(map(repr, want))
+
+
+def test_target_ranks(spark):
+    """EVL-05: as all pairs, with ties, missing targets and odd vectors; and for 80 million pairs within a minute."""
+    import time
+
+    rows = [(i, i % 3, [i % 7 / 8, i % 5 / 1_000_000, -(i % 11) / 16]) for i in range(200)] + [(300, 0, [float("nan"), 1.0, 1.0]), (301, 0, [1.0]), (302, 1, [0.5, 0.5, 0.5])]
+    items = spark.createDataFrame(rows, "item_id long, type int, vec array<double>").repartition(3)
+    q = items.filter("item_id % 9 = 0 OR item_id > 280").select(F.col("item_id").alias("query_id"), F.col("vec").alias("qvec"))
+    targets = q.select("query_id", (F.col("query_id") + 1).alias("item_id"))
+    s = _plain(spark, q, items)
+    t = s.filter("item_id = query_id + 1").select("query_id", F.col("score").alias("t"))
+    want = {(r.query_id, r.rank) for r in s.join(t, "query_id").groupBy("query_id").agg((F.count_if(F.col("score") > F.col("t")) + 1).alias("rank")).collect()}
+    got = {(r.query_id, r.rank) for r in R.target_ranks(q, items, targets).collect()}
+    assert want <= got and {i for i, _ in got - want} <= {300, 301}  # targets without a score
+    many = _vectors(spark, 40_000)
+    q = many.filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("vec").alias("qvec"))
+    began = time.time()
+    assert R.target_ranks(q, many, q.select("query_id", (F.col("query_id") + 20).alias("item_id"))).count() == 1999
+    assert time.time() - began < 60
