@@ -403,12 +403,16 @@ def changed_to_nodes(spark, sf_dir):
 
 @query("JOIN-14", "SELECT q.vec_id AS query_id, count(*) AS n, round(max(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS best FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1")
 def all_pairs_similarity(spark, sf_dir):
-    from quern.functions.vectors import dot
+    """Pairs are counted by ids, the best one is found by products of blocks."""
+    from quern.operators.retrieval import nearest
 
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    j = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    return j.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max(dot(F.col("q"), F.col("embedding"))), 6).alias("best"))
+    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    best = nearest(q, e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("type"), F.col("embedding").alias("vec")), 1)
+    same = q.groupBy("query_id").agg(F.count("*").alias("copies"))
+    n = F.col("copies") * (F.col("all") - F.col("copies"))
+    j = same.crossJoin(F.broadcast(e.agg(F.count("vec_id").alias("all")))).select("query_id", n.alias("n")).filter("n > 0")
+    return j.join(best.select("query_id", F.col("score").alias("best")), "query_id", "left")
 
 
 @query("JOIN-15", "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text), lang) AS family, count(*) OVER (PARTITION BY sha256(text), lang) AS copies FROM documents QUALIFY copies > 1")
