@@ -26,10 +26,11 @@ _EXACT = decimal.Context(prec=400, rounding=decimal.ROUND_HALF_UP)
 
 def rounded(x: np.ndarray) -> np.ndarray:
     """Six places, half away from zero, of a number's shortest decimal form."""
-    a = np.abs(x) * 1e6
-    below = np.floor(a)
+    with np.errstate(invalid="ignore"):
+        a = np.abs(x) * 1e6
+        below = np.floor(a)
+        near = ~(np.abs(a - below - 0.5) > 1e-6 + a * 1e-15)
     out = np.copysign(np.floor(a + 0.5), x) / 1e6 + 0.0
-    near = ~(np.abs(a - below - 0.5) > 1e-6 + a * 1e-15)
     if near.any():
         values, at = np.unique(x[near], return_inverse=True)
         out[near] = np.array([float(decimal.Decimal(repr(v)).quantize(decimal.Decimal("1e-6"), context=_EXACT)) + 0.0 if np.isfinite(v) else v for v in values.tolist()])[at]
@@ -98,6 +99,18 @@ def _scores(asked: _Side, items: _Side, r: np.ndarray, c: np.ndarray) -> np.ndar
     return rounded(out)
 
 
+def merged(found: tuple | None, new: tuple, k: int, kth: np.ndarray) -> tuple:
+    """The k best of each row of (row, score, id, ...): by score, not a number first, then by id. ``kth`` gets the last score of rows that have k."""
+    parts = tuple(np.concatenate(x) for x in zip(found, new, strict=True)) if found else new
+    row, score, id = parts[:3]
+    order = np.lexsort((id, -score, ~np.isnan(score), row))
+    row, score = row[order], score[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    last = place == k - 1
+    kth[row[last]] = np.where(np.isnan(score[last]), np.inf, score[last])
+    return tuple(x[order[place < k]] for x in parts)
+
+
 class _Best:
     """The k best items of some queries so far: by score, not a number first, then by id."""
 
@@ -119,16 +132,7 @@ class _Best:
         r, c = r[other], c[other]
         if not r.size:
             return
-        parts = (r, _scores(self.asked, items, r, c), items.id[c], items.type[c])
-        if self.found:
-            parts = tuple(np.concatenate(x) for x in zip(self.found, parts, strict=True))
-        row, score, id, _ = parts
-        order = np.lexsort((id, -score, ~np.isnan(score), row))
-        row, score = row[order], score[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        self.found = tuple(x[order[place < k]] for x in parts)
-        last = place == k - 1
-        self.kth[row[last]] = np.where(np.isnan(score[last]), np.inf, score[last])
+        self.found = merged(self.found, (r, _scores(self.asked, items, r, c), items.id[c], items.type[c]), k, self.kth)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], types: list, split: bool) -> Iterator[tuple[int, int | None, _Side]]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vectors
-from quern.operators import products
+from quern.operators import lexical, products
 
 # Document types by level, drill-down tables and thresholds.
 LEVEL_TYPES = {
@@ -44,6 +47,8 @@ ENGLISH_STOP_WORDS = [
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
     "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
 ]
+_STOPS = frozenset(ENGLISH_STOP_WORDS)
+NO_WORD = r"[^\p{L}\p{N}]+"
 LEXICAL_OVERSAMPLE, LEXICAL_REPOS = 4, 3
 CONTEXT_CHARS, BRIDGE_CONTENTS, BRIDGE_MODULES = 2000, 3, 5
 RERANK_HEAD = 20
@@ -93,7 +98,7 @@ def target_ranks(queries: DataFrame, items: DataFrame, targets: DataFrame, max_q
 
 def tokens(text: Column, english: bool = False) -> Column:
     """Lower-cased runs of letters and digits; the English analyzer leaves out stop words and takes plurals for singulars."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
     if not english:
         return words
     kept = F.filter(words, lambda w: ~w.isin(ENGLISH_STOP_WORDS))
@@ -103,27 +108,63 @@ def tokens(text: Column, english: bool = False) -> Column:
     )
 
 
+def english_word(word: str) -> str | None:
+    """What the English analyzer makes of a lower-cased word; none of a stop word. As ``tokens`` does."""
+    if word in _STOPS:
+        return None
+    if word.endswith("ies") and len(word) > 3 and word[-4] not in "ea":
+        return word[:-3] + "y"
+    if word.endswith("es") and len(word) > 2 and word[-3] not in "aeo" or word.endswith("s") and len(word) > 1 and word[-2] not in "use":
+        return word[:-1]
+    return word
+
+
+def plain_word(word: str) -> str:
+    return word
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text", qid: str = "item_id", qtext: str = "text", english: bool = False, max_terms: int = 1_000_000) -> DataFrame:
     """(query_id, id, score, rank) of the k best documents of each query.
 
-    Lengths are taken from the token arrays, and only tokens that some query
-    asks for are exploded and exchanged. The queries' terms are broadcast,
-    which is refused beyond ``max_terms``.
+    Documents are read twice, as Arrow batches of words: for the number of
+    documents with each term, and for the scores, of which a task hands on only
+    its own k best of a query. The queries' terms are sent to every task, which
+    is refused beyond ``max_terms``. Only where documents share an id, whose
+    words count together, are words exchanged.
     """
-    asked = queries.select(F.col(qid).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(qtext), english))).alias("term"))
+    asked = queries.select(F.col(qid).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(qtext), english))).alias("term")).distinct()
     terms = asked.select("term").distinct()
     if terms.limit(max_terms + 1).count() > max_terms:
         raise ValueError("too many query terms for one pass; search in blocks")
-    split = docs.select(F.col(id).alias("id"), tokens(F.col(text), english).alias("w")).withColumn("len", F.size("w"))
+    d = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    if d.groupBy("id").count().filter("count > 1").limit(1).count():
+        scored = _bm25_by_words(d, asked, terms, english)
+    else:
+        scored = _bm25_by_batches(d, asked, k, english)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _bm25_by_batches(docs: DataFrame, asked: DataFrame, k: int, english: bool) -> DataFrame:
+    split = docs.select("id", F.split(F.lower("text"), NO_WORD).alias("w"))
+    pairs = asked.toArrow()
+    known = sorted(set(pairs.column("term").to_pylist()))
+    analyzed = english_word if english else plain_word
+    n, words, df = lexical.statistics(split, known, analyzed)
+    idf = np.array([math.log(1 + (n - x + 0.5) / (x + 0.5)) for x in df.tolist()])
+    return lexical.best(split, pairs, asked.schema["query_id"].dataType.simpleString(), known, idf, words / max(1, n), k, K1, B, analyzed)
+
+
+def _bm25_by_words(docs: DataFrame, asked: DataFrame, terms: DataFrame, english: bool) -> DataFrame:
+    """Scores of all documents; the words of documents of one id and length count together."""
+    split = docs.select("id", tokens(F.col("text"), english).alias("w")).withColumn("len", F.size("w"))
     sizes = split.filter("len > 0").agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
     used = split.select("id", "len", F.explode("w").alias("term")).join(F.broadcast(terms), "term", "left_semi").groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     by_term = F.broadcast(asked.join(df, "term").join(F.broadcast(sizes)).select("query_id", "term", idf.alias("idf"), "avg"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = used.join(by_term, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return used.join(by_term, "term").groupBy("query_id", "id").agg(F.round(F.sum(weight), 6).alias("score"))
 
 
 def first_repos(hits: DataFrame, repos: DataFrame, n: int) -> DataFrame:

@@ -233,3 +233,22 @@ def test_target_ranks(spark):
     began = time.time()
     assert R.target_ranks(q, many, q.select("query_id", (F.col("query_id") + 20).alias("item_id"))).count() == 1999
     assert time.time() - began < 60
+
+
+@pytest.mark.parametrize("english", [False, True])
+def test_bm25_makes_no_row_a_pair(spark, english):
+    """RET-07, RET-08: as the sums over all words, with ties, empty and missing texts and shared ids; and without joins of words and queries."""
+    words = ["ponies", "goes", "uses", "is", "bass", "the", "Straße", "x1", "ies", "s", "es", "trees", "İs", "cats", "cat"]
+    docs = [(i, " ".join(words[(i * j + j) % 15] + ", "[i % 2 :] for j in range(i % 12))) for i in range(120)] + [(500, None), (501, ""), (502, "--"), (503, "cats cats")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    q = spark.createDataFrame([(1, "cats trees pony"), (2, "x1 İs straße"), (3, "nothing here"), (4, None), (5, "ies es s goes ponies")], "item_id long, text string")
+    twice = d.unionByName(spark.createDataFrame([(503, "trees")], "doc_id long, text string"))
+    for table, by in ((d, "_bm25_by_batches"), (twice, "_bm25_by_words")):
+        asked = q.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(R.tokens(F.col("text"), english))).alias("term"))
+        scored = R._bm25_by_words(table.select(F.col("doc_id").alias("id"), "text"), asked, asked.select("term").distinct(), english)
+        scored.createOrReplaceTempView("scored")
+        want = spark.sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 4")
+        got = R.bm25(table, q, 4, english=english)
+        assert got.dtypes == want.dtypes and want.count() > 8
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert ("MapInArrow" in got._jdf.queryExecution().toString()) is (by == "_bm25_by_batches")
